@@ -6,27 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _text_or_null(item: Column, field: str) -> Column:
+# Only texts of this form can stand for a falsy value or need Python's spelling.
+_MAYBE_NOT_TEXT = "^(-?[0-9][0-9.eE+-]*|true|false|\\[\\]|\\{\\})$"
+
+
+def _text_or_null(field: Column, text: Column) -> Column:
     """The field as text; null when missing or falsy (null, '', 0, false, [], {})."""
-    path = f"$.{field}"
-    kind = F.schema_of_variant(F.try_variant_get(item, path, "variant"))
-    text = F.try_variant_get(item, path, "string")
+    # Costly for nested values, so it runs only where the text leaves a doubt.
+    kind = F.schema_of_variant(field)
     is_number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     falsy = (
-        kind.isNull()
-        | (kind == "VOID")
-        | (text == "")
-        | (is_number & (text.try_cast("double") == 0))
+        (is_number & (text.try_cast("double") == 0))
         | ((kind == "BOOLEAN") & (text == "false"))
         | (kind.startswith("ARRAY") & (text == "[]"))
         | (kind.startswith("OBJECT") & (text == "{}"))
     )
-    rendered = (
-        F.when(kind == "BOOLEAN", F.initcap(text))
-        .when(kind.startswith("DECIMAL") & ~text.contains(".") & (F.length(text) < 19), F.concat(text, F.lit(".0")))
+    whole_float = kind.startswith("DECIMAL") & ~text.contains(".") & (F.length(text) < 19)
+    return (
+        F.when(text.isNull() | (text == ""), F.lit(None))
+        .when(~text.rlike(_MAYBE_NOT_TEXT), text)
+        .when(falsy, F.lit(None))
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(whole_float, F.concat(text, F.lit(".0")))
         .otherwise(text)
     )
-    return F.when(~falsy, rendered)
 
 
 def reply_items(replies: DataFrame, response: str = "response") -> DataFrame:
@@ -41,22 +44,26 @@ def reply_items(replies: DataFrame, response: str = "response") -> DataFrame:
         F.try_variant_get(F.col("_reply"), "$.parameters", "array<variant>"),
         F.try_variant_get(F.col("_reply"), "$", "array<variant>"),
     )
+    # One access per item takes all fields out; anything but an object gives null.
+    fields = F.try_variant_get(
+        F.col("_item"), "$", "struct<key: variant, name: variant, value: variant, spatial: variant>"
+    )
+    names = ("key", "name", "value")
     exploded = (
         replies.select(*others, parsed.alias("_reply"))
         .select(*others, F.posexplode(items).alias("pos", "_item"))
-        .filter(F.schema_of_variant("_item").startswith("OBJECT"))
+        .select(*others, "pos", fields.alias("_fields"))
+        .filter(F.col("_fields").isNotNull())
+        .select(*others, "pos", *[F.col(f"_fields.{n}").alias(f"_{n}") for n in (*names, "spatial")])
+        .select("*", *[F.try_variant_get(F.col(f"_{n}"), "$", "string").alias(f"_{n}_text") for n in names])
     )
-    item = F.col("_item")
+    key, name, value = [_text_or_null(F.col(f"_{n}"), F.col(f"_{n}_text")) for n in names]
     return exploded.select(
         *others,
         "pos",
-        F.coalesce(
-            _text_or_null(item, "key"),
-            _text_or_null(item, "name"),
-            F.concat(F.lit("param_"), (F.col("pos") + 1).cast("string")),
-        ).alias("parameter_key"),
-        F.coalesce(_text_or_null(item, "value"), F.lit("")).alias("value"),
-        F.try_variant_get(item, "$.spatial", "variant").alias("spatial"),
+        F.coalesce(key, name, F.concat(F.lit("param_"), (F.col("pos") + 1).cast("string"))).alias("parameter_key"),
+        F.coalesce(value, F.lit("")).alias("value"),
+        F.col("_spatial").alias("spatial"),
     )
 
 

@@ -20,6 +20,7 @@ from clausework.operators import audit, layout, ledger, reconcile, review, searc
 from clausework.plans import enrich, extract
 from clausework.schemas import DEFAULT_KEYS
 from clausework.session import scratch_path, tune
+from clausework.sources import tables
 from clausework.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """A table for costly row-local work, narrowed before it is spread over the cores."""
+        return tables.spread(getattr(self, name).select(*columns), f"{self.folder}/{name}.parquet")
+
 
 def query(sql: str | None = None):
     def register(build):
@@ -46,6 +51,10 @@ def query(sql: str | None = None):
     return register
 
 
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def big(name: str, alias: str | None = None):
     return F.col(name).cast("bigint").alias(alias or name)
 
@@ -504,7 +513,7 @@ WHERE length(body) > 0
 """)
 def long_paragraph_slices(t):
     """Documents without blank lines: one paragraph each, cut into fixed pieces."""
-    return text.chunk_documents(t.documents.select("doc_id", "text")).withColumn("chunk_no", big("chunk_no"))
+    return text.chunk_documents(t.spread("documents", "doc_id", "text")).withColumn("chunk_no", big("chunk_no"))
 
 
 def line_replies(t) -> DataFrame:
@@ -521,7 +530,8 @@ def line_replies(t) -> DataFrame:
         ),
         (F.col("l_partkey") % 5).cast("int"),
     )
-    return t.lineitem.select("l_orderkey", big("l_linenumber"), "l_partkey", "l_suppkey", shape.alias("response"))
+    lines = t.spread("lineitem", *LINE, "l_returnflag", "l_linestatus")
+    return lines.select("l_orderkey", big("l_linenumber"), "l_partkey", "l_suppkey", shape.alias("response"))
 
 
 @query("""
@@ -592,7 +602,9 @@ def normalize_money(t):
         .when(form == 6, F.concat(F.lit("Net "), q, F.lit(" B,  "), part))
         .otherwise(F.concat(F.col("l_returnflag"), F.lit("  pounds ")))
     )
-    lines = t.lineitem.select("l_orderkey", big("l_linenumber"), "l_partkey", "l_suppkey", raw.alias("raw"))
+    lines = t.spread("lineitem", *LINE, "l_returnflag", "l_quantity", "l_extendedprice", "l_discount").select(
+        "l_orderkey", big("l_linenumber"), "l_partkey", "l_suppkey", raw.alias("raw")
+    )
     return text.normalize_text(lines, "raw", "canonical").drop("raw")
 
 
@@ -604,7 +616,7 @@ SELECT doc_id, trim(regexp_replace(replace(regexp_replace(
 FROM documents
 """)
 def normalize_documents(t):
-    return text.normalize_text(t.documents.select("doc_id", "text"), "text", "canonical").drop("text")
+    return text.normalize_text(t.spread("documents", "doc_id", "text"), "text", "canonical").drop("text")
 
 
 # ---- vectors -------------------------------------------------------------------------------
@@ -661,7 +673,7 @@ def vector_topk_batch(t):
 
 @query("SELECT doc_id, 384::BIGINT AS width, true AS unit FROM documents")
 def embed_hashing(t):
-    embedded = enrich.embed_hashing(t.documents.select("doc_id", "text"), "text", "vector_embed")
+    embedded = enrich.embed_hashing(t.spread("documents", "doc_id", "text"), "text", "vector_embed")
     return embedded.select(
         "doc_id", F.size("vector_embed").cast("bigint").alias("width"),
         (F.abs(vectors.norm(F.col("vector_embed")) - 1) < 1e-3).alias("unit"),
@@ -697,7 +709,7 @@ FROM ({EXTRACT_SQL})
 """)
 def extract_rules(t):
     """The whole extraction job on documents with planted lines; three rows, so three ids, a contract."""
-    documents = planted_documents(t.documents)
+    documents = planted_documents(t.spread("documents", *DOCUMENT))
     versions = documents.select("contract_id", F.lit(1).alias("version_number"), F.lit(True).alias("is_current"))
     rows = extract.extract(documents, versions)
     return extract.with_ids(rows).select(
@@ -709,7 +721,9 @@ def extract_rules(t):
 @query(f"SELECT contract_id, 1::BIGINT AS version_number, parameter_key, original_extract FROM ({EXTRACT_SQL})")
 def stream_extract(t):
     """The same job on a stream of arriving documents."""
-    documents = planted_documents(file_stream(t, "documents")).select(
+    documents = planted_documents(tables.spread(
+        file_stream(t, "documents").select(*DOCUMENT), f"{t.folder}/documents.parquet"
+    )).select(
         "contract_id", F.lit(1).alias("version_number"), "text"
     )
     out = scratch_path(t.spark, "stream-extract")

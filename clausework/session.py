@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small shuffles of costly rows still use every core.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # A contract may hold a third of all rows: split its shuffle blocks in joins even
     # when that costs one more exchange further up.
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from clausework.schemas import DOCUMENTS, TABLES
 
 
+# An input split of this size keeps a core busy for a while.
+SPLIT_BYTES = 32 << 20
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the data model from Parquet, with its declared schema (no inference)."""
     return spark.read.schema(TABLES[name]).parquet(path)
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """``df``, read from ``path``, over all cores when the files are too few to split that far.
+
+    Only inputs below ``SPLIT_BYTES`` per core are shuffled; larger ones already have the tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # File lengths only: the contents are pruned away.
+    files = df.sparkSession.read.format("binaryFile").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
