@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from clausework.operators.ledger import ETAG_PREFIX, etag
 from clausework.operators.scan import ROWS_PER_TASK, Carry, running, split_hot
 from clausework.schemas import ACTIVE, DRAFT, PENDING
+from clausework.session import checkpointed
 
 CREATE, SUBMIT, APPROVE = "create", "submit", "approve"
 
@@ -177,3 +178,138 @@ def _sorted_replay(rows, segment, order, command, if_match):
 
     schema = T.StructType([*rows.schema.fields, *OUTCOME])
     return rows.repartition(*segment).sortWithinPartitions(*segment, *order).mapInPandas(fold, schema)
+
+
+def _joined_replay(rows, segment, order, command, if_match, rows_per_task):
+    """Replay of versions too long for one task.
+
+    Once it is known which commands with If-Match take effect, the others fall out of the log and
+    the closed form of ``replay`` holds for what is left.
+    """
+    kind = F.col(command)
+    moves = kind.isin(SUBMIT, APPROVE)
+    conditional = moves & (F.coalesce(F.col(if_match), F.lit("")) != "")
+    # The revision a tag asks for; null for tags that are no tag of this version.
+    number = F.element_at(F.split(F.col(if_match), "-"), -1).try_cast("long")
+    asked = F.when(conditional & (etag(*[F.col(c) for c in segment], number) == F.col(if_match)), number)
+    free = F.when(moves & ~conditional, kind)
+    lined = running(
+        rows.withColumn("_asked", asked), segment, order,
+        {
+            "_pos": Carry("sum", F.lit(1)),
+            "_run": Carry("sum", F.when(free.isNotNull(), 1).otherwise(0)),
+            "_free": Carry("last", free),
+            "_free_before": Carry("last", free, include_row=False),
+        },
+        rows_per_task,
+    )
+    # What free commands alone would do: a submit always works, an approve right after a submit.
+    works = (free == SUBMIT) | ((free == APPROVE) & (F.col("_free_before") == SUBMIT))
+    lined = checkpointed(running(
+        lined, segment, order, {"_base": Carry("sum", F.when(works, 1).otherwise(0))}, rows_per_task
+    ))
+    fired = _fired(lined, segment, command, free, rows_per_task).withColumn("_fired", F.lit(True))
+    known = lined.join(fired, [*segment, "_pos"], "left")
+    acts = (kind == CREATE) | free.isNotNull() | F.col("_fired").isNotNull()
+    flow = F.when(acts & kind.isin(CREATE, SUBMIT, APPROVE), kind)
+    setter = F.when(acts & (kind == CREATE), F.col("_opened")).when(acts & (kind == SUBMIT), F.lit(PENDING))
+    stated = running(
+        known.withColumn("_acts", acts), segment, order,
+        {
+            "_set": Carry("last", setter),
+            "_last": Carry("last", flow),
+            "_before": Carry("last", flow, include_row=False),
+        },
+        rows_per_task,
+    )
+    pending = (F.col("_set") == PENDING) & (F.col("_before") != APPROVE)
+    moved = F.col("_acts") & ((kind == SUBMIT) | ((kind == APPROVE) & pending))
+    revised = running(
+        stated.withColumn("_moved", F.coalesce(moved, F.lit(False))), segment, order,
+        {"revision": Carry("sum", F.when(F.col("_moved"), 1).otherwise(0))}, rows_per_task,
+    )
+    return revised.withColumns({
+        "workflow_state": F.when((F.col("_last") == APPROVE) & (F.col("_set") == PENDING), F.lit(ACTIVE)).otherwise(
+            F.col("_set")
+        ),
+        "status": F.when(~moves | F.col("_moved"), 200)
+        .when(F.col("_acts") | F.col("_asked").eqNullSafe(F.col("revision")), 400)
+        .otherwise(409),
+        "etag": etag(*[F.col(c) for c in segment], F.col("revision")),
+    })
+
+
+def _fired(lined, segment, command, free, rows_per_task):
+    """Positions of the commands with If-Match that take effect.
+
+    After such a command (or the create) the revision and state are known, and between it and the
+    next one only free commands act, whose effect differs from ``_base`` by a constant settled at
+    the first of them. So each has one successor, found by an equality key and the next position;
+    the chain from the create is then walked in doubling steps.
+    """
+    kind = F.col(command)
+    is_root = kind == CREATE
+    nodes = lined.filter(is_root | F.col("_asked").isNotNull()).select(
+        *segment, "_pos", "_run", "_base", "_free", "_asked", kind.alias("_kind"),
+        F.when(is_root, 0).otherwise(F.col("_asked") + 1).alias("_after"),
+        F.when(is_root, F.col("_opened") == PENDING).otherwise(kind == SUBMIT).alias("_pending"),
+    )
+    first_free = lined.filter(free.isNotNull()).select(
+        *segment, (F.col("_run") - 1).alias("_run"), F.col("_pos").alias("_free_pos"), free.alias("_free_kind")
+    )
+    nodes = checkpointed(nodes.join(first_free, [*segment, "_run"], "left"))
+    submit_before = F.coalesce(F.col("_free") == SUBMIT, F.lit(False))
+    shift = F.when(
+        F.col("_free_kind") == APPROVE, F.col("_pending").cast("int") - submit_before.cast("int")
+    ).otherwise(0)
+    none = F.lit(None).cast("long")
+
+    def side(rows, near, run, key, at, pos, submit):
+        return rows.select(
+            *segment, F.lit(near).alias("_near"), run.alias("_at_run"), key.alias("_key"),
+            (-at).alias("_back"), pos.alias("_offer"), submit.alias("_submit"), F.col("_pos"), F.col("_pending"),
+        )
+
+    offers = nodes.filter("_asked IS NOT NULL")
+    is_submit = F.col("_kind") == SUBMIT
+    no_run = F.lit(-1).cast("long")
+    lines = (
+        # Before the next free command: same run, the very next revision.
+        side(offers, True, F.col("_run"), F.col("_asked"), F.col("_pos"), F.col("_pos"), is_submit)
+        .unionByName(side(nodes, True, F.col("_run"), F.col("_after"), F.col("_pos"), none, F.lit(False)))
+        # Behind it: the revision relative to the free commands' own count.
+        .unionByName(side(
+            offers.filter(is_submit | submit_before), False, no_run,
+            F.col("_asked") - F.col("_base"), F.col("_pos"), F.col("_pos"), is_submit,
+        ))
+        .unionByName(side(
+            nodes.filter("_free_pos IS NOT NULL"), False, no_run,
+            F.col("_after") - F.col("_base") + shift, F.col("_free_pos"), none, F.lit(False),
+        ))
+    )
+    found = running(
+        lines, [*segment, "_near", "_at_run", "_key"], ["_back"],
+        {
+            "_any": Carry("last", F.col("_offer"), include_row=False),
+            "_by_submit": Carry("last", F.when(F.col("_submit"), F.col("_offer")), include_row=False),
+        },
+        rows_per_task,
+    ).filter("_offer IS NULL")
+    follower = F.when(~F.col("_near") | F.col("_pending"), F.col("_any")).otherwise(F.col("_by_submit"))
+    jump = checkpointed(
+        found.withColumn("_next", follower).filter("_next IS NOT NULL").groupBy(*segment, "_pos").agg(
+            F.max_by("_next", "_near").alias("_next")
+        )
+    )
+    at = [*segment, "_pos"]
+    reached = nodes.filter("_asked IS NULL").select(*at)
+    fired = None
+    while True:
+        new = checkpointed(reached.join(jump, at).select(*segment, F.col("_next").alias("_pos")))
+        if new.isEmpty():
+            break
+        fired = new if fired is None else checkpointed(fired.unionByName(new))
+        reached = reached.unionByName(new)
+        onward = jump.select(*segment, F.col("_pos").alias("_next"), F.col("_next").alias("_beyond"))
+        jump = checkpointed(jump.join(onward, [*segment, "_next"]).select(*at, F.col("_beyond").alias("_next")))
+    return fired if fired is not None else reached.limit(0)
