@@ -443,7 +443,7 @@ def override_rescore(t):
 @query()
 def text_precision(t):
     """Ratio of each turn to the next one of its conversation, on whole texts."""
-    turn = t.conversations.select("conv_id", "turn", F.col("text").alias("first"))
+    turn = t.spread("conversations", "conv_id", "turn", "text").withColumnRenamed("text", "first")
     after = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("second"))
     return turn.join(after, ["conv_id", "turn"]).select(
         "conv_id", "turn", six(scores.text_precision(F.col("first"), F.col("second")), "ratio")
