@@ -44,9 +44,9 @@ def first_arrivals(incoming: DataFrame, key: str, order: str) -> DataFrame:
 
 def insert_if_absent(contracts: DataFrame, incoming: DataFrame, order: str, key: str = "contract_id") -> DataFrame:
     """Contracts plus the first arrival of every unknown id; known rows stay as they are."""
-    # Anti join before the aggregate: known ids never reach its shuffle.
-    unknown = incoming.join(contracts.select(key), key, "left_anti")
-    fresh = first_arrivals(unknown, key, order).select(*contracts.columns)
+    # Reduced map-side to one row per id first, so an id posted over and over cannot skew the join.
+    arrivals = first_arrivals(incoming, key, order)
+    fresh = arrivals.join(contracts.select(key), key, "left_anti").select(*contracts.columns)
     return contracts.unionByName(fresh)
 
 

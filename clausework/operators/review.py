@@ -116,13 +116,12 @@ def score_overrides(overrides: DataFrame, parameters: DataFrame, embedder=None)
     DataFrame with ``user_override`` to one with ``override_embed``; None if it is there already.
     """
     latest = latest_overrides(overrides)
-    if embedder is not None:
-        latest = embedder(latest)
-    stored = parameters.select(
-        "parameter_id", "original_extract", "vector_embed", F.lit(True).alias("_found")
-    )
+    stored = parameters.select("parameter_id", "original_extract", "vector_embed")
+    # Inner join: the small batch of overrides may be broadcast, or filter the scan at run time.
     # Only overridden rows meet the Python ratio; the rest of the table never leaves the JVM.
-    pairs = latest.join(stored, "parameter_id", "left")
+    pairs = latest.join(stored, "parameter_id")
+    if embedder is not None:
+        pairs = embedder(pairs)
     pairs = normalize_text(pairs, "original_extract", "_original")
     pairs = normalize_text(pairs, "user_override", "_override")
     semantic = F.when(
@@ -130,12 +129,13 @@ def score_overrides(overrides: DataFrame, parameters: DataFrame, embedder=None)
         cosine_similarity(F.col("vector_embed"), F.col("override_embed")),
     ).otherwise(F.lit(0.0))
     score = combined_score(text_precision(F.col("_original"), F.col("_override")), semantic)
+    known = parameters.select("parameter_id").join(latest.select("parameter_id"), "parameter_id", "left_semi")
+    unknown = latest.join(known, "parameter_id", "left_anti")
     return pairs.select(
-        "parameter_id",
-        "user_override",
-        F.when(F.col("_found"), F.lit(200)).otherwise(F.lit(404)).alias("status"),
-        F.when(F.col("_found"), score).alias("combined_score"),
-    )
+        "parameter_id", "user_override", F.lit(200).alias("status"), score.alias("combined_score")
+    ).unionByName(unknown.select(
+        "parameter_id", "user_override", F.lit(404).alias("status"), F.lit(None).cast("double").alias("combined_score")
+    ))
 
 
 def apply_overrides(parameters: DataFrame, scored: DataFrame) -> DataFrame:

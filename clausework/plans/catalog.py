@@ -118,6 +118,27 @@ def version_ledger(t):
     return order_versions(t).select("contract_id", "o_orderkey", "workflow_state", "version_number", "is_current")
 
 
+@query(f"""
+SELECT contract_id, version_number, workflow_state, is_current,
+  substr(sha256(contract_id::VARCHAR), 1, 32) || '-' || version_number || '-0' AS etag FROM ({LEDGER_SQL})
+""")
+def version_view(t):
+    tagged = order_versions(t).withColumn("etag", ledger.etag(F.col("contract_id"), F.col("version_number"), F.lit(0)))
+    return ledger.version_view(tagged)
+
+
+@query("""
+SELECT l_partkey AS parameter_id, l_returnflag AS parameter_key, l_linestatus AS original_extract,
+  NULLIF(l_returnflag, 'N') AS user_override, 1 - l_discount AS combined_score FROM lineitem
+""")
+def short_parameters(t):
+    return ledger.short_parameters(t.lineitem.select(
+        "l_orderkey", F.col("l_partkey").alias("parameter_id"), F.col("l_returnflag").alias("parameter_key"),
+        F.col("l_linestatus").alias("original_extract"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("user_override"),
+        (1 - F.col("l_discount")).alias("combined_score"),
+    ))
+
+
 @query(f"SELECT contract_id, o_orderkey, workflow_state FROM ({LEDGER_SQL}) WHERE is_current")
 def current_version(t):
     versions = t.orders.select(
@@ -305,7 +326,9 @@ def guessed_tags(log: DataFrame) -> DataFrame:
 
 def file_stream(t, name: str) -> DataFrame:
     schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option(
+        "maxFilesPerTrigger", 1
+    ).parquet(t.folder)
 
 
 @query(replay_sql("NULL::VARCHAR", REPLAY_COLUMNS))

@@ -67,9 +67,14 @@ def prompts(chunk: Column, keys: list[str] | None = None) -> Column:
 def replies_from_model(
     chunks: DataFrame, load: Extractor, keys: list[str] | None = None, chunk: str = "chunk", batch: int = EMBED_BATCH
 ) -> DataFrame:
-    """One JSON reply per chunk from a user model; chunks run in parallel over all tasks."""
+    """One JSON reply per chunk from a user model.
+
+    Chunks are spread by identity, so the many chunks of a long document do not queue in one task;
+    a model call costs far more than moving its chunk.
+    """
     others = [c for c in chunks.columns if c != chunk]
-    asked = chunks.select(*others, prompts(F.col(chunk), keys).alias("response"))
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = chunks.repartition(tasks, *others).select(*others, prompts(F.col(chunk), keys).alias("response"))
 
     def ask(batches):
         model = load()

@@ -62,13 +62,15 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     )
 
 
-def read_commands(spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None) -> DataFrame:
-    """The command feed, as a table or as a stream of arriving files."""
+def read_commands(spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int = 64) -> DataFrame:
+    """The command feed, as a table or as a stream of arriving files.
+
+    ``files_per_batch`` bounds a micro-batch, and with it what one contract can bring at once,
+    however long the backlog.
+    """
     if not streaming:
         return read_table(spark, path, "commands")
-    reader = spark.readStream.schema(TABLES["commands"])
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(TABLES["commands"]).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
