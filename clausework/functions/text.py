@@ -39,14 +39,21 @@ def trimmed(col) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def paragraphs(text) -> Column:
+    """Trimmed, non-empty parts between blank lines."""
+    return F.filter(F.transform(F.split(text, "\n\n", -1), trimmed), lambda p: F.length(p) > 0)
+
+
+def pieces_of(text, size: int) -> Column:
+    """Consecutive pieces of ``size`` code points; one regex pass, where substrings would rescan."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+
+
 def chunks(text, max_chars: int = CHUNK_CHARS) -> Column:
     """Array of chunks: blank-line paragraphs packed greedily up to ``max_chars`` code points.
 
     A paragraph over the limit flushes the open chunk and is cut into fixed pieces of its own.
     """
-    paragraphs = F.filter(
-        F.transform(F.split(text, "\n\n", -1), trimmed), lambda p: F.length(p) > 0
-    )
     none = F.array().cast("array<string>")
 
     def pack(acc, p):
@@ -54,10 +61,8 @@ def chunks(text, max_chars: int = CHUNK_CHARS) -> Column:
         flushed = F.when(open_ == "", out).otherwise(F.concat(out, F.array(open_)))
         too_long = F.length(p) > max_chars
         full = (open_ != "") & (F.length(open_) + 2 + F.length(p) > max_chars)
-        # One regex pass cuts in linear time; repeated substring would rescan from the start.
-        pieces = F.regexp_extract_all(p, F.lit(f"(?s)(.{{1,{max_chars}}})"), F.lit(1))
         return F.struct(
-            F.when(too_long, F.concat(flushed, pieces)).when(full, flushed).otherwise(out).alias("out"),
+            F.when(too_long, F.concat(flushed, pieces_of(p, max_chars))).when(full, flushed).otherwise(out).alias("out"),
             F.when(too_long, F.lit(""))
             .when(full | (open_ == ""), p)
             .otherwise(F.concat(open_, F.lit("\n\n"), p))
@@ -65,7 +70,7 @@ def chunks(text, max_chars: int = CHUNK_CHARS) -> Column:
         )
 
     return F.aggregate(
-        paragraphs,
+        paragraphs(text),
         F.struct(none.alias("out"), F.lit("").alias("open")),
         pack,
         lambda acc: F.when(acc["open"] == "", acc["out"]).otherwise(

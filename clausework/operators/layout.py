@@ -9,22 +9,26 @@ from clausework.operators.scan import ROWS_PER_TASK, Carry, running
 from clausework.schemas import MIN_BOX, PAGE_GAP
 
 
+def assemble_pages(
+    pieces: DataFrame, doc: str = "contract_id", page: str = "page", pos: str = "pos", piece: str = "piece",
+    target: str = "text",
+) -> DataFrame:
+    """One text per page: its pieces in order, joined by a space."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct(pos, piece))), lambda x: x[piece])
+    return pieces.groupBy(doc, page).agg(F.array_join(in_order, " ").alias(target))
+
+
 def assemble_documents(
     pieces: DataFrame, doc: str = "contract_id", page: str = "page", pos: str = "pos", piece: str = "piece"
 ) -> DataFrame:
-    """One text per document: pieces joined by a space, every page followed by a blank line.
+    """One text per document: its pages in order, each followed by a blank line.
 
-    The group is the output cell itself; pages are joined first so pieces spread by page.
+    Pages come together first, so pieces spread by page. The text is one cell; for documents
+    beyond that see ``chunk_pieces``, which needs no whole text.
     """
-    pages = pieces.groupBy(doc, page).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(pos, piece))), lambda x: x[piece]), " "
-        ).alias("_page")
-    )
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(page, "_page"))), lambda x: x["_page"])
-    return pages.groupBy(doc).agg(
-        F.concat(F.array_join(ordered, "\n\n"), F.lit("\n\n")).alias("text")
-    )
+    pages = assemble_pages(pieces, doc, page, pos, piece, "_page")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct(page, "_page"))), lambda x: x["_page"])
+    return pages.groupBy(doc).agg(F.concat(F.array_join(in_order, "\n\n"), F.lit("\n\n")).alias("text"))
 
 
 def page_offsets(

@@ -132,6 +132,27 @@ def _sliced_scan(df, keys, order, carries, slices):
     ])
 
 
+def reachable(roots: DataFrame, jump: DataFrame, keys: list[str], pos: str = "_pos", next_pos: str = "_next") -> DataFrame:
+    """Positions on the chains that start at ``roots`` and follow ``jump`` (keys, pos, next), without the roots.
+
+    Each round doubles the stride, so a chain of n links takes log2(n) rounds of equi-joins on
+    unique keys.
+    """
+    reached, found = roots.select(*keys, pos), None
+    while True:
+        new = checkpointed(
+            reached.join(jump, [*keys, pos]).select(*keys, F.col(next_pos).alias(pos)).distinct()
+        )
+        if new.isEmpty():
+            return roots.select(*keys, pos).limit(0) if found is None else found
+        found = new if found is None else checkpointed(found.unionByName(new).distinct())
+        reached = checkpointed(reached.unionByName(new).distinct())
+        onward = jump.select(*keys, F.col(pos).alias(next_pos), F.col(next_pos).alias("_beyond"))
+        jump = checkpointed(
+            jump.join(onward, [*keys, next_pos]).select(*keys, pos, F.col("_beyond").alias(next_pos))
+        )
+
+
 def number_rows(df: DataFrame, order: list[str], name: str, start: int = 1, slices: int = 0) -> DataFrame:
     """Number all rows in ``order`` without a single-task sort: local numbers plus slice offsets."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausework.operators.ledger import ETAG_PREFIX, etag
-from clausework.operators.scan import ROWS_PER_TASK, Carry, running, split_hot
+from clausework.operators.scan import ROWS_PER_TASK, Carry, reachable, running, split_hot
 from clausework.schemas import ACTIVE, DRAFT, PENDING
 from clausework.session import checkpointed
 
@@ -301,15 +301,4 @@ def _fired(lined, segment, command, free, rows_per_task):
             F.max_by("_next", "_near").alias("_next")
         )
     )
-    at = [*segment, "_pos"]
-    reached = nodes.filter("_asked IS NULL").select(*at)
-    fired = None
-    while True:
-        new = checkpointed(reached.join(jump, at).select(*segment, F.col("_next").alias("_pos")))
-        if new.isEmpty():
-            break
-        fired = new if fired is None else checkpointed(fired.unionByName(new))
-        reached = reached.unionByName(new)
-        onward = jump.select(*segment, F.col("_pos").alias("_next"), F.col("_next").alias("_beyond"))
-        jump = checkpointed(jump.join(onward, [*segment, "_next"]).select(*at, F.col("_beyond").alias("_next")))
-    return fired if fired is not None else reached.limit(0)
+    return reachable(nodes.filter("_asked IS NULL").select(*segment, "_pos"), jump, segment)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions import scores, text, vectors
 from clausework.functions.replies import reply_items, spatial_struct
-from clausework.operators import audit, layout, ledger, reconcile, review, search, workflow
+from clausework.operators import audit, chunking, layout, ledger, reconcile, review, search, workflow
 from clausework.plans import enrich, extract
 from clausework.schemas import DEFAULT_KEYS
 from clausework.session import scratch_path, tune
@@ -475,9 +475,10 @@ def text_precision(t):
 
 # ---- documents and replies -----------------------------------------------------------------
 
-def conversation_documents(t) -> DataFrame:
-    return layout.assemble_documents(
-        t.conversations.select(F.col("conv_id").alias("contract_id"), F.col("turn").alias("page"), F.lit(0).alias("pos"), F.col("text").alias("piece"))
+def turn_pages(t) -> DataFrame:
+    """Each turn of a conversation as a page of one piece."""
+    return t.conversations.select(
+        F.col("conv_id").alias("contract_id"), F.col("turn").alias("page"), F.lit(0).alias("pos"), F.col("text").alias("piece")
     )
 
 
@@ -520,12 +521,12 @@ SELECT conv_id AS contract_id, row_number() OVER (PARTITION BY conv_id ORDER BY
 
 @query(chunk_sql(300))
 def document_chunks(t):
-    return text.chunk_documents(conversation_documents(t), max_chars=300).withColumn("chunk_no", big("chunk_no"))
+    return chunking.chunk_pieces(turn_pages(t), 300).withColumn("chunk_no", big("chunk_no"))
 
 
 @query(chunk_sql(3000))
 def document_chunks_default(t):
-    return text.chunk_documents(conversation_documents(t)).withColumn("chunk_no", big("chunk_no"))
+    return chunking.chunk_pieces(turn_pages(t)).withColumn("chunk_no", big("chunk_no"))
 
 
 @query("""
