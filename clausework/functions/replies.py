@@ -44,16 +44,19 @@ def reply_items(replies: DataFrame, response: str = "response") -> DataFrame:
         F.try_variant_get(F.col("_reply"), "$.parameters", "array<variant>"),
         F.try_variant_get(F.col("_reply"), "$", "array<variant>"),
     )
-    # One access per item takes all fields out; anything but an object gives null.
-    fields = F.try_variant_get(
-        F.col("_item"), "$", "struct<key: variant, name: variant, value: variant, spatial: variant>"
+    # One access per item takes all fields out; anything but an object gives null and is dropped
+    # inside the array, where no pushed-down filter repeats the access.
+    shape = "struct<key: variant, name: variant, value: variant, spatial: variant>"
+    objects = F.filter(
+        F.transform(
+            items, lambda x, i: F.struct(i.alias("pos"), F.try_variant_get(x, "$", shape).alias("_fields"))
+        ),
+        lambda x: x["_fields"].isNotNull(),
     )
     names = ("key", "name", "value")
     exploded = (
         replies.select(*others, parsed.alias("_reply"))
-        .select(*others, F.posexplode(items).alias("pos", "_item"))
-        .select(*others, "pos", fields.alias("_fields"))
-        .filter(F.col("_fields").isNotNull())
+        .select(*others, F.inline(objects))
         .select(*others, "pos", *[F.col(f"_fields.{n}").alias(f"_{n}") for n in (*names, "spatial")])
         .select("*", *[F.try_variant_get(F.col(f"_{n}"), "$", "string").alias(f"_{n}_text") for n in names])
     )
@@ -63,7 +66,7 @@ def reply_items(replies: DataFrame, response: str = "response") -> DataFrame:
         "pos",
         F.coalesce(key, name, F.concat(F.lit("param_"), (F.col("pos") + 1).cast("string"))).alias("parameter_key"),
         F.coalesce(value, F.lit("")).alias("value"),
-        F.col("_spatial").alias("spatial"),
+        F.when(~F.is_variant_null(F.col("_spatial")), F.col("_spatial")).alias("spatial"),
     )
 
 

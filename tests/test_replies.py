@@ -14,6 +14,8 @@ REPLIES = [
     ('{"parameters":[{"key":true,"value":1.0},{"key":7,"value":12.50}]}', [("True", "1.0"), ("7", "12.5")]),
     ('{"parameters":[{"key":[],"name":{},"value":[1]},{"key":"","name":"n","value":null}]}', [("param_1", "[1]"), ("n", "")]),
     ('{"parameters":[{"key":"a","key":"q","value":"last wins"}]}', [("q", "last wins")]),
+    ('{"parameters":[{"Key":"a","KEY":"b","value":"x"}]}', [("param_1", "x")]),
+    ('{"Parameters":[{"key":"a"}]}', []),
     ("{bad", []), ("{}", []), ('{"parameters":null}', []), ('{"parameters":{"k":{}}}', []),
     ('{"parameters":3}', []), ("5", []), ('"s"', []), ("null", []), ("", []), (None, []), ("[null, [1], \"x\"]", []),
 ]
@@ -35,6 +37,7 @@ def test_spatial(spark):
         "page": 2, "x_min": 1.0, "y_min": 2.5, "x_max": 3.0, "y_max": 4.0, "page_width": None, "page_height": None,
     }
     assert boxes[1].box.page is None
+    assert reply_items(df).filter("pos = 1 AND spatial IS NULL").count() == 1
 
 
 def kept_by_hand(items):
