@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.operators.scan import ROWS_PER_TASK, Carry, running
+from clausework.operators.scan import ROWS_PER_TASK, Carry, lookup, running
 from clausework.schemas import MIN_BOX, PAGE_GAP
 
 
@@ -57,7 +57,9 @@ def _scale(rendered: Column, own: Column) -> Column:
     return F.when(F.coalesce(own, F.lit(0.0)) != 0, rendered / own).otherwise(F.lit(1.0))
 
 
-def box_geometry(boxes: DataFrame, offset_pages: DataFrame, doc: str = "contract_id") -> DataFrame:
+def box_geometry(
+    boxes: DataFrame, offset_pages: DataFrame, doc: str = "contract_id", rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Boxes (page, x_min .. page_height) placed on rendered pages (page, width, height, page_offset).
 
     Page 0 and below count as page 1; a box on a page that does not exist is dropped.
@@ -69,7 +71,8 @@ def box_geometry(boxes: DataFrame, offset_pages: DataFrame, doc: str = "contract
     rendered = offset_pages.select(
         doc, F.col("page").alias("_page"), F.col("width").alias("_w"), F.col("height").alias("_h"), "page_offset"
     )
-    placed = boxes.withColumn("_page", F.greatest(F.col("page"), F.lit(1))).join(rendered, [doc, "_page"])
+    on_page = boxes.withColumn("_page", F.greatest(F.col("page"), F.lit(1)))
+    placed = lookup(on_page, rendered, [doc, "_page"], rows_per_task=rows_per_task)
     sx, sy = _scale(F.col("_w"), F.col("page_width")), _scale(F.col("_h"), F.col("page_height"))
     return placed.select(
         *others,

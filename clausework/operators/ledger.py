@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.operators.scan import ROWS_PER_TASK, Carry, running
+from clausework.operators.scan import ROWS_PER_TASK, Carry, lookup, running
 from clausework.schemas import DRAFT, FULL_PARAMETER_VIEW, SHORT_PARAMETER_VIEW, VERSION_VIEW
 
 # Longest etag: 32 + 1 + 10 + 1 + 19 = 63 characters, within the declared 64.
@@ -27,12 +27,17 @@ def short_parameters(parameters: DataFrame) -> DataFrame:
 
 
 def parameter_listing(
-    parameters: DataFrame, requested: DataFrame, keys=("contract_id", "version_number"), view=None
+    parameters: DataFrame,
+    requested: DataFrame,
+    keys=("contract_id", "version_number"),
+    view=None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Parameters of the requested versions, ordered by id."""
     wanted = requested.select(*keys).distinct()
     columns = list(dict.fromkeys([*keys, *(view or FULL_PARAMETER_VIEW)]))
-    return parameters.join(wanted, list(keys)).select(*columns).orderBy("parameter_id")
+    found = lookup(parameters.select(*columns), wanted, list(keys), rows_per_task=rows_per_task)
+    return found.orderBy("parameter_id")
 
 
 def first_arrivals(incoming: DataFrame, key: str, order: str) -> DataFrame:
@@ -50,11 +55,17 @@ def insert_if_absent(contracts: DataFrame, incoming: DataFrame, order: str, key:
     return contracts.unionByName(fresh)
 
 
-def next_version(requests: DataFrame, versions: DataFrame, key: str = "contract_id", version: str = "version_number") -> DataFrame:
+def next_version(
+    requests: DataFrame,
+    versions: DataFrame,
+    key: str = "contract_id",
+    version: str = "version_number",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """Each request with ``next_version``: highest existing number plus one."""
     highest = versions.groupBy(key).agg(F.max(version).alias("_highest"))
-    return requests.join(highest, key, "left").select(
-        *[requests[c] for c in requests.columns],
+    return lookup(requests, highest, [key], "left", rows_per_task).select(
+        *requests.columns,
         (F.coalesce(F.col("_highest"), F.lit(0)) + 1).alias("next_version"),
     )
 
@@ -87,7 +98,7 @@ def create_versions(
         {"_nth": Carry("sum", one), "_all": Carry("total", one)}, rows_per_task,
     )
     number = (F.col("next_version") + F.col("_nth") - 1).cast("int")
-    fresh = next_version(numbered, versions).select(
+    fresh = next_version(numbered, versions, rows_per_task=rows_per_task).select(
         "contract_id",
         number.alias("version_number"),
         F.coalesce(F.col("workflow_state"), F.lit(DRAFT)).alias("workflow_state"),
@@ -96,9 +107,9 @@ def create_versions(
         (F.current_timestamp().cast("timestamp_ntz") if created_at is None else created_at).alias("created_at"),
     )
     touched = requests.select("contract_id").distinct().withColumn("_touched", F.lit(True))
-    older = versions.join(touched, "contract_id", "left").select(
+    older = lookup(versions, touched, ["contract_id"], "left", rows_per_task).select(
         *[
-            (F.col("is_current") & F.col("_touched").isNull()).alias(c) if c == "is_current" else versions[c]
+            (F.col("is_current") & F.col("_touched").isNull()).alias(c) if c == "is_current" else F.col(c)
             for c in versions.columns
         ]
     )
@@ -112,10 +123,15 @@ def current_version(versions: DataFrame, key: str, order: list[str], columns: li
     ).select(key, "_current.*")
 
 
-def lookup_versions(requests: DataFrame, versions: DataFrame, keys=("contract_id", "version_number")) -> DataFrame:
+def lookup_versions(
+    requests: DataFrame,
+    versions: DataFrame,
+    keys=("contract_id", "version_number"),
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """Requests with the version's columns and ``status``: 200 or 404."""
     found = versions.withColumn("_found", F.lit(True))
-    return requests.join(found, list(keys), "left").withColumn(
+    return lookup(requests, found, list(keys), "left", rows_per_task).withColumn(
         "status", F.when(F.col("_found"), F.lit(200)).otherwise(F.lit(404))
     ).drop("_found")
 

@@ -9,6 +9,7 @@ from clausework.functions.scores import combined_score, text_precision
 from clausework.functions.text import normalize_text, trimmed
 from clausework.functions.vectors import cosine_similarity
 from clausework.operators.ledger import etag_status, lookup_versions
+from clausework.operators.scan import ROWS_PER_TASK, lookup
 from clausework.schemas import ACCEPT_THRESHOLD
 
 VERSION_KEY = ["contract_id", "version_number"]
@@ -50,22 +51,25 @@ def accept_counts(parameters: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def accept_requests(requests: DataFrame, versions: DataFrame, parameters: DataFrame):
+def accept_requests(
+    requests: DataFrame, versions: DataFrame, parameters: DataFrame, rows_per_task: int = ROWS_PER_TASK
+):
     """Batch accept for (contract_id, version_number, if_match) requests.
 
     Returns (requests with status and updated count, parameter table afterwards).
     """
-    looked_up = lookup_versions(requests, versions.select(*VERSION_KEY, "etag"))
+    looked_up = lookup_versions(requests, versions.select(*VERSION_KEY, "etag"), rows_per_task=rows_per_task)
     status = F.when(F.col("status") == 404, F.lit(404)).otherwise(
         etag_status(F.col("if_match"), F.col("etag"))
     )
     judged = looked_up.withColumn("status", status)
     granted = judged.filter("status = 200").select(*VERSION_KEY).distinct()
-    counts = accept_counts(parameters.join(granted, VERSION_KEY), VERSION_KEY)
-    replies = judged.join(counts, VERSION_KEY, "left").withColumn(
+    # Counted per version before the join; only accepted rows are ever updated.
+    counts = accept_counts(parameters, VERSION_KEY)
+    replies = lookup(judged, counts, VERSION_KEY, "left", rows_per_task).withColumn(
         "updated", F.when(F.col("status") == 200, F.coalesce(F.col("updated"), F.lit(0)))
     ).drop("etag")
-    marked = parameters.join(granted.withColumn("_granted", F.lit(True)), VERSION_KEY, "left")
+    marked = lookup(parameters, granted.withColumn("_granted", F.lit(True)), VERSION_KEY, "left", rows_per_task)
     after = accept(
         marked,
         F.col("_granted").isNotNull() & acceptable(F.col("user_override"), F.col("combined_score")),

@@ -36,22 +36,48 @@ def same_key(left: DataFrame, right: DataFrame, pairs) -> Column:
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
-def split_hot(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK):
-    """(rows of ordinary keys, rows of hot keys or None, number of hot rows)."""
+def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """Keys (as ``_hot_<key>``) with too many rows for one task and their ``_rows``; None if there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     top, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
     limit = max(rows_per_task, (total or 0) // MAX_HOT_KEYS)
     if (top or 0) <= limit:
-        return df, None, 0
+        return None
     # Fewer than MAX_HOT_KEYS rows by construction, hence safe to broadcast.
-    hot = checkpointed(
-        counts.filter(F.col("_rows") > limit)
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_rows")
+    return checkpointed(
+        counts.filter(F.col("_rows") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_rows")
     )
-    hot_rows = hot.agg(F.sum("_rows")).first()[0]
+
+
+def _divide(df, keys, hot):
     on = same_key(df, hot, [(k, f"_hot_{k}") for k in keys])
-    small = F.broadcast(hot)
-    return df.join(small, on, "left_anti"), df.join(small, on, "left_semi"), hot_rows
+    return df.join(F.broadcast(hot), on, "left_anti"), df.join(F.broadcast(hot), on, "left_semi")
+
+
+def split_hot(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK):
+    """(rows of ordinary keys, rows of hot keys or None, number of hot rows)."""
+    hot = hot_keys(df, keys, rows_per_task)
+    if hot is None:
+        return df, None, 0
+    return *_divide(df, keys, hot), hot.agg(F.sum("_rows")).first()[0]
+
+
+def lookup(
+    df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Join to a table that has at most one row per key.
+
+    Rows of hot keys are not shuffled: the few table rows they need, fewer than MAX_HOT_KEYS, are
+    broadcast to them.
+    """
+    hot = hot_keys(df, keys, rows_per_task)
+    if hot is None:
+        return df.join(table, keys, how)
+    usual, many = _divide(df, keys, hot)
+    needed = table.join(
+        F.broadcast(hot), same_key(table, hot, [(k, f"_hot_{k}") for k in keys]), "left_semi"
+    )
+    return usual.join(table, keys, how).unionByName(many.join(F.broadcast(needed), keys, how))
 
 
 def running(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from clausework.functions import scores, text, vectors
 from clausework.functions.replies import reply_items, spatial_struct
 from clausework.operators import audit, chunking, layout, ledger, reconcile, review, search, workflow
+from clausework.operators.scan import lookup
 from clausework.plans import enrich, extract
 from clausework.schemas import DEFAULT_KEYS
 from clausework.session import scratch_path, tune
@@ -229,7 +230,8 @@ def etag_check(t):
         .when(F.col("event_id") % 4 == 2, F.col("etag"))
         .when(F.col("event_id") % 4 == 3, F.lit("stale"))
     )
-    joined = t.events.join(current, F.col("user_id") == F.col("contract_id"), "left")
+    requests = t.events.select("event_id", F.col("user_id").alias("contract_id"))
+    joined = lookup(requests, current, ["contract_id"], "left")
     status = F.when(F.col("etag").isNull(), F.lit(404)).otherwise(ledger.etag_status(sent, F.col("etag")))
     return joined.select("event_id", status.cast("bigint").alias("status"))
 
@@ -632,10 +634,22 @@ def normalize_money(t):
     return text.normalize_text(lines, "raw", "canonical").drop("raw")
 
 
-@query(r"""
-SELECT doc_id, trim(regexp_replace(replace(regexp_replace(
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')),
-    '[\s\v]+', ' ', 'g'), '\b(usd|dollars?)\b', '$', 'g'), '\b(eur|euros?)\b', '€', 'g'), '\b(gbp|pounds?)\b', '£', 'g'),
+def whole_words_sql(text_sql: str, words: str, symbol: str) -> str:
+    """Replace whole words, letters of any script counting as letters; twice, as neighbours share a gap."""
+    gap = r"[^\p{L}\p{N}_]"
+    for _ in range(2):
+        text_sql = rf"regexp_replace({text_sql}, '(^|{gap})({words})($|{gap})', '\1{symbol}\3', 'g')"
+    return text_sql
+
+
+BLANKS_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+CANONICAL_SQL = rf"regexp_replace(lower(trim(text, {BLANKS_SQL})), '[\s\v]+', ' ', 'g')"
+for _words, _symbol in (("usd|dollars?", "$"), ("eur|euros?", "€"), ("gbp|pounds?", "£")):
+    CANONICAL_SQL = whole_words_sql(CANONICAL_SQL, _words, _symbol)
+
+
+@query(rf"""
+SELECT doc_id, trim(regexp_replace(replace(regexp_replace({CANONICAL_SQL},
   '([$,€£])\s+', '\1', 'g'), ',', ''), '\.00\b', '', 'g')) AS canonical
 FROM documents
 """)
@@ -808,23 +822,25 @@ def audit_duplicate_keys(t):
     return audit.duplicate_keys(t.lineitem.select("l_orderkey", big("l_linenumber")), ["l_orderkey", "l_linenumber"])
 
 
-@query("""
-SELECT l_suppkey AS contract_id, count(*) AS rows FROM lineitem
-WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_suppkey * 20) GROUP BY 1
+@query(f"""
+SELECT l_partkey AS contract_id, NULL::BIGINT AS version_number, count(*) AS rows FROM lineitem
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_partkey) GROUP BY 1
 UNION ALL
-SELECT o_custkey, count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey) GROUP BY 1
+SELECT user_id, event_id % 20 + 1, count(*) FROM events
+WHERE NOT EXISTS (SELECT 1 FROM ({LEDGER_SQL}) v WHERE contract_id = user_id AND version_number = event_id % 20 + 1)
+GROUP BY 1, 2
 """)
 def audit_orphans(t):
+    """Contracts named by line items but unknown, and versions named by events but unknown."""
     lines = audit.orphans(
-        t.lineitem.select(F.col("l_suppkey").alias("contract_id")),
-        t.customer.filter("c_custkey % 20 = 0").select((F.col("c_custkey") / 20).cast("bigint").alias("contract_id")),
-        ["contract_id"],
+        t.lineitem.select(F.col("l_partkey").alias("contract_id")),
+        t.customer.select(F.col("c_custkey").alias("contract_id")), ["contract_id"],
     )
-    orders = audit.orphans(
-        t.orders.select(F.col("o_custkey").alias("contract_id")),
-        t.supplier.select(F.col("s_suppkey").alias("contract_id")), ["contract_id"],
+    events = audit.orphans(
+        t.events.select(F.col("user_id").alias("contract_id"), (F.col("event_id") % 20 + 1).alias("version_number")),
+        order_versions(t), ["contract_id", "version_number"],
     )
-    return lines.unionByName(orders)
+    return events.unionByName(lines.withColumn("version_number", F.lit(None).cast("bigint")))
 
 
 @query("""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clausework.functions.replies import reply_items
 from clausework.functions.text import chunk_documents
 from clausework.operators.reconcile import reconcile
-from clausework.operators.scan import number_rows
+from clausework.operators.scan import lookup, number_rows
 from clausework.plans.enrich import embed_hashing, replies_from_rules
 from clausework.schemas import CHUNK_CHARS
 from clausework.session import scratch_path
@@ -21,7 +21,7 @@ OWNER = ["contract_id", "version_number"]
 def document_chunks(documents: DataFrame, versions: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     """Chunks of each document under its contract's current version; others have nowhere to go."""
     current = versions.filter("is_current").select(*OWNER)
-    return chunk_documents(documents.join(current, "contract_id").select(*OWNER, "text"), "text", max_chars)
+    return chunk_documents(lookup(documents, current, ["contract_id"]).select(*OWNER, "text"), "text", max_chars)
 
 
 def without_version(documents: DataFrame, versions: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from clausework.operators.scan import Carry, number_rows, running, split_hot
+from clausework.operators.scan import Carry, lookup, number_rows, running, split_hot
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,13 @@ def test_number_rows(rows):
     got = number_rows(rows, ["a", "b"], "n", start=11, slices=7).orderBy("n").collect()
     assert [r.n for r in got] == list(range(11, 3011))
     assert [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in got)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_of_hot_keys_equals_join(spark, rows, plan, how):
+    table = spark.createDataFrame([("hot", 1), ("k1", 2), ("other", 3), (None, 4)], "k string, w int")
+    plain = rows.join(table, ["k"], how)
+    split = lookup(rows, table, ["k"], how, rows_per_task=100)
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+    assert split.count() == (3000 if how == "left" else plain.count())
+    assert "BroadcastHashJoin" in plan(split)
