@@ -53,19 +53,27 @@ def embed_hashing(df: DataFrame, text: str, target: str, width: int = VECTOR_WID
     ).drop("_words", "_counts", "_unit")
 
 
-def prompts(chunk: Column, keys: list[str] | None = None) -> Column:
-    """What a model is asked about one chunk."""
-    only = f" Extract only these parameters: {', '.join(keys)}." if keys else ""
+def prompts(chunk: Column, keys: list[str] | Column | None = None) -> Column:
+    """What a model is asked about one chunk; ``keys`` for all, or an array column with each row's own."""
+    if keys is None or isinstance(keys, list):
+        keys = F.array(*[F.lit(k) for k in keys or []]).cast("array<string>")
     task = (
         "From the following part of a contract, extract its parameters and answer with JSON alone: "
         'an object {"parameters": [...]} whose entries have the fields key, value and spatial '
-        "(spatial may be null)." + only
+        "(spatial may be null)."
     )
-    return F.concat(F.lit(task + "\n\n"), chunk)
+    only = F.when(
+        F.size(keys) > 0, F.concat(F.lit(" Extract only these parameters: "), F.array_join(keys, ", "), F.lit("."))
+    ).otherwise(F.lit(""))
+    return F.concat(F.lit(task), only, F.lit("\n\n"), chunk)
 
 
 def replies_from_model(
-    chunks: DataFrame, load: Extractor, keys: list[str] | None = None, chunk: str = "chunk", batch: int = EMBED_BATCH
+    chunks: DataFrame,
+    load: Extractor,
+    keys: list[str] | Column | None = None,
+    chunk: str = "chunk",
+    batch: int = EMBED_BATCH,
 ) -> DataFrame:
     """One JSON reply per chunk from a user model.
 

@@ -19,9 +19,15 @@ OWNER = ["contract_id", "version_number"]
 
 
 def document_chunks(documents: DataFrame, versions: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Chunks of each document under its contract's current version; others have nowhere to go."""
+    """Chunks of each document under its contract's current version; others have nowhere to go.
+
+    Further columns, such as the keys a request asks for, stay with the chunks.
+    """
     current = versions.filter("is_current").select(*OWNER)
-    return chunk_documents(lookup(documents, current, ["contract_id"]).select(*OWNER, "text"), "text", max_chars)
+    more = [c for c in documents.columns if c not in (*OWNER, "text")]
+    return chunk_documents(
+        lookup(documents, current, ["contract_id"]).select(*OWNER, *more, "text"), "text", max_chars
+    )
 
 
 def without_version(documents: DataFrame, versions: DataFrame) -> DataFrame:

@@ -62,6 +62,18 @@ def test_model_providers(spark, documents, versions):
     assert calls.value == 2
 
 
+def test_keys_of_each_request(spark, documents, versions):
+    asked = documents.withColumn(
+        "requested_keys", F.when(F.col("contract_id") == "a", F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
+    )
+    rows = extract.document_chunks(asked, versions).select(
+        "contract_id", enrich.prompts(F.col("chunk"), F.col("requested_keys")).alias("p")
+    ).collect()
+    prompts = {r.contract_id: r.p for r in rows}
+    assert "parameters: x, y." in prompts["a"] and "Extract only" not in prompts["b"]
+    assert prompts["b"].endswith("\n\nnothing here")
+
+
 def test_keys_across_chunks(spark, versions):
     """Nameless items of different chunks share generated names, and the longer one stays."""
     replies = spark.createDataFrame(
