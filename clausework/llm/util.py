@@ -32,9 +32,30 @@ def uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Null-safe equality of columns with equal names."""
+def match(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe equi-join on equally named columns; the right side's copies of them are dropped."""
+    mine = {n: f"__right_{n}" for n in names}
+    renamed = right.withColumnsRenamed(mine)
     on = F.lit(True)
-    for n in names:
-        on = on & left[n].eqNullSafe(right[n])
-    return on
+    for n, r in mine.items():
+        on = on & F.col(n).eqNullSafe(F.col(r))
+    return left.join(renamed, on, how).drop(*mine.values())
+
+
+def text_key(text: Column) -> Column:
+    """A hash that, next to the row's id, tells its text from others; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def drop_rows(keyed: DataFrame, gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """``keyed`` without the rows named in ``gone``, and with one row of each named in ``twice``.
+
+    Both name rows by all their columns, which ``keyed`` has too and which are dropped from the result.
+    """
+    names = gone.columns
+    left = match(keyed, bounded(gone), names, "left_anti")
+    if twice.take(1):  # the same id and text more than once
+        small = bounded(twice)
+        again = match(left, small, names, "left_semi").dropDuplicates(names)
+        left = match(left, small, names, "left_anti").unionByName(again)
+    return left.drop(*names)
