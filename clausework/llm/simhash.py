@@ -97,8 +97,11 @@ def grid(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     """(cell, fp): every distinct fingerprint in one cell per choice of blocks."""
     # More blocks make finer cells and more choices; any number gives the same links.
     blocks = distance + (2 if n < 1 << 22 else 3 if n < 1 << 26 else 4)
-    fp = F.col("fp")
-    packed = fp.bitwiseAND(_EVEN_BITS) + F.shiftrightunsigned(fp, 1).bitwiseAND(_EVEN_BITS)
+    # Bit count of every two-bit segment, in place: low bit by exclusive or, high bit by and.
+    fp, next_bit = F.col("fp"), F.shiftrightunsigned("fp", 1)
+    packed = fp.bitwiseXOR(next_bit).bitwiseAND(_EVEN_BITS).bitwiseOR(
+        F.shiftleft(fp.bitwiseAND(next_bit).bitwiseAND(_EVEN_BITS), 1)
+    )
     masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(block_masks(blocks, distance))])
     return (
         fps.select("fp", packed.alias("packed"), F.explode(masks).alias("c"))
