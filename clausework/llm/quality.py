@@ -177,43 +177,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return latent_model(dense(rows), (table.column("label").to_numpy() > 0).astype(np.float32))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: likelier good) and predicted of every document."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    found = rows.mapInArrow(scoring(model, "text", ["doc_id"], rows), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
-    return found.select(
-        "doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-    )
-
-
-def scoring(model: Model, text_col: str, kept: list[str], rows: DataFrame):
-    """A function for mapInArrow: the kept columns and the score of every row."""
+def _with_scores(rows: DataFrame, model: Model, text_col: str, kept: list[str], name: str) -> DataFrame:
+    """The kept columns of every row and its score, as the last column ``name``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            scores = [
-                shared.value.scores(dense([terms.counts(t) for t in texts[at:at + BLOCK]]))
-                for at in range(0, len(texts), BLOCK)
-            ]
-            yield pa.RecordBatch.from_pydict({
-                **{c: batch.column(c) for c in kept}, "score": np.concatenate(scores) if scores else np.zeros(0),
-            })
+            blocks = (texts[at:at + BLOCK] for at in range(0, len(texts), BLOCK))
+            scores = [shared.value.scores(dense([terms.counts(t) for t in block])) for block in blocks]
+            columns = [batch.column(c) for c in kept] + [pa.array(np.concatenate(scores) if scores else np.zeros(0))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, name])
 
-    return run
+    fields = [f for f in rows.schema.fields if f.name in kept]
+    return rows.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score (0 to 1, higher: likelier good) and predicted of every document."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return _with_scores(rows, model, "text", ["doc_id"], "score").select(
+        "doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
 
 
 def good_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``; all columns kept."""
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
     # The score rides along under a name of its own.
-    run = scoring(model, text_col, docs.columns, docs)
-
-    def renamed(batches):
-        for batch in run(batches):
-            yield batch.rename_columns([*batch.schema.names[:-1], "__score"])
-
-    return docs.mapInArrow(renamed, schema).filter(F.col("__score") >= threshold).drop("__score")
+    scored = _with_scores(docs, model, text_col, docs.columns, "__score")
+    return scored.filter(F.col("__score") >= threshold).drop("__score")
