@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 _MAYBE_NOT_TEXT = "^(-?[0-9][0-9.eE+-]*|true|false|\\[\\]|\\{\\})$"
 
 
+def python_float(x: Column) -> Column:
+    """A double as Python spells it: plain from 1e-4 up to 1e16, else with a two-digit exponent at least."""
+    # The fewest digits that give the number back; one, or as many as doubles may need.
+    short = F.coalesce(*[
+        F.when(made.try_cast("double") == x, made) for made in (F.format_string(f"%.{n}e", x) for n in (0, 14, 15, 16))
+    ], F.format_string("%.16e", x))
+    short = F.regexp_replace(F.regexp_replace(short, "([.][0-9]*?)0+e", "$1e"), "[.]e", "e")
+    plain = F.regexp_replace(short.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    size = F.abs(x)
+    return F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+
+
 def _text_or_null(field: Column, text: Column) -> Column:
     """The field as text; null when missing or falsy (null, '', 0, false, [], {})."""
     # Costly for nested values, so it runs only where the text leaves a doubt.
@@ -21,13 +34,14 @@ def _text_or_null(field: Column, text: Column) -> Column:
         | (kind.startswith("ARRAY") & (text == "[]"))
         | (kind.startswith("OBJECT") & (text == "{}"))
     )
-    whole_float = kind.startswith("DECIMAL") & ~text.contains(".") & (F.length(text) < 19)
+    # Integers stay as they are; those too long for a bigint come as decimals without a point.
+    is_float = kind.rlike("^(DOUBLE|FLOAT)") | (kind.startswith("DECIMAL") & (text.contains(".") | (F.length(text) < 19)))
     return (
         F.when(text.isNull() | (text == ""), F.lit(None))
         .when(~text.rlike(_MAYBE_NOT_TEXT), text)
         .when(falsy, F.lit(None))
         .when(kind == "BOOLEAN", F.initcap(text))
-        .when(whole_float, F.concat(text, F.lit(".0")))
+        .when(is_float, python_float(text.try_cast("double")))
         .otherwise(text)
     )
 

@@ -49,10 +49,16 @@ def pieces_of(text, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
 
 
+# Paragraphs folded at a time.
+STRIDE = 256
+
+
 def chunks(text, max_chars: int = CHUNK_CHARS) -> Column:
     """Array of chunks: blank-line paragraphs packed greedily up to ``max_chars`` code points.
 
     A paragraph over the limit flushes the open chunk and is cut into fixed pieces of its own.
+    Appending to an array copies it, so the fold runs over strides of paragraphs, each with an
+    array of its own.
     """
     none = F.array().cast("array<string>")
 
@@ -69,12 +75,27 @@ def chunks(text, max_chars: int = CHUNK_CHARS) -> Column:
             .alias("open"),
         )
 
+    def stride(acc, ps):
+        part = F.aggregate(ps, F.struct(none.alias("out"), acc["open"].alias("open")), pack)
+        return F.struct(F.concat(acc["out"], F.array(part["out"])).alias("out"), part["open"].alias("open"))
+
+    return F.aggregate(
+        strides(paragraphs(text)),
+        F.struct(F.array().cast("array<array<string>>").alias("out"), F.lit("").alias("open")),
+        stride,
+        lambda acc: F.concat(
+            F.flatten(acc["out"]), F.when(acc["open"] == "", none).otherwise(F.array(acc["open"]))
+        ),
+    )
+
+
+def strides(items: Column, size: int = STRIDE) -> Column:
+    """An array cut into arrays of ``size``."""
     return F.aggregate(
-        paragraphs(text),
-        F.struct(none.alias("out"), F.lit("").alias("open")),
-        pack,
-        lambda acc: F.when(acc["open"] == "", acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(acc["open"]))
+        F.array(items),
+        F.array().cast("array<array<string>>"),
+        lambda _, all_: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(size)), lambda at: F.slice(all_, at, size)
         ),
     )
 

@@ -34,10 +34,15 @@ def rule_violations(df: DataFrame, required: list[str], max_lengths: dict[str, i
     return one_row.select(F.inline(rows))
 
 
-def current_violations(versions: DataFrame, key: str = "contract_id", current: str = "is_current") -> DataFrame:
-    """Contracts with no current version, or more than one."""
-    return versions.groupBy(key).agg(
-        F.count(F.when(F.col(current), 1)).alias("current_versions")
+def current_violations(
+    versions: DataFrame, contracts: DataFrame | None = None, key: str = "contract_id", current: str = "is_current"
+) -> DataFrame:
+    """Contracts with no current version, or more than one; with ``contracts``, also those without any version."""
+    marks = versions.select(key, F.col(current).cast("int").alias("_current"))
+    if contracts is not None:
+        marks = marks.unionByName(contracts.select(key, F.lit(0).alias("_current")))
+    return marks.groupBy(key).agg(
+        F.coalesce(F.sum("_current"), F.lit(0)).alias("current_versions")
     ).filter("current_versions <> 1")
 
 

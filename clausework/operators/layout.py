@@ -9,6 +9,10 @@ from clausework.operators.scan import ROWS_PER_TASK, Carry, lookup, running
 from clausework.schemas import MIN_BOX, PAGE_GAP
 
 
+# Exact heights: sums of doubles would depend on their order.
+EXACT = "decimal(28,9)"
+
+
 def assemble_pages(
     pieces: DataFrame, doc: str = "contract_id", page: str = "page", pos: str = "pos", piece: str = "piece",
     target: str = "text",
@@ -39,17 +43,20 @@ def page_offsets(
     gap: float = PAGE_GAP,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Pages with ``page_offset``: heights and gaps of all earlier pages."""
-    step = F.col(height) + F.lit(float(gap))
+    """Pages with ``page_offset``: heights and gaps of all earlier pages.
+
+    Summed as decimals with nine places, so the answer does not depend on how the rows are split.
+    """
+    step = F.col(height).cast(EXACT) + F.lit(gap).cast(EXACT)
     return running(
         pages, [doc], [page], {"page_offset": Carry("sum", step, include_row=False)}, rows_per_task
-    )
+    ).withColumn("page_offset", F.col("page_offset").cast("double"))
 
 
 def document_heights(pages: DataFrame, doc: str = "contract_id", height: str = "height", gap: float = PAGE_GAP) -> DataFrame:
     """Sum of page heights plus the gaps between pages."""
     return pages.groupBy(doc).agg(
-        (F.sum(height) + F.lit(float(gap)) * (F.count(F.lit(1)) - 1)).alias("document_height")
+        (F.sum(F.col(height).cast(EXACT)) + F.lit(gap).cast(EXACT) * (F.count(F.lit(1)) - 1)).cast("double").alias("document_height")
     )
 
 
@@ -62,8 +69,11 @@ def box_geometry(
 ) -> DataFrame:
     """Boxes (page, x_min .. page_height) placed on rendered pages (page, width, height, page_offset).
 
-    Page 0 and below count as page 1; a box on a page that does not exist is dropped.
+    Page 0 and below count as page 1. A parameter without a box (page or corner missing) and a box
+    on a page that does not exist are dropped.
     """
+    needed = ("page", "x_min", "y_min", "x_max", "y_max")
+    boxes = boxes.dropna(subset=list(needed))
     others = [
         c for c in boxes.columns
         if c not in ("page", "x_min", "y_min", "x_max", "y_max", "page_width", "page_height")

@@ -51,25 +51,34 @@ def accept_counts(parameters: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _accepted_once_and_again(parameters: DataFrame) -> DataFrame:
+    """Per version: rows a first accept updates, and those a further one does, as nothing filled their override."""
+    hits = parameters.filter(acceptable(F.col("user_override"), F.col("combined_score")))
+    return hits.groupBy(*VERSION_KEY).agg(
+        F.count(F.lit(1)).alias("_once"), F.count_if(F.col("original_extract").isNull()).alias("_again")
+    )
+
+
 def accept_requests(
-    requests: DataFrame, versions: DataFrame, parameters: DataFrame, rows_per_task: int = ROWS_PER_TASK
+    requests: DataFrame, versions: DataFrame, parameters: DataFrame, order: str = "seq", rows_per_task: int = ROWS_PER_TASK
 ):
-    """Batch accept for (contract_id, version_number, if_match) requests.
+    """Batch accept for (contract_id, version_number, if_match) requests, in the unique ``order``.
 
-    Returns (requests with status and updated count, parameter table afterwards).
+    Of several granted requests for a version the first does the work. Returns (requests with status and updated count, parameter table afterwards).
     """
     looked_up = lookup_versions(requests, versions.select(*VERSION_KEY, "etag"), rows_per_task=rows_per_task)
     status = F.when(F.col("status") == 404, F.lit(404)).otherwise(
         etag_status(F.col("if_match"), F.col("etag"))
     )
     judged = looked_up.withColumn("status", status)
-    granted = judged.filter("status = 200").select(*VERSION_KEY).distinct()
+    granted = judged.filter("status = 200").groupBy(*VERSION_KEY).agg(F.min(order).alias("_first"))
     # Counted per version before the join; only accepted rows are ever updated.
-    counts = accept_counts(parameters, VERSION_KEY)
+    counts = granted.join(_accepted_once_and_again(parameters), VERSION_KEY, "left")
+    updated = F.when(F.col(order) == F.col("_first"), F.col("_once")).otherwise(F.col("_again"))
     replies = lookup(judged, counts, VERSION_KEY, "left", rows_per_task).withColumn(
-        "updated", F.when(F.col("status") == 200, F.coalesce(F.col("updated"), F.lit(0)))
-    ).drop("etag")
-    marked = lookup(parameters, granted.withColumn("_granted", F.lit(True)), VERSION_KEY, "left", rows_per_task)
+        "updated", F.when(F.col("status") == 200, F.coalesce(updated, F.lit(0)))
+    ).drop("etag", "_first", "_once", "_again")
+    marked = lookup(parameters, granted.select(*VERSION_KEY, F.lit(True).alias("_granted")), VERSION_KEY, "left", rows_per_task)
     after = accept(
         marked,
         F.col("_granted").isNotNull() & acceptable(F.col("user_override"), F.col("combined_score")),

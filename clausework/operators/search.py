@@ -6,6 +6,8 @@ so what reaches the shuffle is k rows per query and task, never the query-vector
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ BLOCK_BYTES = 32 << 20
 # Vectors of one grid cell.
 CELL_BYTES = 256 << 20
 
+# Winners that are sent to every task instead of shuffling the parameter table.
+BROADCAST_ROWS = 1_000_000
+
 BEST = "query_id long, vector_id long, distance double"
 
 
@@ -128,9 +133,13 @@ def nearest(
 ) -> DataFrame:
     """The k nearest stored vectors of each query (query_id, query_vec), ties by id.
 
-    Returns query_id, ``vector_id``, distance.
+    A column ``k`` of the queries takes the place of the argument. Returns query_id, ``vector_id``, distance.
     """
-    if k < 0:
+    own_k = "k" in queries.columns
+    if own_k:
+        lowest, k = queries.agg(F.min("k"), F.max("k")).first()
+        lowest, k = lowest or 0, k or 0
+    if k < 0 or own_k and lowest < 0:
         raise ValueError("k must not be negative")
     stored = vectors.filter(F.col(vector).isNotNull()).select(
         F.col(vector_id).cast("long").alias("vector_id"), F.col(vector).alias("vector")
@@ -145,7 +154,7 @@ def nearest(
         rows = asked.collect()
         block = spark.sparkContext.broadcast(([r[0] for r in rows], [list(r[1]) for r in rows]))
         local = stored.mapInArrow(_scan_with(block, k), BEST) if rows else spark.createDataFrame([], BEST)
-        if len(rows) == 1:
+        if len(rows) == 1 and not own_k:
             return local.orderBy("distance", "vector_id").limit(k)
     else:
         # Grid: query blocks times vector cells, each pair one bounded task.
@@ -160,7 +169,11 @@ def nearest(
         on = ["_cell", "_block"]
         local = v.groupBy(*on).cogroup(q.groupBy(*on)).applyInPandas(_cell(k), BEST)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vector_id"))
-    return local.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+    placed = local.withColumn("_place", place).filter(F.col("_place") <= k)
+    if own_k:
+        limits = queries.select(F.col("query_id").cast("long"), F.col("k").alias("_k"))
+        placed = placed.join(limits, "query_id").filter(F.col("_place") <= F.col("_k")).drop("_k")
+    return placed.drop("_place")
 
 
 def _bytes(df: DataFrame, vec: str) -> int:
@@ -170,8 +183,18 @@ def _bytes(df: DataFrame, vec: str) -> int:
 def search_parameters(parameters: DataFrame, queries: DataFrame, k: int = SEARCH_K) -> DataFrame:
     """query_id, parameter_id, parameter_key, original_extract, score, over all contracts and versions."""
     best = nearest(parameters, queries, k).withColumnRenamed("vector_id", "parameter_id")
+    asked, most = queries.agg(F.count(F.lit(1)), F.max("k") if "k" in queries.columns else F.lit(k)).first()
+    if asked * (most or 0) <= BROADCAST_ROWS:
+        best = F.broadcast(best)  # three numbers a row; the parameter table stays where it is
     # Key and text are fetched for the winners only; they never pass through Python.
     return best.join(parameters.select("parameter_id", "parameter_key", "original_extract"), "parameter_id").select(
         "query_id", "parameter_id", "parameter_key", "original_extract",
         search_score(F.col("distance")).alias("score"),
     )
+
+
+def search_texts(
+    parameters: DataFrame, texts: DataFrame, embedder: Callable[[DataFrame], DataFrame], k: int = SEARCH_K
+) -> DataFrame:
+    """Search by text (query_id, text and, where they differ, k); ``embedder`` adds ``query_vec`` as for stored rows."""
+    return search_parameters(parameters, embedder(texts).drop("text"), k)

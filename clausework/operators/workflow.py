@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausework.operators.ledger import ETAG_PREFIX, etag
+from clausework.operators.ledger import ETAG_PREFIX, etag, etag_status
 from clausework.operators.scan import ROWS_PER_TASK, Carry, reachable, running, split_hot
 from clausework.schemas import ACTIVE, DRAFT, PENDING
 from clausework.session import checkpointed
 
-CREATE, SUBMIT, APPROVE = "create", "submit", "approve"
+CREATE, SUBMIT, APPROVE, ACCEPT = "create", "submit", "approve", "accept"
 
 OUTCOME = [
     T.StructField("workflow_state", T.StringType()),
@@ -89,7 +89,8 @@ def command_step():
     """
     import hashlib
 
-    create, submit, approve, draft, pending, active = CREATE, SUBMIT, APPROVE, DRAFT, PENDING, ACTIVE
+    create, submit, approve, accept = CREATE, SUBMIT, APPROVE, ACCEPT
+    draft, pending, active = DRAFT, PENDING, ACTIVE
     width = ETAG_PREFIX
 
     def tag(contract, state):
@@ -101,10 +102,12 @@ def command_step():
             return (1 if state is None else state[0] + 1, opened or draft, 0), 200
         if state is None:
             return None, 404
-        if command not in (submit, approve):
+        if command not in (submit, approve, accept):
             return state, 200
         if if_match and if_match != tag(contract, state):
             return state, 409
+        if command == accept:
+            return state, 200
         if command == submit:
             return (state[0], pending, state[2] + 1), 200
         if state[1] != pending:
@@ -123,7 +126,7 @@ def replay_with_etags(
     initial_state: str | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Replay of logs whose submits and approves may carry If-Match.
+    """Replay of logs whose submits, approves and accepts may carry If-Match.
 
     A create opens a new version whatever came before, so each (contract, version) is replayed on
     its own. Versions of ordinary size stream through one sorted pass per task; a version with
@@ -232,7 +235,9 @@ def _joined_replay(rows, segment, order, command, if_match, rows_per_task):
         "workflow_state": F.when((F.col("_last") == APPROVE) & (F.col("_set") == PENDING), F.lit(ACTIVE)).otherwise(
             F.col("_set")
         ),
-        "status": F.when(~moves | F.col("_moved"), 200)
+        # An accept changes neither state nor revision, but its tag is checked.
+        "status": F.when(kind == ACCEPT, etag_status(F.col(if_match), etag(*[F.col(c) for c in segment], F.col("revision"))))
+        .when(~moves | F.col("_moved"), 200)
         .when(F.col("_acts") | F.col("_asked").eqNullSafe(F.col("revision")), 400)
         .otherwise(409),
         "etag": etag(*[F.col(c) for c in segment], F.col("revision")),

@@ -67,20 +67,25 @@ def six(column, alias: str):
 # ---- contracts and versions ----------------------------------------------------------------
 
 @query("""
-WITH unknown AS (
-  SELECT o_custkey, o_orderpriority, o_orderkey FROM orders
-  WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey))
-SELECT s_suppkey AS contract_id, s_name AS contract_type FROM supplier
+WITH sent AS (
+  SELECT CASE WHEN o_orderkey % 10 < 2 THEN substr(sha256('create-' || o_orderkey), 1, 32) ELSE o_custkey::VARCHAR END AS id,
+    o_orderpriority, o_orderkey FROM orders),
+unknown AS (SELECT * FROM sent WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey::VARCHAR = id))
+SELECT s_suppkey::VARCHAR AS contract_id, s_name AS contract_type FROM supplier
 UNION ALL
-SELECT o_custkey, o_orderpriority FROM (
-  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM unknown)
+SELECT id, o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS rn FROM unknown)
 WHERE rn = 1
 """)
 def contract_insert_if_absent(t):
-    contracts = t.supplier.select(F.col("s_suppkey").alias("contract_id"), F.col("s_name").alias("contract_type"))
+    """Orders as create requests; every fifth has no id, or an empty one."""
+    contracts = t.supplier.select(
+        F.col("s_suppkey").cast("string").alias("contract_id"), F.col("s_name").alias("contract_type")
+    )
+    last = F.col("o_orderkey") % 10
     incoming = t.orders.select(
-        F.col("o_custkey").alias("contract_id"), F.col("o_orderpriority").alias("contract_type"),
-        F.col("o_orderkey").alias("seq"),
+        F.when(last == 1, F.lit("")).when(last != 0, F.col("o_custkey").cast("string")).alias("contract_id"),
+        F.col("o_orderpriority").alias("contract_type"), F.col("o_orderkey").alias("seq"),
     )
     return ledger.insert_if_absent(contracts, incoming, "seq")
 
@@ -238,7 +243,7 @@ def etag_check(t):
 
 # ---- workflow ------------------------------------------------------------------------------
 
-COMMAND_OF = {"signup": "create", "purchase": "submit", "error": "approve", "click": "extract", "view": "override"}
+COMMAND_OF = {"signup": "create", "purchase": "submit", "error": "approve", "click": "extract", "view": "accept"}
 
 
 def command_log(events: DataFrame) -> DataFrame:
@@ -249,7 +254,7 @@ def command_log(events: DataFrame) -> DataFrame:
     )
 
 
-def replay_sql(if_match: str, columns: str) -> str:
+def replay_sql(if_match: str, columns: str, opened: str = "'STAGED_DRAFT'") -> str:
     """A step-by-step replay: one recursion level per command of a contract."""
     case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMAND_OF.items())
     return f"""
@@ -263,14 +268,14 @@ steps AS (
   UNION ALL
   SELECT contract_id, seq, n,
     CASE WHEN command = 'create' THEN ver + 1 ELSE ver END,
-    CASE WHEN new_status <> 200 THEN state WHEN command = 'create' THEN 'STAGED_DRAFT'
+    CASE WHEN new_status <> 200 THEN state WHEN command = 'create' THEN {opened}
       WHEN command = 'submit' THEN 'PENDING_APPROVAL' WHEN command = 'approve' THEN 'PRODUCTION_ACTIVE' ELSE state END,
     CASE WHEN command = 'create' THEN 0 WHEN new_status = 200 AND command IN ('submit', 'approve') THEN rev + 1 ELSE rev END,
     new_status
   FROM (
     SELECT l.*, s.ver, s.state, s.rev, CAST(CASE
       WHEN l.command = 'create' THEN 200 WHEN s.ver = 0 THEN 404
-      WHEN l.command NOT IN ('submit', 'approve') THEN 200
+      WHEN l.command NOT IN ('submit', 'approve', 'accept') THEN 200
       WHEN coalesce(l.if_match, '') <> '' AND l.if_match <>
         substr(sha256(l.contract_id), 1, 32) || '-' || s.ver || '-' || s.rev THEN 409
       WHEN l.command = 'approve' AND s.state <> 'PENDING_APPROVAL' THEN 400 ELSE 200 END AS BIGINT) AS new_status
@@ -333,9 +338,11 @@ def file_stream(t, name: str) -> DataFrame:
     ).parquet(t.folder)
 
 
-@query(replay_sql("NULL::VARCHAR", REPLAY_COLUMNS))
+@query(replay_sql("NULL::VARCHAR", REPLAY_COLUMNS, "CASE WHEN seq % 3 = 0 THEN 'PENDING_APPROVAL' ELSE 'STAGED_DRAFT' END"))
 def stream_workflow(t):
-    outcome = jobs.workflow_stream(command_log(file_stream(t, "events")), if_match=None)
+    """Every third create asks for an initial state of its own."""
+    log = command_log(file_stream(t, "events")).withColumn("opened", F.when(F.col("seq") % 3 == 0, F.lit("PENDING_APPROVAL")))
+    outcome = jobs.workflow_stream(log, if_match=None, initial_state="opened")
     out = scratch_path(t.spark, "stream-workflow")
     jobs.write_stream(outcome, out, scratch_path(t.spark, "stream-checkpoint")).awaitTermination()
     return t.spark.read.parquet(out).select(
@@ -386,27 +393,33 @@ WITH p AS ({LINES_SQL}),
 r AS (SELECT o_orderkey, 1 + o_custkey % 9 AS version, CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN
     substr(sha256(o_orderkey::VARCHAR), 1, 32) || '-' || (1 + o_custkey % 9) || '-0' ELSE 'stale' END AS if_match FROM orders),
 v AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
-c AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM p WHERE {ACCEPTED} GROUP BY 1, 2),
-j AS (SELECT r.*, CASE WHEN v.l_orderkey IS NULL THEN 404 WHEN if_match = 'stale' THEN 409 ELSE 200 END AS status, n
+c AS (SELECT l_orderkey, l_linenumber, count(*) AS n, count(*) FILTER (l_suppkey % 2 = 0) AS again
+  FROM p WHERE {ACCEPTED} GROUP BY 1, 2),
+j AS (SELECT r.*, CASE WHEN v.l_orderkey IS NULL THEN 404 WHEN if_match = 'stale' THEN 409 ELSE 200 END AS status, n, again
   FROM r LEFT JOIN v ON v.l_orderkey = o_orderkey AND v.l_linenumber = version
   LEFT JOIN c ON c.l_orderkey = o_orderkey AND c.l_linenumber = version)
-SELECT o_orderkey AS contract_id, version::BIGINT AS version_number, status::BIGINT AS status,
-  CASE WHEN status = 200 THEN coalesce(n, 0) END AS updated FROM j
+SELECT o_orderkey AS contract_id, version::BIGINT AS version_number, i AS attempt, status::BIGINT AS status,
+  CASE WHEN status = 200 THEN coalesce(CASE i WHEN 0 THEN n ELSE again END, 0) END AS updated
+FROM j, LATERAL (SELECT unnest(generate_series(0, o_orderkey % 3)) AS i)
 """)
 def batch_accept_requests(t):
-    """One accept request per order, with its version and tag checked first."""
+    """Up to three accept requests per order, with version and tag checked first; every other supplier's line has no original."""
     requests = t.orders.select(
         F.col("o_orderkey").alias("contract_id"), (1 + F.col("o_custkey") % 9).alias("version_number"),
         F.when(F.col("o_orderstatus") == "O", ledger.etag(F.col("o_orderkey"), 1 + F.col("o_custkey") % 9, F.lit(0)))
         .when(F.col("o_orderstatus") == "P", F.lit("stale")).alias("if_match"),
-    )
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("o_orderkey") % 3)).alias("attempt"),
+    ).withColumn("seq", F.col("contract_id") * 3 + F.col("attempt"))
     parameters = line_parameters(t).withColumnsRenamed({"l_orderkey": "contract_id", "l_linenumber": "version_number"})
-    parameters = parameters.withColumn("version_number", big("version_number"))
+    parameters = parameters.withColumns({
+        "version_number": big("version_number"),
+        "original_extract": F.when(F.col("l_suppkey") % 2 != 0, F.col("original_extract")),
+    })
     versions = parameters.select("contract_id", "version_number").distinct().withColumn(
         "etag", ledger.etag(F.col("contract_id"), F.col("version_number"), F.lit(0))
     )
     replies, _ = review.accept_requests(requests, versions, parameters)
-    return replies.select("contract_id", "version_number", big("status"), "updated")
+    return replies.select("contract_id", "version_number", "attempt", big("status"), "updated")
 
 
 @query(f"""
@@ -465,16 +478,6 @@ def override_rescore(t):
     )
 
 
-@query()
-def text_precision(t):
-    """Ratio of each turn to the next one of its conversation, on whole texts."""
-    turn = t.spread("conversations", "conv_id", "turn", "text").withColumnRenamed("text", "first")
-    after = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("second"))
-    return turn.join(after, ["conv_id", "turn"]).select(
-        "conv_id", "turn", six(scores.text_precision(F.col("first"), F.col("second")), "ratio")
-    )
-
-
 # ---- documents and replies -----------------------------------------------------------------
 
 def turn_pages(t) -> DataFrame:
@@ -552,7 +555,8 @@ def line_replies(t) -> DataFrame:
             F.concat(F.lit('[{"value": "'), name, F.lit('"}, null, {"key": 0, "name": "", "value": [1, "'), key, F.lit('"]}]')),
             F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": 0}')),
             F.concat(F.lit('{"parameters": {"'), key, F.lit('": {}}}')),
-            F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": false}, {"key": "t", "value": true}]}')),
+            F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": false}, {"key": "t", "value": true}, '
+                     '{"value": 1e-7}, {"value": 1e20}, {"value": 0.00001}, {"value": 1.5e2}, {"value": 12345678.25}, {"value": 0.0001}, {"value": -2.50}]}')),
         ),
         (F.col("l_partkey") % 5).cast("int"),
     )
@@ -568,6 +572,8 @@ UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0, 'param_1', s
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2, 'param_3', '[1,"' || k || '"]', NULL, NULL FROM l WHERE shape = 1
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0, k, '', NULL, NULL FROM l WHERE shape = 4
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1, 't', 'True', NULL, NULL FROM l WHERE shape = 4
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, i, 'param_' || (i + 1), number, NULL, NULL
+  FROM l, (VALUES (2, '1e-07'), (3, '1e+20'), (4, '1e-05'), (5, '150.0'), (6, '12345678.25'), (7, '0.0001'), (8, '-2.5')) v(i, number) WHERE shape = 4
 """)
 def reply_items_parsed(t):
     box = spatial_struct(F.col("spatial"))
@@ -679,13 +685,13 @@ def vector_parameters(t) -> DataFrame:
     )
 
 
-def topk_sql(queries: str) -> str:
+def topk_sql(queries: str, k: str = "5") -> str:
     return f"""
 WITH q AS ({queries}),
 d AS (SELECT query_id, vec_id, label, list_distance(embedding::DOUBLE[], query_vec) AS distance FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM d)
 SELECT query_id, vec_id AS parameter_id, label::VARCHAR AS parameter_key, 'value ' || vec_id AS original_extract,
-  round(1 / (1 + distance), 6) AS score FROM r WHERE place <= 5
+  round(1 / (1 + distance), 6) AS score FROM r WHERE place <= {k}
 """
 
 
@@ -700,15 +706,51 @@ def vector_topk(t):
 
 @query(topk_sql("""SELECT label::BIGINT AS query_id, list(mean ORDER BY i) AS query_vec FROM (
   SELECT label, i, avg(embedding[i]::DOUBLE) AS mean
-  FROM embeddings, LATERAL (SELECT unnest(generate_series(1, len(embedding))) AS i) GROUP BY 1, 2) GROUP BY 1"""))
+  FROM embeddings, LATERAL (SELECT unnest(generate_series(1, len(embedding))) AS i) GROUP BY 1, 2) GROUP BY 1""", "query_id % 4 + 2"))
 def vector_topk_batch(t):
-    """The five stored vectors nearest to the mean of each label, all labels at once."""
+    """The two to five stored vectors nearest to the mean of each label, all labels at once."""
     means = t.embeddings.groupBy(big("label", "query_id")).agg(
         Summarizer.mean(array_to_vector(F.col("embedding"))).alias("_mean")
-    ).select("query_id", vector_to_array("_mean").alias("query_vec"))
+    ).select("query_id", vector_to_array("_mean").alias("query_vec"), (F.col("query_id") % 4 + 2).alias("k"))
     return search.search_parameters(vector_parameters(t), means).withColumn("score", F.round("score", 6))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_profile(df: DataFrame, source: str, target: str) -> DataFrame:
+    """A small embedder that SQL can repeat: how often each letter occurs, relative to the length."""
+    low = F.lower(F.col(source))
+    shares = [
+        (F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") / F.greatest(F.length(low), F.lit(1))
+        for c in LETTERS
+    ]
+    return df.withColumn(target, F.array(*shares))
+
+
+PROFILE_SQL = f"""list_transform(string_split('{",".join(LETTERS)}', ','),
+  lambda c: (length(lower(text)) - length(replace(lower(text), c, '')))::DOUBLE / greatest(length(lower(text)), 1))"""
+
+
+@query(f"""
+WITH q AS (SELECT item_id, {PROFILE_SQL} AS v FROM benchmark),
+d AS (SELECT doc_id, lang, {PROFILE_SQL} AS v FROM documents),
+r AS (SELECT item_id, doc_id, lang, list_distance(q.v, d.v) AS distance FROM q, d)
+SELECT item_id AS query_id, doc_id AS parameter_id, lang AS parameter_key, 'value ' || doc_id AS original_extract,
+  round(1 / (1 + distance), 6) AS score
+FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id) <= 5
+""")
+def search_by_text(t):
+    """The five documents nearest to each benchmark text, which is embedded like the documents."""
+    parameters = letter_profile(t.spread("documents", "doc_id", "lang", "text"), "text", "vector_embed").select(
+        F.col("doc_id").alias("parameter_id"), F.col("lang").alias("parameter_key"),
+        F.concat(F.lit("value "), F.col("doc_id").cast("string")).alias("original_extract"), "vector_embed",
+    )
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    found = search.search_texts(parameters, asked, lambda df: letter_profile(df, "text", "query_vec"))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT doc_id, 384::BIGINT AS width, true AS unit FROM documents")
 def embed_hashing(t):
     embedded = enrich.embed_hashing(t.spread("documents", "doc_id", "text"), "text", "vector_embed")
@@ -782,18 +824,18 @@ def line_pages(t) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT *, coalesce(sum(height + 16) OVER (PARTITION BY contract_id ORDER BY page
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page_offset FROM ({PAGES_SQL})),
+WITH p AS (SELECT *, coalesce(sum((height + 16)::DECIMAL(28, 9)) OVER (PARTITION BY contract_id ORDER BY page
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS page_offset FROM (SELECT * REPLACE (height * 1.1 AS height) FROM ({PAGES_SQL}))),
 b AS (SELECT l_orderkey, l_partkey, l_suppkey, greatest(l_linenumber - 1, 1) AS page, l_tax * 100 AS x0, l_tax * 100 + l_discount * 200 AS x1,
   l_discount * 100 AS y0, l_discount * 100 + l_tax * 50 AS y1, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN l_quantity END AS pw,
-  CASE WHEN l_returnflag = 'R' THEN l_quantity * 2 END AS ph FROM lineitem),
+  CASE WHEN l_returnflag = 'R' THEN l_quantity * 2 END AS ph FROM lineitem WHERE l_suppkey % 7 <> 0),
 s AS (SELECT b.*, page_offset, CASE WHEN coalesce(pw, 0) = 0 THEN 1 ELSE width / pw END AS sx, CASE WHEN coalesce(ph, 0) = 0 THEN 1 ELSE height / ph END AS sy
   FROM b JOIN p ON p.contract_id = l_orderkey AND p.page = b.page)
 SELECT l_orderkey AS contract_id, l_partkey, l_suppkey, CAST(page AS BIGINT) AS page, round(x0 * sx, 6) AS "left", round(page_offset + y0 * sy, 6) AS top,
   round(greatest((x1 - x0) * sx, 6), 6) AS width, round(greatest((y1 - y0) * sy, 6), 6) AS height FROM s
 """)
 def box_geometry(t):
-    """A box per line item, on the pages its order's lines make up; line 1 lands on page 0."""
+    """A box per line item, on the pages its order's lines make up; line 1 lands on page 0, some have no box."""
     own = F.col("l_returnflag")
     boxes = t.lineitem.select(
         F.col("l_orderkey").alias("contract_id"), "l_partkey", "l_suppkey", (F.col("l_linenumber") - 1).alias("page"),
@@ -802,7 +844,10 @@ def box_geometry(t):
         F.when(own == "A", F.lit(0.0)).when(own == "R", F.col("l_quantity")).alias("page_width"),
         F.when(own == "R", F.col("l_quantity") * 2).alias("page_height"),
     )
-    placed = layout.box_geometry(boxes, layout.page_offsets(line_pages(t)))
+    boxes = boxes.withColumns({
+        c: F.when(F.col("l_suppkey") % 7 != 0, F.col(c)) for c in ("page", "x_min", "x_max", "y_min", "y_max")
+    })
+    placed = layout.box_geometry(boxes, layout.page_offsets(line_pages(t).withColumn("height", F.col("height") * 1.1)))
     return placed.select(
         "contract_id", "l_partkey", "l_suppkey", big("page"),
         *[six(F.col(c), c) for c in ("left", "top", "width", "height")],
@@ -852,15 +897,21 @@ def audit_rules(t):
     return audit.rule_violations(t.documents, ["text"], {"text": 200, "lang": 20})
 
 
-@query("""SELECT o_custkey AS contract_id, count(*) FILTER (o_orderstatus = 'P') AS current_versions
-FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') <> 1""")
+@query("""SELECT c_custkey AS contract_id, count(*) FILTER (o_orderstatus = 'P') AS current_versions
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') <> 1""")
 def audit_current_versions(t):
+    """Customers as contracts, some without any version."""
     versions = t.orders.select(F.col("o_custkey").alias("contract_id"), (F.col("o_orderstatus") == "P").alias("is_current"))
-    return audit.current_violations(versions)
+    return audit.current_violations(versions, t.customer.select(F.col("c_custkey").alias("contract_id")))
 
 
-@query("""SELECT vec_id, len(embedding)::BIGINT AS width,
-  round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm
-FROM embeddings WHERE len(embedding) <> 384 OR abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 1e-3""")
+@query("""WITH v AS (SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN list_transform(embedding, lambda x: x * 2) WHEN 1 THEN embedding[:63]
+  ELSE embedding END::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 <> 2)
+SELECT vec_id, len(e)::BIGINT AS width, round(sqrt(list_dot_product(e, e)), 6) AS norm
+FROM v WHERE len(e) <> 64 OR abs(sqrt(list_dot_product(e, e)) - 1) > 1e-3""")
 def audit_vectors(t):
-    return audit.vector_violations(t.embeddings, "embedding").select("vec_id", big("width"), six(F.col("norm"), "norm"))
+    """Vectors of width 64: of every ten, one is too long, one too narrow and one missing."""
+    e, turn = F.col("embedding"), F.col("vec_id") % 10
+    changed = F.when(turn == 0, F.transform(e, lambda x: x * 2)).when(turn == 1, F.slice(e, 1, 63)).when(turn != 2, e)
+    rows = t.embeddings.withColumn("embedding", changed)
+    return audit.vector_violations(rows, "embedding", 64).select("vec_id", big("width"), six(F.col("norm"), "norm"))

@@ -45,7 +45,8 @@ def scratch_root(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not sc.master.startswith("local"):
+    # Executors of other processes would not see a folder of the driver's.
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="clausework-"))
     return sc.getCheckpointDir().rstrip("/")

@@ -33,21 +33,25 @@ def read_jdbc(
     spark: SparkSession,
     url: str,
     table: str,
-    partition_column: str | None = None,
+    partition_column: str,
     bounds: tuple[int, int] | None = None,
     partitions: int = 32,
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A table of an existing database, read in parallel ranges of ``partition_column``."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    if partition_column and bounds:
-        reader = reader.options(
-            partitionColumn=partition_column,
-            lowerBound=bounds[0],
-            upperBound=bounds[1],
-            numPartitions=partitions,
-        )
-    return reader.options(**(properties or {})).load()
+    """A table of an existing database, read in parallel ranges of ``partition_column``.
+
+    Without ``bounds`` the database is asked for them first.
+    """
+    def reader(what: str):
+        return spark.read.format("jdbc").option("url", url).option("dbtable", what).options(**(properties or {}))
+
+    if bounds is None:
+        ends = f"(SELECT min({partition_column}) AS low, max({partition_column}) AS high FROM {table}) ends"
+        low, high = reader(ends).load().first()
+        bounds = (0, 1) if low is None else (low, high)
+    return reader(table).options(
+        partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions
+    ).load()
 
 
 def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -58,7 +62,8 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
         raise ValueError(f"unknown document format {fmt}")
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return spark.read.text(path, wholetext=True).select(
-        F.url_decode(F.regexp_replace(name, "\\.[^.]*$", "")).alias("contract_id"), F.col("value").alias("text")
+        # In a path a plus is a plus; decoding would make it a blank.
+        F.url_decode(F.replace(F.regexp_replace(name, "\\.[^.]*$", ""), F.lit("+"), F.lit("%2B"))).alias("contract_id"), F.col("value").alias("text")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,12 +15,14 @@ from clausework.plans.enrich import replies_from_rules
 from clausework.plans.extract import parameters_from_replies, stored
 from clausework.schemas import CHUNK_CHARS
 
+
 def workflow_stream(
     commands: DataFrame,
     key: str = "contract_id",
     order: tuple[str, ...] = ("ts", "seq"),
     command: str = "command",
     if_match: str | None = "if_match",
+    initial_state: str | None = None,
 ) -> DataFrame:
     """Outcome of each command of a stream; state per contract is one small tuple.
 
@@ -40,8 +43,13 @@ def workflow_stream(
         pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
         now = tuple(state.get) if state.exists else None
         outcomes = []
-        for what, match in zip(pdf[command], pdf[if_match] if if_match else [None] * len(pdf)):
-            now, status = step(now, contract[0], what, match if isinstance(match, str) else None)
+        none = [None] * len(pdf)
+        tags, opened = pdf[if_match] if if_match else none, pdf[initial_state] if initial_state else none
+        for what, match, state_given in zip(pdf[command], tags, opened):
+            now, status = step(
+                now, contract[0], what, match if isinstance(match, str) else None,
+                state_given if isinstance(state_given, str) else None,
+            )
             version, workflow_state, revision = now or (0, None, None)
             outcomes.append((version, workflow_state, status, revision, tag(contract[0], now) if now else None))
         if now:
@@ -75,13 +83,15 @@ def extraction_stream(
     """Extract arriving documents (contract_id, version_number, text) into parameter rows.
 
     Chunking and the model are stateless per row. Each micro-batch reconciles its own documents
-    and lands in a folder named by its number, so a repeated batch overwrites itself.
+    and lands in a folder named by the checkpoint and its number, so a repeated batch overwrites
+    itself, and a stream with a new checkpoint leaves the rows of an earlier one alone.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     chunked = chunk_documents(documents, "text", max_chars)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         replies = stored((ask or replies_from_rules)(batch), "stream-replies")
-        parameters_from_replies(replies, embedder).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        parameters_from_replies(replies, embedder).write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return (
         chunked.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)

@@ -23,3 +23,17 @@ def test_long_documents_chunk_like_cells(spark, seed):
     got = chunk_pieces(pieces, 12, pieces_per_task=90)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert want.filter(F.length("chunk") == 12).count() > 0
+
+
+def test_chunking_takes_time_in_proportion(spark):
+    """Sixteen times the paragraphs must not take much more than sixteen times as long."""
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(F.array_join(F.array_repeat(F.lit("some words of text"), n), "\n\n").alias("text"))
+        start = time.perf_counter()
+        assert chunk_documents(df, max_chars=30).count() == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(160_000) < 40 * max(0.5, seconds(10_000))

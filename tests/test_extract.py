@@ -118,8 +118,9 @@ def test_hashing_embedder(spark):
 def test_text_folder(spark, tmp_path):
     (tmp_path / "DOC 1.txt").write_text("line\n\nline")
     (tmp_path / "DOC-2.txt").write_text("x")
+    (tmp_path / "A+B.txt").write_text("plus")
     got = {r.contract_id: r.text for r in tables.read_documents(spark, str(tmp_path), "text").collect()}
-    assert got == {"DOC 1": "line\n\nline", "DOC-2": "x"}
+    assert got == {"DOC 1": "line\n\nline", "DOC-2": "x", "A+B": "plus"}
 
 
 def test_streamed_extraction_over_arriving_files(spark, documents, tmp_path):

@@ -14,6 +14,9 @@ def test_box_geometry(spark, pages):
             (1, "d", 2, 10.0, 5.0, 20.0, 6.0, 50.0, 100.0),
             (2, "d", 0, 10.0, 5.0, 20.0, 6.0, None, 0.0),
             (3, "d", 3, 10.0, 5.0, 20.0, 6.0, 50.0, 100.0),
+            (4, "d", None, None, None, None, None, None, None),
+            (5, "d", 1, None, 5.0, 20.0, 6.0, None, None),
+            (6, "d", None, 10.0, 5.0, 20.0, 6.0, None, None),
         ],
         "n int, contract_id string, page int, x_min double, y_min double, x_max double, y_max double, page_width double, page_height double",
     )
@@ -34,6 +37,13 @@ def test_offsets_of_a_hot_document(spark):
     assert plain == split and plain[1] == 0 and plain[3] == 1 + 16 + 2 + 16
 
 
+def test_offsets_do_not_depend_on_the_split(spark):
+    many = spark.range(1, 2001).selectExpr("'d' contract_id", "cast(id as int) page", "1.0D width", "0.1D * id height")
+    plain = {r.page: r.page_offset for r in layout.page_offsets(many).collect()}
+    split = {r.page: r.page_offset for r in layout.page_offsets(many, rows_per_task=60).collect()}
+    assert plain == split and plain[4] == 48.6
+
+
 def test_assembly(spark):
     pieces = spark.createDataFrame(
         [("d", 2, 0, "c"), ("d", 1, 1, "b"), ("d", 1, 0, "a"), ("d", 10, 0, "e"), ("x", 1, 0, "")],

@@ -60,3 +60,14 @@ def test_audits(spark):
     assert [(r.contract_id, r["rows"]) for r in audit.orphans(versions, contracts, ["contract_id"]).collect()] == [("b", 1)]
     vecs = spark.createDataFrame([(1, [0.6, 0.8]), (2, [1.0]), (3, [3.0, 4.0]), (4, None)], "i int, vector_embed array<float>")
     assert {r.i for r in audit.vector_violations(vecs, width=2).collect()} == {2, 3}
+
+
+def test_requests_without_an_id_make_contracts_of_their_own(spark):
+    known = spark.createDataFrame([("a", "old")], "contract_id string, contract_type string")
+    incoming = spark.createDataFrame(
+        [(1, None, "x"), (2, "", "y"), (3, None, "z"), (4, "a", "new"), (5, "b", "first"), (6, "b", "second")],
+        "seq long, contract_id string, contract_type string",
+    )
+    rows = ledger.insert_if_absent(known, incoming, "seq").collect()
+    assert sorted(r.contract_type for r in rows) == ["first", "old", "x", "y", "z"]
+    assert len({r.contract_id for r in rows}) == 5 and all(r.contract_id for r in rows)

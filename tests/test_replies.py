@@ -94,3 +94,17 @@ def test_key_coverage(spark):
     have = spark.createDataFrame([(1, "a"), (1, "a"), (1, "z"), (3, "b")], "c int, parameter_key string")
     got = {(r.c, r.parameter_key): r.missing for r in key_coverage(owners, have, ["c"], ["a", "b"]).collect()}
     assert got == {(1, "a"): False, (1, "b"): True, (2, "a"): True, (2, "b"): True}
+
+
+def test_numbers_are_spelled_like_python(spark):
+    import json
+    import struct
+
+    rng = random.Random(6)
+    numbers = ["1e-7", "1e20", "0.00001", "0.0001", "1e16", "123456789012345.5", "9999999999999998.0", "1.5e300", "5e-324", "-2.50", "100.0", "1e5"]
+    numbers += [repr(rng.uniform(-1, 1) * 10.0 ** rng.randrange(-12, 22)) for _ in range(200)]
+    numbers += [repr(x) for x in struct.unpack("<50d", rng.randbytes(400)) if x == x and abs(x) < 1e308]
+    df = spark.createDataFrame([(i, f'[{{"value": {n}}}]') for i, n in enumerate(numbers)], "id int, response string")
+    got = {r.id: r.value for r in reply_items(df).collect()}
+    different = [(n, got[i], str(json.loads(n))) for i, n in enumerate(numbers) if got[i] != str(json.loads(n))]
+    assert not different

@@ -48,14 +48,27 @@ def test_accept_requests(spark, parameters):
         [(0, "c", 1, None), (1, "c", 1, "t1"), (2, "c", 1, "old"), (3, "c", 2, None), (4, "d", 1, "")],
         "n int, contract_id string, version_number int, if_match string",
     )
-    replies, after = review.accept_requests(requests, versions, parameters)
+    replies, after = review.accept_requests(requests, versions, parameters, order="n")
     got = {r.n: (r.status, r.updated) for r in replies.collect()}
-    assert got == {0: (200, 1), 1: (200, 1), 2: (409, None), 3: (404, None), 4: (200, 0)}
+    assert got == {0: (200, 1), 1: (200, 0), 2: (409, None), 3: (404, None), 4: (200, 0)}
     assert after.filter("user_override = 'o'").count() == 1
-    _, untouched = review.accept_requests(requests.filter("n = 2"), versions, parameters)
+    _, untouched = review.accept_requests(requests.filter("n = 2"), versions, parameters, order="n")
     assert untouched.filter("user_override = 'o'").count() == 0
 
 
+def test_repeated_accepts_count_rows_without_an_original_again(spark):
+    rows = [(i, "c", 1, o, None, 1.0, None) for i, o in enumerate(["a", "b", None])]
+    parameters = spark.createDataFrame(rows, PARAMETERS)
+    versions = spark.createDataFrame([("c", 1, "t")], "contract_id string, version_number int, etag string")
+    requests = spark.createDataFrame(
+        [(1, "c", 1, "old"), (2, "c", 1, "t"), (3, "c", 1, None), (4, "c", 1, "t")],
+        "seq long, contract_id string, version_number int, if_match string",
+    )
+    replies, after = review.accept_requests(requests, versions, parameters)
+    assert {r.seq: (r.status, r.updated) for r in replies.collect()} == {1: (409, None), 2: (200, 3), 3: (200, 1), 4: (200, 1)}
+    assert {r.user_override for r in after.collect()} == {"a", "b", None}
+
+
 RATIOS = [
     ("", "", 1.0), ("abc", "", 0.0), ("", "abc", 0.0), ("abcd", "bcde", 0.75), ("tide", "diet", 0.25), ("diet", "tide", 0.5),
     ("ab" * 150, "ab" * 150 + "b", None),

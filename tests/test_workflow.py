@@ -45,7 +45,7 @@ def random_log(seed, size, contracts, creates, with_tags):
         # The first contract holds most of the commands.
         contract = "c0" if rng.random() < 0.7 else f"c{rng.randrange(contracts)}"
         command = rng.choices(
-            ["create", "submit", "approve", "extract"], [creates, 1, 1, 0.3]
+            ["create", "submit", "approve", "extract", "accept"], [creates, 1, 1, 0.3, 0.5]
         )[0]
         state = states.get(contract)
         opened = rng.choice([None, "PENDING_APPROVAL", "OTHER"]) if command == "create" else None
