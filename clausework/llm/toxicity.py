@@ -46,8 +46,8 @@ DISCOUNT = 0.75
 # (ratio from which a word counts as evidence, most evidence of one word), in nats.
 LEVELS = ((2.0, 4.0), (8.0, 32.0))
 THRESHOLD = 0.5
-# Distinct words whose ratio a task keeps.
-CACHE_WORDS = 400_000
+# Distinct words whose ratio a task keeps, words judged at a time, texts split at a time.
+CACHE_WORDS, WORDS, TEXTS = 400_000, 20_000, 200
 _M = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS = np.array([pow(_M, j, 1 << 64) for j in range(max(ORDERS))], np.uint64)
@@ -125,6 +125,10 @@ class Model:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio, toxic to ordinary, of every word."""
+        parts = [self._ratios(words[at:at + WORDS]) for at in range(0, len(words), WORDS)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _ratios(self, words: list[str]) -> np.ndarray:
         codes, at = _letters(words)
         kinds = self._at(self.ends, self.end_kinds, _gram(codes, at, 3))
         total = self._at(self.middles, self.middle_kinds, _gram(codes, at, 3, 1))
@@ -141,7 +145,7 @@ class Model:
             p = np.where(seen > 0, mixed, p)
         ratio = np.log(p[:, 0]) - np.log(p[:, 1])
         lengths = _word_lengths(codes, at)
-        return np.add.reduceat(ratio, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
+        return np.add.reduceat(ratio, np.cumsum(lengths) - lengths)
 
 
 class Scorer:
@@ -152,12 +156,16 @@ class Scorer:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text and level: log of the total evidence, and log of the evidence per word."""
+        parts = [self._block(texts[at:at + TEXTS]) for at in range(0, len(texts), TEXTS)]
+        return np.concatenate([*parts, np.zeros((0, 2 * len(LEVELS)))])
+
+    def _block(self, texts: list[str | None]) -> np.ndarray:
         split = [words_of(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         new = list({w for words in split for w in words if w not in self.known})
-        self.known.update(zip(new, self.model.ratios(new).tolist() if new else [], strict=True))
-        return np.array([self._one(words) for words in split], np.float64).reshape(-1, 2 * len(LEVELS))
+        self.known.update(zip(new, self.model.ratios(new).tolist(), strict=True))
+        return np.array([self._one(words) for words in split], np.float64)
 
     def _one(self, words: list[str]) -> list[float]:
         ratios = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
@@ -241,14 +249,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for batch in batches:
-            words = set()
-            for text in batch.column("text").to_pylist():
-                words.update(words_of(text))
-            words -= seen
-            if len(seen) < CACHE_WORDS:
-                seen |= words
-            gram, end, middle = shared_grams(list(words))
-            yield pa.RecordBatch.from_pydict({"gram": gram.view(np.int64), "ending": end.view(np.int64), "middle": middle.view(np.int64)})
+            column = batch.column("text")
+            for at in range(0, len(column), TEXTS):
+                words = set()
+                for text in column.slice(at, TEXTS).to_pylist():
+                    words.update(words_of(text))
+                words = list(words - seen)
+                if len(seen) < CACHE_WORDS:
+                    seen.update(words)
+                for first in range(0, len(words), WORDS):
+                    gram, end, middle = shared_grams(words[first:first + WORDS])
+                    yield pa.RecordBatch.from_pydict({
+                        "gram": gram.view(np.int64), "ending": end.view(np.int64), "middle": middle.view(np.int64),
+                    })
 
     texts = docs.select(docs[text_col].alias("text"))
     shared = checkpointed(
