@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from clausework.functions.text import chunk_documents, paragraphs, pieces_of
 from clausework.operators.layout import assemble_documents, assemble_pages
-from clausework.operators.scan import Carry, reachable, running, split_hot
+from clausework.operators.scan import ROWS_PER_TASK, Carry, reachable, running, split_hot
 from clausework.schemas import CHUNK_CHARS
 from clausework.session import checkpointed
 
-# Pieces of one document that are put together in one task.
-PIECES_PER_TASK = 100_000
+# Characters of one document that are put together in one task.
+CHARS_PER_TASK = 32_000_000
 
 
 def chunk_pieces(
@@ -22,19 +22,21 @@ def chunk_pieces(
     page: str = "page",
     pos: str = "pos",
     piece: str = "piece",
-    pieces_per_task: int = PIECES_PER_TASK,
+    chars_per_task: int = CHARS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """doc, ``chunk_no``, ``chunk``: as if each document were assembled and then chunked.
 
-    Ordinary documents are. One with more pieces than ``pieces_per_task`` never becomes a cell:
-    its paragraphs stay rows, spread over many tasks.
+    Ordinary documents are. One with more text than ``chars_per_task`` never becomes a cell: its
+    paragraphs stay rows, spread over many tasks.
     """
-    usual, long, _ = split_hot(pieces, [doc], pieces_per_task)
+    # A piece costs something even when it is empty.
+    usual, long, _ = split_hot(pieces, [doc], chars_per_task, F.coalesce(F.length(piece), F.lit(0)) + 8)
     done = chunk_documents(assemble_documents(usual, doc, page, pos, piece), "text", max_chars)
     if long is None:
         return done
     pages = assemble_pages(long, doc, page, pos, piece, "_text")
-    return done.unionByName(_chunk_rows(pages, max_chars, doc, page, pieces_per_task))
+    return done.unionByName(_chunk_rows(pages, max_chars, doc, page, rows_per_task))
 
 
 def _chunk_rows(pages, max_chars, doc, page, rows_per_task):

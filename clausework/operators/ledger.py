@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.operators.scan import ROWS_PER_TASK, Carry, lookup, running
+from clausework.operators.scan import ROWS_PER_TASK, UNKNOWN, Carry, hot_keys, lookup, running
 from clausework.schemas import DRAFT, FULL_PARAMETER_VIEW, SHORT_PARAMETER_VIEW, VERSION_VIEW
 
 # Longest etag: 32 + 1 + 10 + 1 + 19 = 63 characters, within the declared 64.
@@ -72,10 +72,11 @@ def next_version(
     key: str = "contract_id",
     version: str = "version_number",
     rows_per_task: int = ROWS_PER_TASK,
+    hot=UNKNOWN,
 ) -> DataFrame:
     """Each request with ``next_version``: highest existing number plus one."""
     highest = versions.groupBy(key).agg(F.max(version).alias("_highest"))
-    return lookup(requests, highest, [key], "left", rows_per_task).select(
+    return lookup(requests, highest, [key], "left", rows_per_task, hot).select(
         *requests.columns,
         (F.coalesce(F.col("_highest"), F.lit(0)) + 1).alias("next_version"),
     )
@@ -104,12 +105,13 @@ def create_versions(
     New versions start empty: nothing is copied from earlier ones.
     """
     one = F.lit(1)
+    hot = hot_keys(requests, ["contract_id"], rows_per_task)
     numbered = running(
         requests, ["contract_id"], order,
-        {"_nth": Carry("sum", one), "_all": Carry("total", one)}, rows_per_task,
+        {"_nth": Carry("sum", one), "_all": Carry("total", one)}, rows_per_task, hot,
     )
     number = (F.col("next_version") + F.col("_nth") - 1).cast("int")
-    fresh = next_version(numbered, versions, rows_per_task=rows_per_task).select(
+    fresh = next_version(numbered, versions, rows_per_task=rows_per_task, hot=hot).select(
         "contract_id",
         number.alias("version_number"),
         F.coalesce(F.col("workflow_state"), F.lit(DRAFT)).alias("workflow_state"),

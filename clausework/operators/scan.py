@@ -18,8 +18,10 @@ from clausework.session import checkpointed
 
 # Rows of one key that a single task sorts comfortably.
 ROWS_PER_TASK = 2_000_000
-# A hot key holds more than 1/MAX_HOT_KEYS of all rows, so there are fewer than that many.
+# Up to this many hot keys are broadcast; a longer list is joined like any table.
 MAX_HOT_KEYS = 100_000
+# "Not looked for yet", where None means that there are no hot keys.
+UNKNOWN = object()
 
 
 @dataclass(frozen=True)
@@ -36,42 +38,51 @@ def same_key(left: DataFrame, right: DataFrame, pairs) -> Column:
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
-    """Keys (as ``_hot_<key>``) with too many rows for one task and their ``_rows``; None if there are none."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    top, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
-    limit = max(rows_per_task, (total or 0) // MAX_HOT_KEYS)
-    if (top or 0) <= limit:
-        return None
-    # Fewer than MAX_HOT_KEYS rows by construction, hence safe to broadcast.
-    return checkpointed(
-        counts.filter(F.col("_rows") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_rows")
+def hot_keys(
+    df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK, weight: Column | None = None
+) -> DataFrame | None:
+    """Keys (as ``_hot_<key>``) with too many rows for one task and their ``_rows``; None if there are none.
+
+    With ``weight`` the limit is on its sum, such as characters, instead of rows. The answer costs
+    a pass over ``df``: ask once, of a table rather than of something derived, and hand it on.
+    """
+    counts = df.groupBy(*keys).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_rows"))
+    hot = checkpointed(
+        counts.filter(F.col("_rows") > rows_per_task).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_rows")
     )
+    return None if hot.isEmpty() else hot
+
+
+def _few(hot):
+    return hot.limit(MAX_HOT_KEYS + 1).count() <= MAX_HOT_KEYS
 
 
 def _divide(df, keys, hot):
     on = same_key(df, hot, [(k, f"_hot_{k}") for k in keys])
-    return df.join(F.broadcast(hot), on, "left_anti"), df.join(F.broadcast(hot), on, "left_semi")
+    small = F.broadcast(hot) if _few(hot) else hot
+    return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
 
 
-def split_hot(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK):
+def split_hot(
+    df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK, weight: Column | None = None, hot=UNKNOWN
+):
     """(rows of ordinary keys, rows of hot keys or None, number of hot rows)."""
-    hot = hot_keys(df, keys, rows_per_task)
+    hot = hot_keys(df, keys, rows_per_task, weight) if hot is UNKNOWN else hot
     if hot is None:
         return df, None, 0
     return *_divide(df, keys, hot), hot.agg(F.sum("_rows")).first()[0]
 
 
 def lookup(
-    df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", rows_per_task: int = ROWS_PER_TASK, hot=UNKNOWN
 ) -> DataFrame:
     """Join to a table that has at most one row per key.
 
-    Rows of hot keys are not shuffled: the few table rows they need, fewer than MAX_HOT_KEYS, are
-    broadcast to them.
+    Rows of hot keys are not shuffled: the few table rows they need are broadcast to them. ``hot``
+    is what ``hot_keys`` said of these keys, if that is known.
     """
-    hot = hot_keys(df, keys, rows_per_task)
-    if hot is None:
+    hot = hot_keys(df, keys, rows_per_task) if hot is UNKNOWN else hot
+    if hot is None or not _few(hot):
         return df.join(table, keys, how)
     usual, many = _divide(df, keys, hot)
     needed = table.join(
@@ -86,9 +97,10 @@ def running(
     order: list[str],
     carries: dict[str, Carry],
     rows_per_task: int = ROWS_PER_TASK,
+    hot=UNKNOWN,
 ) -> DataFrame:
-    """Add one column per carry, scanning each key's rows in ascending ``order``."""
-    cold, hot, hot_rows = split_hot(df, keys, rows_per_task)
+    """Add one column per carry, scanning each key's rows in ascending ``order``; ``hot`` as in ``lookup``."""
+    cold, hot, hot_rows = split_hot(df, keys, rows_per_task, hot=hot)
     if hot is None:
         return _scan(cold, keys, order, carries)
     return _scan(cold, keys, order, carries).unionByName(
@@ -180,12 +192,17 @@ def reachable(roots: DataFrame, jump: DataFrame, keys: list[str], pos: str = "_p
 
 
 def number_rows(df: DataFrame, order: list[str], name: str, start: int = 1, slices: int = 0) -> DataFrame:
-    """Number all rows in ``order`` without a single-task sort: local numbers plus slice offsets."""
+    """Number all rows in ``order`` without a single-task sort: places in sorted slices plus slice offsets.
+
+    One shuffle. Range sampling reads ``df`` twice, so pass a stored table if it is costly.
+    """
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Partition number above 33 bits, place in the sorted partition below.
+    place = F.monotonically_increasing_id()
     sliced = checkpointed(
-        df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
-    )
+        df.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn("_place", place)
+    ).withColumns({"_slice": F.shiftright("_place", 33), "_n": F.col("_place").bitwiseAND((1 << 33) - 1) + 1})
     # One row per slice: the only unpartitioned window, over ``slices`` rows.
     offsets = sliced.groupBy("_slice").count().select(
         F.col("_slice").alias("_at"),
@@ -196,7 +213,6 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 1, slic
             F.lit(0),
         ).alias("_offset"),
     )
-    local = sliced.withColumn("_n", F.row_number().over(Window.partitionBy("_slice").orderBy(*order)))
-    return local.join(offsets, local["_slice"] == offsets["_at"]).select(
+    return sliced.join(F.broadcast(offsets), F.col("_slice") == F.col("_at")).select(
         *df.columns, (F.col("_offset") + F.col("_n") + F.lit(start - 1)).cast("long").alias(name)
     )

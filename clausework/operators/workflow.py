@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausework.operators.ledger import ETAG_PREFIX, etag, etag_status
-from clausework.operators.scan import ROWS_PER_TASK, Carry, reachable, running, split_hot
+from clausework.operators.scan import ROWS_PER_TASK, UNKNOWN, Carry, hot_keys, reachable, running, split_hot
 from clausework.schemas import ACTIVE, DRAFT, PENDING
 from clausework.session import checkpointed
 
@@ -41,6 +41,7 @@ def replay(
     opened = F.lit(DRAFT) if initial_state is None else F.coalesce(F.col(initial_state), F.lit(DRAFT))
     setter = F.when(kind == CREATE, opened).when(kind == SUBMIT, F.lit(PENDING))
     flow = F.when(kind.isin(CREATE, SUBMIT, APPROVE), kind)
+    hot = hot_keys(commands, [key], rows_per_task)
     scanned = running(
         commands, [key], order,
         {
@@ -49,7 +50,7 @@ def replay(
             "_last": Carry("last", flow),
             "_before": Carry("last", flow, include_row=False),
         },
-        rows_per_task,
+        rows_per_task, hot,
     )
     exists = F.col("version_number") > 0
     approved = (F.col("_last") == APPROVE) & (F.col("_set") == PENDING)
@@ -62,8 +63,10 @@ def replay(
     if not with_etag:
         return out
     rotated = F.when(kind.isin(SUBMIT, APPROVE) & (F.col("status") == 200), 1).otherwise(0)
+    # Without a hot contract there is no hot version.
     revised = running(
-        out, [key, "version_number"], order, {"revision": Carry("sum", rotated)}, rows_per_task
+        out, [key, "version_number"], order, {"revision": Carry("sum", rotated)}, rows_per_task,
+        None if hot is None else UNKNOWN,
     )
     return revised.withColumn(
         "etag", F.when(exists, etag(F.col(key), F.col("version_number"), F.col("revision")))
@@ -134,10 +137,11 @@ def replay_with_etags(
     """
     order = order or ["ts", "seq"]
     opened = F.lit(DRAFT) if initial_state is None else F.coalesce(F.col(initial_state), F.lit(DRAFT))
+    hot_contracts = hot_keys(commands, [key], rows_per_task)
     rows = running(
         commands, [key], order,
         {"version_number": Carry("sum", F.when(F.col(command) == CREATE, 1).otherwise(0))},
-        rows_per_task,
+        rows_per_task, hot_contracts,
     ).withColumn("_opened", opened)
     out = [*commands.columns, "version_number", "workflow_state", "status", "revision", "etag"]
     before_any = rows.filter("version_number = 0").withColumns({
@@ -147,7 +151,9 @@ def replay_with_etags(
         "etag": F.lit(None).cast("string"),
     })
     segment = [key, "version_number"]
-    cold, hot, _ = split_hot(rows.filter("version_number > 0"), segment, rows_per_task)
+    cold, hot, _ = split_hot(
+        rows.filter("version_number > 0"), segment, rows_per_task, hot=None if hot_contracts is None else UNKNOWN
+    )
     done = before_any.select(*out).unionByName(
         _sorted_replay(cold, segment, order, command, if_match).select(*out)
     )

@@ -86,8 +86,11 @@ def extract(
 
 
 def with_ids(rows: DataFrame, start: int = 1) -> DataFrame:
-    """Consecutive parameter ids in insertion order: contract, version, first appearance."""
-    return number_rows(rows, [*OWNER, "item_no"], "parameter_id", start).drop("item_no")
+    """Consecutive parameter ids in insertion order: contract, version, first appearance.
+
+    The rows are stored first: numbering reads them twice, and an embedder is to be asked once.
+    """
+    return number_rows(stored(rows, "rows"), [*OWNER, "item_no"], "parameter_id", start).drop("item_no")
 
 
 def append_rows(parameters: DataFrame, rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def test_long_documents_chunk_like_cells(spark, seed):
     rng.shuffle(rows)
     pieces = spark.createDataFrame(rows, "contract_id string, page int, pos int, piece string").cache()
     want = chunk_documents(assemble_documents(pieces), max_chars=12)
-    got = chunk_pieces(pieces, 12, pieces_per_task=90)
+    got = chunk_pieces(pieces, 12, chars_per_task=900, rows_per_task=90)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert want.filter(F.length("chunk") == 12).count() > 0
 

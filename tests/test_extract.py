@@ -157,3 +157,34 @@ def test_streamed_workflow_keeps_state_between_files(spark, tmp_path):
 
 def test_default_chunk_size():
     assert CHUNK_CHARS == 3000
+
+
+def test_a_model_embeds_every_row_once(spark, documents):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(texts):
+            calls.add(len(texts))
+            return [[1.0, 0.0] for _ in texts]
+
+        return model
+
+    versions = documents.select("contract_id").distinct().selectExpr("contract_id", "1 version_number", "true is_current")
+    rows = extract.with_ids(extract.extract(documents, versions, embedder=lambda df: df.withColumn(
+        "vector_embed", enrich.embed_with(F.col("original_extract"), load))))
+    n = rows.count()
+    assert n > 0 and calls.value == n
+
+
+def test_jobs_before_the_first_action(spark):
+    """Building a replay asks for hot keys once per source table."""
+    from clausework.operators import workflow
+
+    log = spark.createDataFrame([(i, i, f"c{i % 9}", "create", None) for i in range(50)], "seq long, ts long, contract_id string, command string, if_match string")
+    status = spark.sparkContext.statusTracker()
+    for run in (lambda: workflow.replay(log, with_etag=True), lambda: workflow.replay_with_etags(log)):
+        spark.sparkContext.setJobGroup("plan", "plan")
+        before = len(status.getJobIdsForGroup("plan"))
+        run()
+        assert len(status.getJobIdsForGroup("plan")) - before <= 4
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
