@@ -71,7 +71,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
+# Letters in either case, spelled out: the flag for it would fold letters beyond ASCII.
+_KEYS = "|".join(
+    "".join(f"[{c}{c.upper()}]" if c.isalpha() else "_?" for c in word)
+    for word in ("password", "passwd", "secret", "token", "api_key")
+)
+_ASSIGN_SQL = rf"""({_KEYS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS_SQL = rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+    k(kind, name, p) AS (VALUES (0, 'assign', '{_ASSIGN_SQL}'), (1, 'access', 'AKIA[A-Z0-9]{{14,}}'),
+        (2, 'hex', '[0-9a-f]{{16,}}'), (3, 'owned', '[A-Za-z0-9+/_-]{{20,}}')),
+    h AS (SELECT r, doc_id, source, kind, name, string_split_regex(text, p) AS gaps, regexp_extract_all(text, p) AS hits FROM d, k),
+    o AS (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM h),
+    s AS (SELECT r, doc_id, source, kind, name, hits[i] AS hit,
+        CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM o),
+    v AS (SELECT *, a + length(hit) AS z, CASE kind WHEN 0 THEN regexp_extract(hit, '{_ASSIGN_SQL}', 2) ELSE hit END AS value FROM s),
+    f AS (SELECT * FROM v WHERE kind IN (1, 2) OR kind = 0 AND length(value) >= 12
+        OR kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+    c AS (SELECT * FROM f WHERE kind < 3 OR NOT EXISTS (
+        SELECT 1 FROM f b WHERE b.r = f.r AND b.kind < 3 AND b.a < f.z AND f.a < b.z)),
+    w AS (SELECT value, count(DISTINCT source) + max(CAST(source IS NULL AS INT)) AS owners FROM c GROUP BY 1),
+    j AS (SELECT c.*, owners, name || ':' || a || ':' || z AS span FROM c JOIN w USING (value)),
+    g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
+        string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR owners = 1) AS spans,
+        count(DISTINCT value) FILTER (owners = 1) AS n_live, count(DISTINCT value) FILTER (owners >= 3) AS n_examples FROM j GROUP BY 1)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+        coalesce(n_examples, 0) AS n_examples
+    FROM d LEFT JOIN g USING (r)"""
+
 ORACLES: dict[str, str] = {
+    "op2_secrets": _SECRETS_SQL,
     "op6_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

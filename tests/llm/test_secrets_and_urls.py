@@ -1,6 +1,7 @@
 """Secret scan and URL filter against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -110,5 +111,65 @@ def test_rare_children_become_a_wildcard_and_odd_branches_stay(spark):
     assert got["bad", "p"].template.startswith("/bad/") and got["bad", "p"].purity > 0.9 > 0.2 > got["userax", "p"].purity
 
 
+def brute_templates(shapes):
+    """Template and purity of every (host, shape), from a list of (host, shape, n, labelled, blocked)."""
+    rows = [dict(host=h, shape=tuple(s), n=n, lab=lab, blk=blk, t="") for h, s, n, lab, blk in shapes]
+    for host in {r["host"] for r in rows}:
+        mine = [r for r in rows if r["host"] == host]
+        start = (sum(r["blk"] for r in mine) + 1) / (sum(r["lab"] for r in mine) + 2)
+        for r in mine:
+            r["purity"] = start
+    for level in range(max((len(r["shape"]) for r in rows), default=0)):
+        going = [r for r in rows if len(r["shape"]) > level]
+        children = defaultdict(lambda: [0, 0, 0])
+        for r in going:
+            for i, key in enumerate(("n", "lab", "blk")):
+                children[r["host"], r["t"], r["shape"][level]][i] += r[key]
+        nodes = defaultdict(lambda: [0, 0, 0, 0])
+        for (host, t, _), sums in children.items():
+            nodes[host, t][0] += 1
+            for i in range(3):
+                nodes[host, t][i + 1] += sums[i]
+        named = {}
+        for (host, t, segment), (n, lab, blk) in children.items():
+            count, all_n, all_lab, all_blk = nodes[host, t]
+            rate = all_blk / all_lab if all_lab else None
+            if segment == "*" or count > url_filter.CHILDREN and n * url_filter.CHILDREN < all_n:
+                symbol = "*"
+            elif not lab:
+                symbol = "~"
+            elif abs(blk / lab - rate) <= url_filter.SIMILAR * (rate * (1 - rate) / lab) ** 0.5:
+                symbol = "="
+            else:
+                symbol = segment
+            named[host, t, segment] = f"{t}/{symbol}"
+        merged = defaultdict(lambda: [0, 0, 0])
+        for (host, t, segment), (_, lab, blk) in children.items():
+            m = merged[host, named[host, t, segment]]
+            m[0] += lab
+            m[1] += blk
+        for r in going:
+            new = named[r["host"], r["t"], r["shape"][level]]
+            lab, blk, _ = merged[r["host"], new]
+            r["t"], r["purity"] = new, (blk + url_filter.PRIOR * r["purity"]) / (lab + url_filter.PRIOR)
+    return {(r["host"], r["shape"]): (r["t"], r["purity"]) for r in rows}
+
+
+def test_templates_by_brute_force(spark):
+    rng = random.Random(8)
+    shapes = {}
+    for _ in range(600):
+        parts = tuple(rng.choice(["en", "de", "*", "shop", f"p{rng.choice('abcdefghijklmnopqrstuvwxyz')}", ""]) for _ in range(rng.randrange(1, 5)))
+        lab = rng.choice([0, 0, 1, 5, 30])
+        shapes[rng.choice(["a.com", "b.net", ""]), parts] = (lab + rng.randrange(1, 9), lab, rng.randrange(lab + 1))
+    rows = [(h, list(p), *v) for (h, p), v in shapes.items()]
+    frame = spark.createDataFrame(rows, "host string, shape array<string>, n long, labelled long, blocked long")
+    want = brute_templates(rows)
+    got = {(r.host, tuple(r["shape"])): r for r in url_filter.templates(frame).collect()}
+    assert got.keys() == want.keys()
+    for key, (template, purity) in want.items():
+        assert got[key].template == template and abs(got[key].purity - purity) < 1e-9, key
+
+
 def test_no_pages(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
