@@ -48,10 +48,16 @@ def _packed(numbers: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
 
 def build(ids: np.ndarray, lengths: list[int]) -> bytes:
     """The file of one shard: ``ids`` of its documents, joined, and their lengths."""
-    bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    # Symbols are ranks by frequency, so the upper planes hold few ones and compress well.
+    counts = np.bincount(ids)
+    alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    symbol = np.zeros(len(counts), np.uint32)
+    symbol[alphabet] = np.arange(len(alphabet))
+    bits = max(1, (len(alphabet) - 1).bit_length())
     press = zstandard.ZstdCompressor(level=1)
-    out = [_HEAD.pack(MAGIC, len(ids), len(lengths), bits, BLOCK_BITS), _packed(np.asarray(lengths, np.uint64), press)]
-    row = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    out = [_HEAD.pack(MAGIC, len(ids), len(lengths), bits, BLOCK_BITS), _packed(np.asarray(lengths, np.uint64), press),
+           _packed(alphabet.astype(np.uint64), press)]
+    row = symbol.astype(np.uint16 if bits <= 16 else np.uint32)[ids]
     step = BLOCK_BITS // 8
     for bit in reversed(range(bits)):
         ones = (row & row.dtype.type(1 << bit)) != 0
@@ -62,7 +68,7 @@ def build(ids: np.ndarray, lengths: list[int]) -> bytes:
         out.append(_packed(np.concatenate([[np.uint64(0)], np.cumsum(per_block, dtype=np.uint64)]), press))
         out.append(_packed(np.cumsum([0, *map(len, blocks)]).astype(np.uint64), press))
         out += blocks
-        row = np.concatenate([row[~ones], row[ones]])
+        row = np.concatenate([np.compress(~ones, row), np.compress(ones, row)])
     return b"".join(out)
 
 
@@ -77,6 +83,8 @@ class Shard:
             raise ValueError("not a shard file")
         at = _HEAD.size
         self.lengths, at = self._numbers(at)
+        self.alphabet, at = self._numbers(at)
+        self._symbols = {int(v): s for s, v in enumerate(self.alphabet)}
         self.planes = []
         for _ in range(self.bits):
             ranks, at = self._numbers(at)
@@ -135,16 +143,17 @@ class Shard:
             bit = self._rank1(plane, i + 1) - ones
             value = value << 1 | bit
             i = self._zeros(plane) + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
 
     def rank(self, value: int, i: int) -> int:
         """How often ``value`` occurs among the first i ids."""
-        low, high = self._range(value, i)
+        if value not in self._symbols:
+            return 0
+        low, high = self._range(self._symbols[value], i)
         return high - low
 
     def _range(self, value: int, i: int) -> tuple[int, int]:
-        if value >> self.bits:
-            return 0, 0
+        """Where a symbol of the first i stands after the last plane."""
         low, high = 0, i
         for plane in range(self.bits):
             a, b = self._rank1(plane, low), self._rank1(plane, high)
@@ -159,6 +168,9 @@ class Shard:
 
     def find(self, value: int, j: int) -> int:
         """Place of the j-th (from 0) occurrence of ``value``."""
+        if value not in self._symbols:
+            raise IndexError(j)
+        value = self._symbols[value]
         low, high = self._range(value, self.size)
         if not 0 <= j < high - low:
             raise IndexError(j)
@@ -178,11 +190,13 @@ class Shard:
             blocks = range(len(self.planes[plane][1]) - 1)
             ones = np.unpackbits(np.concatenate([self._block(plane, k) for k in blocks]), count=self.size, bitorder="little").view(bool)
             zeros = self._zeros(plane)
+            if zeros == self.size:
+                continue
             up = np.empty_like(row)
-            up[~ones] = row[:zeros]
-            up[ones] = row[zeros:] | kind(1 << (self.bits - 1 - plane))
+            up[np.flatnonzero(~ones)] = row[:zeros]
+            up[np.flatnonzero(ones)] = row[zeros:] | kind(1 << (self.bits - 1 - plane))
             row = up
-        return row.astype(np.uint32)
+        return self.alphabet.astype(np.uint32)[row]
 
 
 def write_shards(docs: DataFrame, out: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -198,14 +212,14 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, id_col: str
     end = array("I", [end_id]).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        encoder = tokens.encoder(path)
         part = TaskContext.get().partitionId()
         shard = first = 0
         held: list[bytes] = []
         ids: list[pa.Array] = []
         size = 0
 
-        def close(schema) -> pa.RecordBatch:
+        def close() -> pa.RecordBatch:
             data = np.frombuffer(b"".join(held), np.uint32)
             file = build(data, [len(h) // 4 for h in held])
             all_ids = pa.concat_arrays(ids)
@@ -217,22 +231,22 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, id_col: str
             })
 
         for batch in batches:
-            column, texts = batch.column("doc_id"), batch.column("text")
+            column = batch.column("doc_id")
             since = 0
-            for i in range(len(texts)):
-                data = encode(texts[i].as_py()) + end
+            for i, data in enumerate(encoder.encode_all(batch.column("text"))):
+                data += end
                 held.append(data)
                 size += len(data) // 4
                 if size >= shard_tokens:
                     ids.append(column.slice(since, i + 1 - since))
-                    yield close(batch.schema)
+                    yield close()
                     since, shard, first, size = i + 1, shard + 1, first + size, 0
                     held.clear()
                     ids.clear()
-            if since < len(texts):
+            if since < len(column):
                 ids.append(column.slice(since))
         if held:
-            yield close(None)
+            yield close()
 
     schema = f"part int, shard int, first long, tokens long, doc_ids array<{kind}>, file binary"
     (

@@ -8,14 +8,23 @@ result equals encoding the whole text.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
-# Characters of cached pieces per task.
+# Characters of cached pieces per worker process; some 340 MB.
 CACHE_CHARS = 16_000_000
+# Texts cut up at a time.
+TEXTS = 2000
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
+_PILED_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]|^[ \n]"
 _PILED = re.compile(r"\s[ \n]|^[ \n]")
 
 
@@ -48,40 +57,101 @@ def _byte_text(piece: str) -> str:
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str, pieces: Callable[[str], list[str]], text_of: Callable[[str], str] = str):
+    def __init__(self, path: str, pieces: Callable[[str], list[str]], text_of: Callable[[str], str] = str, folds: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # names of special tokens are ordinary text
         self.pieces, self.text_of = pieces, text_of
+        self.folds = folds  # upper and lower case get the same ids
         self.cache: dict[str, bytes] = {}
         self.held = 0
+        self.marks = {m: self._ids([m])[0] for m in ".,"}
 
     def encode(self, text: str | None) -> bytes:
         pieces = self.pieces(text or "")
+        if self.held > CACHE_CHARS:
+            self.cache, self.held = {}, 0
         try:
             return b"".join(map(self.cache.__getitem__, pieces))
         except KeyError:
             self._learn(pieces)
             return b"".join(map(self.cache.__getitem__, pieces))
 
-    def _learn(self, pieces: Iterable[str]) -> None:
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """As ``encode`` of every text in turn, with each distinct piece looked up once per slice."""
+        for at in range(0, len(texts), TEXTS):
+            yield from self._encode_slice(texts.slice(at, TEXTS))
+
+    def _encode_slice(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = pc.fill_null(texts, "")
+        odd = np.zeros(len(texts), bool)
+        if self.folds:
+            plain = pc.replace_substring(texts, "\n", " ")
+        else:
+            # As byte_pieces: texts with white space in a run are encoded on their own.
+            odd = pc.match_substring_regex(texts, _PILED_RE2).to_numpy(zero_copy_only=False)
+            plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+            plain = pc.binary_join_element_wise("\0", pc.replace_substring(plain, "\n", " \n"), "")
+        cut = pc.split_pattern(plain, " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
         if self.held > CACHE_CHARS:
-            self.cache, self.held = {}, 0
-        new = [p for p in dict.fromkeys(pieces) if p not in self.cache]
-        found = self.tokenizer.encode_batch_fast([self.text_of(p) for p in new], add_special_tokens=False)
-        for piece, encoding in zip(new, found, strict=True):
-            self.cache[piece] = array("I", encoding.ids).tobytes()
+            # The pieces of this slice stay, and with them the common ones.
+            self.cache = {p: self.cache[p] for p in pieces if p in self.cache}
+            self.held = sum(map(len, self.cache))
+        new = [p for p in pieces if p not in self.cache]
+        if new:
+            self._learn(new)
+        found = [self.cache[p] for p in pieces]
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy()
+        length = sizes[codes]
+        ends = np.cumsum(length)
+        from_pool = (np.cumsum(sizes) - sizes)[codes] - (ends - length)
+        ids = pool[np.repeat(from_pool, length) + np.arange(ends[-1] if len(ends) else 0)]
+        places = np.concatenate([[0], ends])[np.asarray(cut.offsets) - cut.offsets[0].as_py()]
+        for i, alone in enumerate(odd):
+            yield self.encode(texts[i].as_py()) if alone else ids[places[i]:places[i + 1]].tobytes()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", f.ids).tobytes() for f in found]
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        cache = self.cache
+        whole, derived = {}, []
+        for piece in pieces:
+            if piece in cache:
+                continue
+            # Letters and one mark behind them are separate pre-tokens.
+            stem = piece[:-1] if piece[-1:] in self.marks and piece[:-1].isalpha() else piece
+            base = stem.lower() if self.folds and stem.isascii() else stem
+            if base not in cache:
+                whole[base] = None
+            if base is not piece:
+                derived.append((piece, base, piece[-1] if stem is not piece else ""))
             self.held += len(piece)
+        if whole:
+            cache.update(zip(whole, self._ids([self.text_of(p) for p in whole]), strict=True))
+        for piece, base, mark in derived:
+            cache[piece] = cache[base] + self.marks.get(mark, b"")
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a tokenizer file; the kind is read from its pre-tokenizer."""
-    import json
-    import os
-
-    # Spark runs one task per core already.
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    with open(path, encoding="utf-8") as file:
-        kind = json.load(file)["pre_tokenizer"]["type"]
-    return Encoder(path, byte_pieces, _byte_text) if kind == "ByteLevel" else Encoder(path, word_pieces)
+    """The encoder of a tokenizer file; the kind is read from its pre-tokenizer.
+
+    A worker process keeps it, with its cache, for the tasks it runs later.
+    """
+    if path not in _ENCODERS:
+        # Spark runs one task per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)["pre_tokenizer"]["type"]
+        byte_level = kind == "ByteLevel"
+        _ENCODERS[path] = Encoder(path, byte_pieces, _byte_text) if byte_level else Encoder(path, word_pieces, folds=True)
+    return _ENCODERS[path]
