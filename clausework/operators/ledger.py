@@ -142,11 +142,25 @@ def lookup_versions(
     keys=("contract_id", "version_number"),
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Requests with the version's columns and ``status``: 200 or 404."""
-    found = versions.withColumn("_found", F.lit(True))
-    return lookup(requests, found, list(keys), "left", rows_per_task).withColumn(
-        "status", F.when(F.col("_found"), F.lit(200)).otherwise(F.lit(404))
-    ).drop("_found")
+    """Requests with the version's columns and ``status``: 200, 404, or 500 where a key has several rows.
+
+    Several rows are an error, not several answers; their columns stay null. The grouping shuffles
+    by the keys of the join, so it costs no exchange of its own.
+    """
+    others = [c for c in versions.columns if c not in keys]
+    found = versions.groupBy(*keys).agg(
+        F.first(F.struct(F.lit(1).alias("_one"), *others)).alias("_v"), F.count(F.lit(1)).alias("_rows")
+    )
+    joined = lookup(requests, found, list(keys), "left", rows_per_task)
+    status = F.when(F.col("_rows").isNull(), F.lit(404)).when(F.col("_rows") > 1, F.lit(500)).otherwise(F.lit(200))
+    return joined.select(
+        *requests.columns, *[F.when(F.col("_rows") == 1, F.col(f"_v.{c}")).alias(c) for c in others], status.alias("status")
+    )
+
+
+def listing_status(requested: DataFrame, versions: DataFrame, keys=("contract_id", "version_number")) -> DataFrame:
+    """What a listing of each requested version answers: 200 (also without parameters), 404 or 500."""
+    return lookup_versions(requested.select(*keys).distinct(), versions.select(*keys), keys)
 
 
 def etag_status(if_match: Column, current: Column) -> Column:

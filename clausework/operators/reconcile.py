@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausework.functions.text import trimmed
@@ -47,12 +47,16 @@ def reconcile(
 
 
 def key_coverage(
-    owners: DataFrame, parameters: DataFrame, owner: list[str], keys: list[str], key: str = "parameter_key"
+    owners: DataFrame, parameters: DataFrame, owner: list[str], keys: list[str] | Column, key: str = "parameter_key"
 ) -> DataFrame:
-    """Every owner with every requested key and whether it is ``missing``."""
-    asked = F.array(*[F.lit(k) for k in keys])
-    # At most len(keys) rows per owner survive the map-side distinct.
-    present = parameters.filter(F.col(key).isin(keys)).select(*owner, key).distinct().withColumn("_has", F.lit(True))
+    """Every owner with every requested key and whether it is ``missing``.
+
+    ``keys`` is one list for all, or an array column of ``owners`` with each owner's own.
+    """
+    asked = F.array(*[F.lit(k) for k in keys]) if isinstance(keys, list) else F.array_distinct(keys)
+    known = parameters.filter(F.col(key).isin(keys)) if isinstance(keys, list) else parameters
+    # Repeated keys of an owner are combined map-side.
+    present = known.select(*owner, key).distinct().withColumn("_has", F.lit(True))
     return (
         owners.select(*owner, F.explode(asked).alias(key))
         .join(present, [*owner, key], "left")

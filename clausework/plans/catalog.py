@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions import scores, text, vectors
 from clausework.functions.replies import reply_items, spatial_struct
-from clausework.operators import audit, chunking, layout, ledger, reconcile, review, search, workflow
+from clausework.operators import audit, chunking, feed, layout, ledger, reconcile, review, search, workflow
 from clausework.operators.scan import lookup
 from clausework.plans import enrich, extract
 from clausework.schemas import DEFAULT_KEYS
@@ -350,6 +350,62 @@ def stream_workflow(t):
     )
 
 
+def payload_feed(events: DataFrame) -> DataFrame:
+    """Events as commands with JSON payloads, every eleventh of them broken."""
+    seq, kind = F.col("event_id"), F.col("event_type")
+    text = seq.cast("string")
+    override = F.when(seq % 3 != 0, F.concat(F.lit('"v'), text, F.lit('"'))).otherwise(F.lit("null"))
+    payload = (
+        F.when(seq % 11 == 0, F.lit('{"version_number": 1, '))
+        .when(kind == "signup", F.concat(
+            F.lit('{"contract_type": "t'), text, F.lit('", "metadata": {"n":'), text, F.lit('}'),
+            F.when(seq % 2 == 0, F.lit(', "workflow_state": "PENDING_APPROVAL"')).otherwise(F.lit("")), F.lit("}")))
+        .when(kind == "click", F.concat(F.lit('{"contract_text": "line '), text, F.lit('", "parameters": ["a", "b"]}')))
+        .when(kind == "view", F.concat(F.lit('{"version_number": '), text, F.lit("}")))
+        .when(kind == "purchase", F.concat(F.lit('{"parameter_id": '), text, F.lit(', "user_override": '), override, F.lit("}")))
+    )
+    command = F.create_map(*[F.lit(x) for pair in PAYLOAD_COMMANDS.items() for x in pair])
+    return events.select(
+        seq.alias("seq"), "ts", F.when((kind != "signup") | (seq % 4 != 0), F.col("user_id").cast("string")).alias("contract_id"),
+        command[kind].alias("command"), F.when(seq % 5 == 0, F.lit("tag")).alias("if_match"), payload.alias("payload"),
+    )
+
+
+PAYLOAD_COMMANDS = {"signup": "create", "purchase": "override", "error": "approve", "click": "extract", "view": "accept"}
+
+
+@query("""
+SELECT event_id AS seq, event_type AS kind,
+  CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN substr(sha256('create-' || event_id), 1, 32)
+    WHEN event_type <> 'purchase' THEN user_id::VARCHAR END AS contract_id,
+  CASE event_type
+    WHEN 'signup' THEN CASE WHEN event_id % 11 = 0 THEN '||STAGED_DRAFT' ELSE 't' || event_id || '|{"n":' || event_id || '}|'
+      || CASE WHEN event_id % 2 = 0 THEN 'PENDING_APPROVAL' ELSE 'STAGED_DRAFT' END END
+    WHEN 'click' THEN CASE WHEN event_id % 11 = 0 THEN '|5' ELSE 'line ' || event_id || '|2' END
+    WHEN 'view' THEN CASE WHEN event_id % 11 = 0 THEN '' ELSE event_id::VARCHAR END || CASE WHEN event_id % 5 = 0 THEN '|tag' ELSE '|' END
+    WHEN 'purchase' THEN CASE WHEN event_id % 11 = 0 THEN '|' ELSE event_id || '|' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'v' || event_id END END
+  END AS detail
+FROM events WHERE event_type <> 'error'
+""")
+def command_feed(t):
+    """Every routed command with what its operator is given."""
+    commands = feed.parsed(payload_feed(t.events))
+
+    def rows(df, kind, *columns):
+        shown = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+        owner = F.col("contract_id") if "contract_id" in df.columns else F.lit(None).cast("string")
+        return df.select("seq", F.lit(kind).alias("kind"), owner.alias("contract_id"), shown.alias("detail"))
+
+    c = F.col
+    # A broken version number may or may not survive its broken object; it is not shown for those.
+    return (
+        rows(feed.creates(commands), "signup", c("contract_type"), c("metadata"), c("workflow_state"))
+        .unionByName(rows(feed.extractions(commands), "click", c("text"), F.size("keys")))
+        .unionByName(rows(feed.accepts(commands), "view", F.when(c("seq") % 11 != 0, c("version_number")), c("if_match")))
+        .unionByName(rows(feed.overrides(commands), "purchase", c("parameter_id"), c("user_override")))
+    )
+
+
 # ---- review --------------------------------------------------------------------------------
 
 def line_parameters(t) -> DataFrame:

@@ -95,23 +95,24 @@ def replies_from_model(
     return asked.mapInPandas(ask, asked.schema)
 
 
-def replies_from_rules(chunks: DataFrame, keys: list[str] | None = None, chunk: str = "chunk") -> DataFrame:
+def replies_from_rules(chunks: DataFrame, keys: list[str] | Column | None = None, chunk: str = "chunk") -> DataFrame:
     """Built-in extractor: "key: value" lines, answered in the reply format of a model.
 
-    Row-local expressions over a short literal key list, so no join and no Python.
+    Row-local expressions over a short literal key list, or over an array column with each row's
+    own keys, so no join and no Python.
     """
     others = [c for c in chunks.columns if c != chunk]
+    before, after = "(?im)^[ \\t]*", "[ \\t]*:[ \\t]*(\\S.*)$"
 
-    def answers(key: str) -> Column:
-        line = f"(?im)^[ \\t]*{re.escape(key)}[ \\t]*:[ \\t]*(\\S.*)$"
+    def answers(key: Column, line: Column) -> Column:
         return F.transform(
-            F.regexp_extract_all(F.col(chunk), F.lit(line), F.lit(1)),
-            lambda v: F.struct(
-                F.lit(key).alias("key"), v.alias("value"), F.lit(None).cast("string").alias("spatial")
-            ),
+            F.regexp_extract_all(F.col(chunk), line, F.lit(1)),
+            lambda v: F.struct(key.alias("key"), v.alias("value"), F.lit(None).cast("string").alias("spatial")),
         )
 
-    found = [answers(k) for k in keys or DEFAULT_KEYS]
-    return chunks.select(
-        *others, F.to_json(F.struct(F.concat(*found).alias("parameters"))).alias("response")
-    )
+    if isinstance(keys, Column):
+        quoted = lambda k: F.concat(F.lit(before + "\\Q"), k, F.lit("\\E" + after))
+        found = F.flatten(F.transform(keys, lambda k: answers(k, quoted(k))))
+    else:
+        found = F.concat(*[answers(F.lit(k), F.lit(before + re.escape(k) + after)) for k in keys or DEFAULT_KEYS])
+    return chunks.select(*others, F.to_json(F.struct(found.alias("parameters"))).alias("response"))

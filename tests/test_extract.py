@@ -188,3 +188,22 @@ def test_jobs_before_the_first_action(spark):
         run()
         assert len(status.getJobIdsForGroup("plan")) - before <= 4
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_keys_of_each_document(spark):
+    from clausework.operators.reconcile import key_coverage
+
+    chunks = spark.createDataFrame(
+        [("a", "x.y: 1\nz: 2", ["x.y"]), ("b", "x.y: 1\nz: 2\nz : 3", ["z", "x.y", "none"]), ("c", "z: 1", [])],
+        "contract_id string, chunk string, keys array<string>",
+    )
+    got = {
+        r.contract_id: [(p["key"], p["value"]) for p in json.loads(r.response)["parameters"]]
+        for r in enrich.replies_from_rules(chunks, F.col("keys")).collect()
+    }
+    assert got == {"a": [("x.y", "1")], "b": [("z", "2"), ("z", "3"), ("x.y", "1")], "c": []}
+    have = spark.createDataFrame([("a", "x.y"), ("b", "z"), ("b", "z")], "contract_id string, parameter_key string")
+    covered = key_coverage(chunks, have, ["contract_id"], F.col("keys")).collect()
+    assert {(r.contract_id, r.parameter_key, r.missing) for r in covered} == {
+        ("a", "x.y", False), ("b", "z", False), ("b", "x.y", True), ("b", "none", True),
+    }

@@ -71,3 +71,11 @@ def test_requests_without_an_id_make_contracts_of_their_own(spark):
     rows = ledger.insert_if_absent(known, incoming, "seq").collect()
     assert sorted(r.contract_type for r in rows) == ["first", "old", "x", "y", "z"]
     assert len({r.contract_id for r in rows}) == 5 and all(r.contract_id for r in rows)
+
+
+def test_two_rows_of_a_version_are_an_error(spark):
+    versions = spark.createDataFrame([("a", 1, "s"), ("b", 1, "x"), ("b", 1, "y")], "contract_id string, version_number int, workflow_state string")
+    asked = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "contract_id string, version_number int")
+    got = {r.contract_id: (r.status, r.workflow_state) for r in ledger.lookup_versions(asked, versions).collect()}
+    assert got == {"a": (200, "s"), "b": (500, None), "c": (404, None)}
+    assert {(r.contract_id, r.status) for r in ledger.listing_status(asked, versions).collect()} == {("a", 200), ("b", 500), ("c", 404)}
