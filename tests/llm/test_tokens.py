@@ -6,6 +6,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -31,8 +32,12 @@ def test_encoding_by_pieces_equals_encoding_whole(name):
     rng = random.Random(3)
     alphabet = list(" \n\t.,!'\"-aAbBeEsStTéß1205日\x1c ́\U0001f600") + ["  ", "the", "'s", "'ll", " \n", ", ", ". "]
     texts = ODD + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(3000)]
-    for text in texts:
+    every = tokens.encoder(tokens.public_path(name)).encode_all(pa.array(texts))
+    for text, together in zip(texts, every, strict=True):
         assert list(array("I", encode(text))) == want(text), repr(text)
+        assert together == encode(text), repr(text)
+    some = pa.array(texts).slice(3, 50)
+    assert list(tokens.encoder(tokens.public_path(name)).encode_all(some)) == [encode(t) for t in texts[3:53]]
 
 
 def frame(spark, texts):
@@ -49,7 +54,7 @@ def test_packing_places_every_id_once(spark, window):
     rng = random.Random(5)
     texts = ODD + ["w " * rng.randrange(400) for _ in range(400)] + ["same"] * 50
     docs = frame(spark, texts)
-    rows = packing.pack(docs, window=window, keep_ids=True).collect()
+    rows = packing.pack(docs, window=window, keep_ids=True, docs_per_task=120).collect()
     encode = plain(tokens.WORD_BPE)
     want = Counter()
     for r in docs.collect():
