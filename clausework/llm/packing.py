@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausework.llm import tokens
+from clausework.llm.util import small_batches
 
 WINDOW = 4096
 END_ID = 2
-# Documents per packing task at most.
-DOCS_PER_TASK = 500_000
+# Documents per packing task: few tasks leave few part-empty windows, and a task holds a number each.
+DOCS_PER_TASK = 100_000
 
 
 class OpenWindows:
@@ -94,11 +95,11 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     step = 4 * window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path).encode
+        encoder = tokens.encoder(path)
         for batch in batches:
             at, starts, lengths, sums, totals, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                data = encode(text) + end
+            for i, data in enumerate(encoder.encode_all(batch.column("text"))):
+                data += end
                 for first in range(0, len(data), step):
                     piece = data[first:first + step]
                     at.append(i)
@@ -117,15 +118,15 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 columns["ids"] = pa.array(ids, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return rows.mapInArrow(cut, schema + (", ids array<long>" if keep_ids else ""))
+    return small_batches(rows).mapInArrow(cut, schema + (", ids array<long>" if keep_ids else ""))
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-         end_id: int = END_ID, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
+         end_id: int = END_ID, window: int = WINDOW, keep_ids: bool = False,
+         docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
     """Pieces with their place: the columns of ``pieces``, sequence_id and offset."""
-    spark = docs.sparkSession
     cut = pieces(docs, path or tokens.public_path(tokens.WORD_BPE), id_col, text_col, end_id, window, keep_ids)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DOCS_PER_TASK))
+    tasks = max(1, -(-docs.count() // docs_per_task))
     # Round robin: Spark sorts the rows before dealing them, so a lost task is dealt the same again.
     dealt = cut.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32")
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.util import bounded, checkpointed, drop_rows, text_key
+from clausework.llm.util import bounded, checkpointed, drop_rows, small_batches, text_key
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 # Members of a cell that one task compares; larger cells are split.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 "doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": pa.array(fps.view(np.int64)),
             })
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, key long, fp long")
+    return small_batches(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, key long, fp long")
 
 
 def _signed(x: int) -> int:

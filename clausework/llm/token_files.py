@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.llm import tokens
-from clausework.llm.util import scratch_path
+from clausework.llm.util import scratch_path, small_batches
 
 END_ID = 0
 MAGIC = b"WVMX"
@@ -250,7 +250,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, id_col: str
 
     schema = f"part int, shard int, first long, tokens long, doc_ids array<{kind}>, file binary"
     (
-        ordered.mapInArrow(write, schema).write.option("compression", "uncompressed")
+        small_batches(ordered).mapInArrow(write, schema).write.option("compression", "uncompressed")
         .option("parquet.block.size", 1 << 25).parquet(out)
     )
 

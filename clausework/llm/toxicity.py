@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.util import checkpointed, fold_of
+from clausework.llm.util import checkpointed, fold_of, small_batches
 
 FOLDS, HELD_OUT = 5, 0
 # Of the other folds, this one fits the logistic curve; the rest give the counts.
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     texts = docs.select(docs[text_col].alias("text"))
     shared = checkpointed(
-        texts.mapInArrow(distinct_grams, "gram long, ending long, middle long").distinct()
+        small_batches(texts).mapInArrow(distinct_grams, "gram long, ending long, middle long").distinct()
         .groupBy("ending", "middle").agg(F.count(F.lit(1)).alias("kinds"))
     )
     # Only what the class model can meet goes to the driver: ends of its own three-letter grams.
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 "doc_id": batch.column("doc_id"), "score": scorer.scores(batch.column("text").to_pylist()),
             })
 
-    found = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    found = small_batches(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
     return found.select(
         "doc_id", (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),

@@ -59,3 +59,21 @@ def drop_rows(keyed: DataFrame, gone: DataFrame, twice: DataFrame) -> DataFrame:
         again = match(left, small, names, "left_semi").dropDuplicates(names)
         left = match(left, small, names, "left_anti").unionByName(again)
     return left.drop(*names)
+
+
+# Rows and bytes of an Arrow batch of documents; the session's own limits hold where they are lower.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, with the session's Arrow batches limited: rows of whole texts are wide.
+
+    A task holds several copies of a batch, in the JVM and in Python.
+    """
+    conf = texts.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return texts
