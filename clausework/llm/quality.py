@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clausework.llm.toxicity import labelled
-from clausework.llm.util import fold_of
+from clausework.llm.util import fold_of, small_batches
 
 FOLDS, HELD_OUT = 4, 2
 # Labelled rows that vectors are made of, at most.
@@ -47,7 +47,7 @@ SHARPNESS = 8
 THRESHOLD = 0.7
 # Documents per block of cosines.
 BLOCK = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 # Terms below this number are shapes, the rest words.
 SHAPES = 1024
 _RUNS = [(re.compile(p), r) for p, r in ((r"[^\W\d_]", "a"), (r"\d", "0"))]
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = dict(sample.dtypes)["doc_id"]
     # One row per sampled document, of at most DIMENSIONS counts.
-    table = sample.mapInArrow(count, f"doc_id {kind}, label int, terms array<long>, counts array<long>").orderBy("doc_id").toArrow()
+    table = small_batches(sample).mapInArrow(count, f"doc_id {kind}, label int, terms array<long>, counts array<long>").orderBy("doc_id").toArrow()
     if not table.num_rows:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
     rows = []
@@ -191,7 +191,7 @@ def _with_scores(rows: DataFrame, model: Model, text_col: str, kept: list[str],
             yield pa.RecordBatch.from_arrays(columns, [*kept, name])
 
     fields = [f for f in rows.schema.fields if f.name in kept]
-    return rows.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
+    return small_batches(rows).mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

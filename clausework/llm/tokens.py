@@ -19,8 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
-# Characters of cached pieces per worker process; some 340 MB.
-CACHE_CHARS = 16_000_000
+# Characters of cached pieces per worker process; some 130 MB.
+CACHE_CHARS = 6_000_000
 # Texts cut up at a time.
 TEXTS = 2000
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
