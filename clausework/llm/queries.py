@@ -55,7 +55,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), own_labels=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,7 +11,8 @@ share of blocked labels does not differ significantly from that of their sibling
 those without labels. A template is a path down the merged tree. Its purity is the blocked share of
 its labels, smoothed by ``PRIOR`` labels of its parent's purity; a host starts from one label of
 either kind, so nothing is rejected without evidence. Templates whose purity reaches ``REJECT`` are
-blocked. Segments beyond ``DEPTH`` levels are one ``**``; rules, host and path see the whole url.
+blocked. With ``own_labels``, as the query has it, a template without any label of its own is not
+judged by the labels of its siblings: its purity is ``NEUTRAL``, and it is kept. Segments beyond ``DEPTH`` levels are one ``**``; rules, host and path see the whole url.
 
 Hot hosts are harmless: counts are combined before the shuffle, and the joins back are plain
 equi-joins whose large partitions Spark splits.
@@ -47,6 +48,8 @@ SIMILAR = 1.96
 PRIOR = 4.0
 # A host with three labels, all of them blocks, just reaches it.
 REJECT = 0.8
+# Purity of a template without labels, where those of its siblings do not count.
+NEUTRAL = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,11 +80,12 @@ def shape(path: Column) -> Column:
 
 
 def templates(shapes: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """host, shape, template, purity of every shape, from (host, shape, n, labelled, blocked) rows."""
+    """host, shape, template, purity, labels of the template of every shape, from (host, shape, n, labelled, blocked) rows."""
     deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     hosts = shapes.groupBy("host").agg(*sums).select(
-        "host", F.lit("").alias("template"), ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("purity")
+        "host", F.lit("").alias("template"), ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("purity"),
+        F.col("labelled").alias("labels"),
     )
     now = checkpointed(shapes.join(hosts, "host"))
     for level in range(deepest):
@@ -108,19 +112,23 @@ def templates(shapes: DataFrame, prior: float = PRIOR) -> DataFrame:
             F.concat(F.col("template"), F.lit("/"), symbol).alias("next"),
         ))
         judged = named.groupBy("host", "next").agg(
-            ((F.sum("blocked") + prior * F.max("parent")) / (F.sum("labelled") + prior)).alias("next_purity")
+            ((F.sum("blocked") + prior * F.max("parent")) / (F.sum("labelled") + prior)).alias("next_purity"),
+            F.sum("labelled").alias("next_labels"),
         )
         grown = match(here, named.select("host", "template", "segment", "next"), ["host", "template", "segment"], "left")
         now = checkpointed(match(grown, judged, ["host", "next"], "left").select(
             "host", "shape", "n", "labelled", "blocked", F.coalesce("next", "template").alias("template"),
-            F.coalesce("next_purity", "purity").alias("purity"),
+            F.coalesce("next_purity", "purity").alias("purity"), F.coalesce("next_labels", "labels").alias("labels"),
         ))
-    return now.select("host", "shape", "template", "purity")
+    return now.select("host", "shape", "template", "purity", "labels")
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
-                prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, template and purity of the method's verdicts."""
+                prior: float = PRIOR, reject: float = REJECT, own_labels: bool = False) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, template and purity of the method's verdicts.
+
+    With ``own_labels``, templates without labels have purity ``NEUTRAL``, else that of their parent.
+    """
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
     host, path = split_url(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
@@ -130,7 +138,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.count(F.lit(1)).alias("n"), F.count("verdict").alias("labelled"),
         F.sum((F.coalesce("verdict", F.lit("")) == "block").cast("long")).alias("blocked"),
     ))
-    named = checkpointed(templates(shapes, prior))
+    named = templates(shapes, prior)
+    if own_labels:
+        named = named.withColumn("purity", F.when(F.col("labels") > 0, F.col("purity")).otherwise(NEUTRAL))
+    named = checkpointed(named.select("host", "shape", "template", "purity"))
     ruled = rows.filter("verdict is not null").select(
         "page_id", "host", "path", "rule", "verdict", F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("purity")
     )

@@ -173,3 +173,26 @@ def test_templates_by_brute_force(spark):
 
 def test_no_pages(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_templates_without_labels_are_judged_apart_from_their_host(spark):
+    """/en/ of a host with blocked /es/ and /fr/ is kept; labels of the template itself still reject it."""
+    urls = [f"http://x.net/{lang}/{i}" for lang in ("es", "fr") for i in range(10)] + ["http://x.net/en/5", "http://x.net/de/a/b"]
+    # Unruled pages that share the template /*/... with ruled ones.
+    urls += [f"http://y.net/{n}/a" for n in range(100, 110)] + ["http://y.net/7/a", "http://y.net/en/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = (*url_filter.RULES, ("block", "y.net", "/10"))
+    got = {urls[r.page_id]: r for r in url_filter.filter_urls(pages, rules=rules, own_labels=True).collect()}
+    assert len(got) == len(urls) and got["http://x.net/es/1"].verdict == "block"
+    for url in ("http://x.net/en/5", "http://x.net/de/a/b", "http://y.net/en/a"):
+        assert (got[url].rule, got[url].verdict, got[url].purity) == (None, "allow", url_filter.NEUTRAL), url
+    assert got["http://y.net/7/a"].rule is None and got["http://y.net/7/a"].verdict == "block"
+
+
+def test_the_query_keeps_templates_without_labels(spark, tmp_path):
+    from clausework.llm.queries import op10_url_filter
+
+    urls = [f"http://x.net/{lang}/{i}" for lang in ("es", "fr") for i in range(3)] + ["http://x.net/en/5"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in op10_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: "block" for i in range(6)} | {6: "allow"}
