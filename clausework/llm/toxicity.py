@@ -4,9 +4,10 @@ Two letter models, one of toxic and one of ordinary labelled text, give every wo
 ratio per class. Both interpolate orders 7, 5 and 3 with absolute discounting, and both fall back on
 one shared distribution of continuation counts: of every three-letter gram, the number of different
 letters seen before it anywhere in the corpus. An expression that is rare in either class is thus
-judged by the shared counts and says little. A document is described by the evidence its words give
-beyond two levels of the ratio, in total and normalised by its length, and a logistic curve, fitted
-on labelled rows that the counts have not seen, maps that to a probability.
+judged by the shared counts and says little. A document is described by its length-normalised
+log-likelihood ratio (all ratios of its words, for either class, by its letters) and by the evidence
+its words give beyond two levels of the ratio, in total and per word; a logistic curve, fitted on
+labelled rows that the counts have not seen, maps that to a probability.
 
 The class counts come from at most ``FIT_ROWS`` labelled rows, taken by hash of the id, so the model
 has a size that does not depend on the corpus and is broadcast. The shared counts cover all
@@ -45,6 +46,8 @@ ORDERS = (7, 5, 3)
 DISCOUNT = 0.75
 # (ratio from which a word counts as evidence, most evidence of one word), in nats.
 LEVELS = ((2.0, 4.0), (8.0, 32.0))
+# Numbers that describe a text: its plain ratio, and two for each level.
+FEATURES = 1 + 2 * len(LEVELS)
 THRESHOLD = 0.5
 # Distinct words whose ratio a task keeps, words judged at a time, texts split at a time.
 CACHE_WORDS, WORDS, TEXTS = 400_000, 20_000, 200
@@ -112,7 +115,7 @@ class Model:
     end_kinds: np.ndarray  # different letters seen before
     middles: np.ndarray
     middle_kinds: np.ndarray
-    curve: tuple[float, ...] = (0.0,) * (1 + 2 * len(LEVELS))
+    curve: tuple[float, ...] = (0.0,) * (1 + FEATURES)
 
     @staticmethod
     def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -155,9 +158,9 @@ class Scorer:
         self.model, self.known = model, {}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text and level: log of the total evidence, and log of the evidence per word."""
+        """Per text: log-likelihood ratio per letter; per level, log of the total evidence and of the evidence per word."""
         parts = [self._block(texts[at:at + TEXTS]) for at in range(0, len(texts), TEXTS)]
-        return np.concatenate([*parts, np.zeros((0, 2 * len(LEVELS)))])
+        return np.concatenate([*parts, np.zeros((0, FEATURES))])
 
     def _block(self, texts: list[str | None]) -> np.ndarray:
         split = [words_of(t) for t in texts]
@@ -169,7 +172,8 @@ class Scorer:
 
     def _one(self, words: list[str]) -> list[float]:
         ratios = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-        out = []
+        # A word's end is drawn by the models too and counts as a letter.
+        out = [float(ratios.sum()) / max(1, sum(map(len, words)) + len(words))]
         for least, most in LEVELS:
             evidence = float(np.clip(ratios - least, 0, most).sum())
             out += [math.log1p(evidence), math.log(1e-3 + evidence / max(1, len(words)))]
@@ -289,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     rest = sample.filter(fold == CURVE_FOLD).select("label", "text").mapInArrow(curve_rows, "label int, x array<double>").toArrow()
-    x = np.array(rest.column("x").to_pylist()).reshape(-1, 2 * len(LEVELS))
+    x = np.array(rest.column("x").to_pylist()).reshape(-1, FEATURES)
     model.curve = fit_curve(x, (rest.column("label").to_numpy() > 0).astype(np.float64))
     return model
 

@@ -79,6 +79,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(hit) > 0.95 and np.mean(false) < 0.02
 
 
+def test_many_mild_words_are_evidence(spark):
+    """Toxic texts use the same words as ordinary ones, some of them oftener; no word reaches a level."""
+    rng = np.random.default_rng(4)
+    pools = ["tarem sovel kimon dupal".split(), "besur galit honep wixor".split()]
+    rows = []
+    for i in range(1500):
+        toxic = int(rng.random() < 0.3)
+        words = [rng.choice(pools[int(rng.random() < (0.35 if toxic else 0.65))]) for _ in range(rng.integers(60, 200))]
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([(i, t, "c", "c", 1) for i, t, _ in rows], SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    assert np.abs(model.ratios([*pools[0], *pools[1]])).max() < toxicity.LEVELS[0][0]
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [(got[i], x) for i, _, x in rows if got[i].held_out]
+    assert np.mean([r.predicted for r, x in held if x]) > 0.9 > 0.1 > np.mean([r.predicted for r, x in held if not x])
+
+
+def test_ratio_of_a_text_is_normalised_by_length():
+    words = ["abra", "abba", "arab", "bar", "bab"]
+    model = _model(words, ["bra", "bra", "ab"], *toxicity.shared_grams(words))
+    scorer = toxicity.Scorer(model)
+    once, often, empty = scorer.features(["bra arab", "bra arab " * 50, ""])[:, 0]
+    assert once == pytest.approx(model.ratios(["bra", "arab"]).sum() / 9) == pytest.approx(often) and empty == 0
+    assert scorer.features(["abba"])[0, 0] < 0
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     """Over all continuations of a context, each class distributes at most one."""
     words = ["abra", "abba", "arab", "bar", "bab"]
