@@ -15,6 +15,7 @@ Defined results
   null or empty text    has no direction; gets the mean label of the sample
   null doc_id           never labelled; not held out (crc32 of an empty id is 0)
   repeated labels       of an id, the largest counts
+  repeated ids          one text of an id, that of the smallest hash, is in the sample; all are scored
   ties                  equal cosines are taken in sample order
   no labels             every score is 0.5
   empty table           no rows

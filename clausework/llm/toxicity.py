@@ -18,6 +18,7 @@ Defined results
   null or empty text    scored as a text without words
   null doc_id           never labelled; held out, as the remainder of an empty id is 0
   repeated labels       a row is toxic if any label of its id is
+  repeated ids          one text of an id, that of the smallest hash, is fitted on; all are scored
   no labels, one class  every score is 0.5 (no labels) or 0 or 1 (one class)
   empty table           no rows
   other columns         ignored
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.util import checkpointed, fold_of, small_batches
+from clausework.llm.util import checkpointed, fold_of, small_batches, text_key
 
 FOLDS, HELD_OUT = 5, 0
 # Of the other folds, this one fits the logistic curve; the rest give the counts.
@@ -209,7 +210,10 @@ def _table(rows: pa.Table, key: str, *values: str) -> tuple[np.ndarray, np.ndarr
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed: Column,
              limit: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``limit`` labelled ids that ``allowed`` (of ``doc_id``) lets through, by hash."""
+    """(doc_id, label, text) of at most ``limit`` labelled ids that ``allowed`` (of ``doc_id``) lets through, by hash.
+
+    One row per id: of several texts the one with the smallest hash, found map-side first.
+    """
     known = (
         labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).filter(allowed)
@@ -218,7 +222,10 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     )
     known = checkpointed(known)
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    found = texts.join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(text_key(F.col("text")), "text")).alias("least")).select(
+        "doc_id", "label", "least.text"
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clausework.llm import quality, toxicity
 
@@ -163,3 +164,17 @@ def test_good_documents_keep_their_columns(spark):
     assert quality.good_documents(docs, model, threshold=0.5).count() == len(ODD)
     left = quality.good_documents(docs, model, threshold=0.6)
     assert left.count() == 0 and left.columns == docs.columns
+
+
+def test_the_sample_has_one_row_per_id(spark):
+    rows = [(7, f"copy {i % 5}", "c", "c", 1) for i in range(900)] + [(8, None, "c", "c", 1), (9, "other", "c", "c", 1)]
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (9, 0), (10, 1)], "doc_id long, quality int")
+    samples = []
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, SCHEMA).repartition(3)
+        sample = toxicity.labelled(docs, labels, "doc_id", "text", "quality", F.lit(True), 10).collect()
+        samples.append(sorted((r.doc_id, r.label, r.text) for r in sample))
+    assert samples[0] == samples[1] and [r[:2] for r in samples[0]] == [(7, 1), (8, 0), (9, 0)]
+    assert samples[0][0][2].startswith("copy") and samples[0][1][2] is None
+    model = quality.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    assert len(model.labels) <= 3
