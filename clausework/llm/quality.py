@@ -9,7 +9,7 @@ their similarity.
 
 The labelled sample has at most ``FIT_ROWS`` rows, taken by hash of the id; its size bounds what is
 sent to the driver and broadcast (FIT_ROWS * RANK numbers and DIMENSIONS * RANK of the projection).
-Scoring is one pass over whole texts, with no shuffle.
+Document frequencies are counted over all documents, a row per term and task. Scoring is one pass over whole texts, with no shuffle.
 
 Defined results
   null or empty text    has no direction; gets the mean label of the sample
@@ -133,10 +133,28 @@ class Model:
         return np.where(total > 0, votes, self.mean).astype(np.float64)
 
 
-def latent_model(rows: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
-    """Weights, projection and vectors of a labelled sample (term rows and 0/1 labels)."""
-    found = (rows > 0).sum(axis=0)
-    weights = np.log((1 + len(rows)) / (1 + found)).astype(np.float32) + 1
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """Documents that hold each term, and all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, found = Terms(), np.zeros(DIMENSIONS + 1, np.int64)  # the last for all documents
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found[:DIMENSIONS] += terms.counts(text) > 0
+            found[DIMENSIONS] += batch.num_rows
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"term": at, "n": found[at]})
+
+    rows = small_batches(docs.select(docs[text_col].alias("text"))).mapInArrow(count, "term long, n long")
+    table = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(DIMENSIONS + 1, np.int64)
+    out[table.column("term").to_numpy()] = table.column("n").to_numpy()
+    return out[:DIMENSIONS], int(out[DIMENSIONS])
+
+
+def latent_model(rows: np.ndarray, labels: np.ndarray, found: np.ndarray, documents: int, seed: int = 7) -> Model:
+    """Weights by the documents that hold each term; projection and vectors of a labelled sample (term rows and 0/1 labels)."""
+    weights = np.log((1 + documents) / (1 + found)).astype(np.float32) + 1
     x = rows * weights
     # Leading right singular vectors by subspace iteration.
     rank = max(1, min(RANK, *x.shape))
@@ -175,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         row = np.zeros(DIMENSIONS, np.int64)
         row[terms.values.to_numpy()] = counts.values.to_numpy()
         rows.append(row)
-    return latent_model(dense(rows), (table.column("label").to_numpy() > 0).astype(np.float32))
+    return latent_model(dense(rows), (table.column("label").to_numpy() > 0).astype(np.float32),
+                        *document_frequencies(docs, text_col))
 
 
 def _with_scores(rows: DataFrame, model: Model, text_col: str, kept: list[str], name: str) -> DataFrame:

@@ -178,3 +178,13 @@ def test_the_sample_has_one_row_per_id(spark):
     assert samples[0][0][2].startswith("copy") and samples[0][1][2] is None
     model = quality.fit(spark.createDataFrame(rows, SCHEMA), labels)
     assert len(model.labels) <= 3
+
+
+def test_document_frequencies_cover_all_documents(spark):
+    """A word of every unlabelled document weighs little, though no labelled one has it."""
+    rows = [(i, f"labelled w{i}" if i < 8 else "common text", "c", "c", 1) for i in range(200)] + [(None, None, "c", "c", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"))
+    of = lambda word: model.weights[quality._term_pair(word) >> 16]
+    assert of("common") == pytest.approx(1 + np.log(202 / 193), abs=1e-5)
+    assert of("labelled") == pytest.approx(1 + np.log(202 / 9), abs=1e-5)
