@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausework.llm import exact_dedup, mixing, packing, quality, secrets, simhash, token_files, topk, toxicity, url_filter
+from clausework.llm import (
+    exact_dedup, mixing, packing, periodic, quality, rank_bpe, secrets, simhash, spelling, token_files, topk, toxicity, url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), own_labels=True)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.vocabulary(_table(spark, sf_dir, "documents"), slip=spelling.SLIP))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(periodic.periodic_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.token_digest(rank_bpe.decode(rank_bpe.encode(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -69,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling": op11_spelling,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_rank_bpe": op13_rank_bpe,
 }
 
 # Letters in either case, spelled out: the flag for it would fold letters beyond ASCII.
@@ -102,7 +119,63 @@ _SECRETS_SQL = rf"""
         coalesce(n_examples, 0) AS n_examples
     FROM d LEFT JOIN g USING (r)"""
 
+# CRC-32 from its polynomial: its table t, and the hash of a text in UTF-8, given in hex.
+_CRC_TABLE_SQL = """t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+        lambda c, k: xor(c // 2, (c % 2) * 3988292384), CAST(i AS BIGINT))) AS crc)"""
+_CRC_SQL = """xor(4294967295, list_reduce(list_transform(range(1, length(x) + 1, 2),
+        lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)), lambda c, b: xor(c // 256, crc[xor(c, b) % 256 + 1]), 4294967295))"""
+# Near words by deleting or masking one letter.
+_SPELLING_SQL = rf"""
+    WITH RECURSIVE {_CRC_TABLE_SQL},
+    r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    d AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x
+        FROM r WHERE length(run) >= 6 GROUP BY ALL),
+    h AS (SELECT run, n, {_CRC_SQL} AS h FROM d, t),
+    w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, h % length(run) + 2)
+        ELSE run END AS word, n FROM h),
+    v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+    i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+    e AS (SELECT word, n, left(word, i - 1) || substr(word, i + 1) AS less, left(word, i - 1) || '*' || substr(word, i + 1) AS mask FROM i),
+    u AS (SELECT DISTINCT e.word AS long, v.word AS short FROM e JOIN v ON e.less = v.word),
+    p AS (SELECT long AS word, short AS near FROM u UNION ALL SELECT short, long FROM u
+        UNION ALL SELECT a.word, b.word FROM e a JOIN e b USING (mask) WHERE a.word <> b.word),
+    b AS (SELECT word, v.n, count(*) AS n_near, arg_min({{'w': near, 'n': o.n}}, {{'less': -o.n, 'w': near}}) AS best
+        FROM p JOIN v USING (word) JOIN (SELECT word AS near, n FROM v) o USING (near) GROUP BY ALL),
+    f AS (SELECT word, best.w AS form, best.n AS form_n FROM b WHERE best.n >= 5 * n),
+    c AS (SELECT word, form AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.root = f.word),
+    z AS (SELECT word, root FROM c WHERE root NOT IN (SELECT word FROM f))
+    SELECT word, form, coalesce(root, word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n
+    FROM v LEFT JOIN b USING (word) LEFT JOIN f USING (word) LEFT JOIN z USING (word)"""
+
+# A run repeats five words or more at its period: islands of equal five-grams, that no shorter period covers.
+_PERIODIC_SQL = rf"""
+    WITH {_CRC_TABLE_SQL},
+    d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(CAST(doc_id AS VARCHAR))) AS x,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    h AS (SELECT r, doc_id, ws, len(ws) AS n, {_CRC_SQL} AS h FROM d, t),
+    g AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+    w AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i
+        ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) END AS ws FROM g),
+    k AS (SELECT r, i, array_to_string(ws[i + 1:i + 5], ' ') AS gram FROM (SELECT r, ws, unnest(range(n - 4)) AS i FROM w)),
+    m AS (SELECT a.r, b.i - a.i AS q, a.i, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS island
+        FROM k a JOIN k b ON a.r = b.r AND a.gram = b.gram AND a.i < b.i),
+    c AS (SELECT r, q, min(i) AS s, count(*) + 4 + q AS l FROM m GROUP BY r, q, island),
+    u AS (SELECT * FROM c WHERE l >= 6 AND l >= 4 * q),
+    v AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.r = u.r AND o.q < u.q AND o.s <= u.s AND o.s + o.l >= u.s + u.l)),
+    e AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS line,
+        arg_min({{'s': s, 'l': l, 'q': q}}, {{'less': -l / q, 's': s, 'q': q}}) AS best FROM v GROUP BY r),
+    z AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM v),
+    y AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept
+        FROM (SELECT r, unnest(range(n)) AS i, unnest(ws) AS word FROM w) ANTI JOIN z USING (r, i) GROUP BY r)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period,
+        1000 * best.l // best.q AS exponent_milli, sha256(coalesce(line, '')) AS runs_sha256,
+        sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words
+    FROM w LEFT JOIN e USING (r) LEFT JOIN y USING (r)"""
+
 ORACLES: dict[str, str] = {
+    "op11_spelling": _SPELLING_SQL,
+    "op12_periodic_runs": _PERIODIC_SQL,
     "op2_secrets": _SECRETS_SQL,
     "op6_exact_dedup": r"""
         WITH n AS (

@@ -16,12 +16,13 @@ COLUMNS = {
     3: "doc_id start length ids_crc32 doc_tokens sequence_id offset", 4: "doc_id held_out score predicted",
     5: "doc_id start n_tokens ids_crc32", 6: "doc_id keep_id group_size kept text_sha256",
     7: "doc_id fingerprint component_id", 8: "query_id rank vec_id score", 9: "doc_id held_out score predicted",
-    10: "page_id host path rule verdict",
+    10: "page_id host path rule verdict", 11: "word form root n n_near form_n",
+    12: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256", 13: "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert QUERIES.keys() <= entry.queries().keys() and "pipeline" in entry.queries()
     assert ORACLES.items() <= entry.oracle_sql().items()
 
