@@ -10,17 +10,45 @@ from pyspark.sql import functions as F
 _MAYBE_NOT_TEXT = "^(-?[0-9][0-9.eE+-]*|true|false|\\[\\]|\\{\\})$"
 
 
-def python_float(x: Column) -> Column:
-    """A double as Python spells it: plain from 1e-4 up to 1e16, else with a two-digit exponent at least."""
-    # The fewest digits that give the number back; one, or as many as doubles may need.
+def _python_float_by_trial(x: Column) -> Column:
+    """As ``python_float``, for any double: the fewest digits that give the number back are tried out."""
     short = F.coalesce(*[
         F.when(made.try_cast("double") == x, made) for made in (F.format_string(f"%.{n}e", x) for n in (0, 14, 15, 16))
     ], F.format_string("%.16e", x))
     short = F.regexp_replace(F.regexp_replace(short, "([.][0-9]*?)0+e", "$1e"), "[.]e", "e")
-    plain = F.regexp_replace(short.try_cast("decimal(38,21)").cast("string"), "0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     size = F.abs(x)
-    return F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+    return F.when((size >= 1e-4) & (size < 1e16), _plain(short)).otherwise(short)
+
+
+def _plain(text: Column) -> Column:
+    """A decimal without exponent or needless zeros."""
+    digits = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+
+def python_float(x: Column) -> Column:
+    """A double as Python spells it: plain from 1e-4 up to 1e16, else with a two-digit exponent at least.
+
+    Spark's own spelling gives the number back. With up to 15 digits it is then the only one so short, so
+    just its exponent has to move; the rest is tried out. Spelled inside arrays, which keeps the long
+    expression out of the generated code.
+    """
+    def spelled(text: Column) -> Column:
+        size, digits = F.abs(x), F.substring_index(text, "E", 1)
+        power = F.substring_index(text, "E", -1).try_cast("int")
+        pair = F.abs(power).cast("string")
+        exponent = F.concat(
+            F.regexp_replace(digits, "[.]0$", ""), F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+            F.when(F.length(pair) < 2, F.concat(F.lit("0"), pair)).otherwise(pair),
+        )
+        return (
+            F.when((F.length(digits) > 16) | (size < 1e-300), _python_float_by_trial(x))
+            .when(~text.contains("E"), text)
+            .when((size >= 1e-4) & (size < 1e16), _plain(text))
+            .otherwise(exponent)
+        )
+
+    return F.get(F.transform(F.array(x.cast("string")), spelled), F.lit(0))
 
 
 def _text_or_null(field: Column, text: Column) -> Column:

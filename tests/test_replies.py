@@ -1,9 +1,12 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausework.functions.replies import reply_items, spatial_struct
 from clausework.operators.reconcile import key_coverage, reconcile
+from clausework.plans.catalog import QUERIES
 
 REPLIES = [
     ('{"parameters":[{"key":"a","value":"x"},5,{"name":"b","value":"y"}]}', [("a", "x"), ("b", "y")]),
@@ -108,3 +111,13 @@ def test_numbers_are_spelled_like_python(spark):
     got = {r.id: r.value for r in reply_items(df).collect()}
     different = [(n, got[i], str(json.loads(n))) for i, n in enumerate(numbers) if got[i] != str(json.loads(n))]
     assert not different
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+def test_parsing_stays_in_generated_code(spark):
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # code that cannot be compiled is an error
+    try:
+        for name in ("reply_items_parsed", "extract_rules"):
+            assert QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
