@@ -9,8 +9,9 @@ which enter their buckets; what they held before goes stale and is skipped when
 pre-token of n bytes thus takes a time of n log n, however long it is, where rescanning for the
 lowest rank takes the square.
 
-Texts are dealt in Arrow batches, their pre-tokens streamed; equal pre-tokens are merged once per
-worker, in a cache of bounded size. Ids and bytes travel as little-endian unsigned 32-bit numbers and
+Texts are dealt in Arrow batches, their pre-tokens streamed. A worker keeps the ids of pre-tokens it
+has met, in two generations of bounded size: when the younger is full it becomes the older, and what is
+asked for again moves up. Ids and bytes travel as little-endian unsigned 32-bit numbers and
 plain bytes, so hashes and lengths are taken by Spark.
 
 Defined results
@@ -41,10 +42,12 @@ from pyspark.sql import functions as F
 from clausework.llm.util import small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-# Characters of cached pre-tokens per worker process; some 30 MB with their ids.
-CACHE_CHARS = 1_000_000
-# Longer pre-tokens are not kept.
+# Pre-tokens in each of a worker's two cache generations; some 60 MB with their ids.
+CACHE = 300_000
+# Characters of a pre-token that is kept, at most.
 CACHED = 64
+# Bits of a bitmap word.
+WORD = 8
 # Pre-tokens of one text worked on at a time.
 SLICE = 1 << 16
 
@@ -62,60 +65,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, file))}
 
 
-class RankQueue:
-    """Positions in buckets by rank; ``pop`` takes the lowest position of the lowest rank."""
-
-    def __init__(self, ranks: int):
-        self.buckets: list[list[int] | None] = [None] * ranks
-        words = max(1, -(-ranks // 64))
-        self.levels = [[0] * words]
-        while words > 1:
-            words = -(-words // 64)
-            self.levels.append([0] * words)
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word = rank >> 6
-            before = level[word]
-            level[word] = before | 1 << (rank & 63)
-            if before:  # the levels above know already
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position), or None when all buckets are empty."""
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            if not word:
-                return None  # the top level is empty
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            at = rank
-            for level in self.levels:
-                level[at >> 6] &= ~(1 << (at & 63))
-                if level[at >> 6]:
-                    break
-                at >>= 6
-        return rank, position
-
-
 class Bpe:
     """Encodes and decodes by the ranks of ``path``, pre-token by pre-token of ``pattern``."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.longest = max(map(len, self.ranks))
+        # The rank queue: positions by rank, and which 256 ranks each have any. Empty between pre-tokens.
+        self.buckets: dict[int, list[int]] = {}
+        self.words = [0] * ((max(self.ranks.values()) >> WORD) + 1)
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
@@ -124,74 +82,84 @@ class Bpe:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.known = np.zeros(len(self.token), bool)
         self.known[list(self.ranks.values())] = True
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> array:
-        """The ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
+        """The ids of one pre-token; queue operations are written out, as most pre-tokens are short."""
+        ranks, find = self.ranks, self.ranks.get
+        whole = find(piece)
         if whole is not None:
             return array("I", [whole])
-        # Part i starts at byte i, and goes on to ``after[i]``; its pair's rank is ``of[i]``, -1 if it has none.
-        n = len(piece)
-        after, before, of = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", [-1]) * n
-        find, push = ranks.get, queue.push
-        for i in range(n - 1):
-            rank = find(piece[i:i + 2], -1)
-            if rank >= 0:
-                of[i] = rank
-                push(rank, i)
-        while (taken := queue.pop()) is not None:
-            rank, i = taken
+        # Part i starts at byte i and goes on to ``after[i]``; its pair's rank is ``of[i]``, -1 if it has none.
+        n, mask = len(piece), (1 << WORD) - 1
+        of = [find(piece[i:i + 2], -1) for i in range(n - 1)] + [-1]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        buckets, words, top = self.buckets, self.words, 0
+        for i, rank in enumerate(of):
+            if rank in buckets:
+                heappush(buckets[rank], i)
+            elif rank >= 0:
+                buckets[rank] = [i]
+                words[rank >> WORD] |= 1 << (rank & mask)
+                top |= 1 << (rank >> WORD)
+        while top:
+            # The first set bits name the lowest rank, the bucket its leftmost position.
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            lowest = bits & -bits
+            rank = word << WORD | lowest.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[word] = bits = bits ^ lowest
+                if not bits:
+                    top &= top - 1
             if of[i] != rank:
                 continue  # stale: the pair that stood here has changed
             right = after[i]
             end = after[i] = after[right]
             of[right] = -1  # no part starts here any more
+            changed = [(i, find(piece[i:after[end]], -1))] if end < n else [(i, -1)]
             if end < n:
                 before[end] = i
-                beyond = after[end]
-                of[i] = now = find(piece[i:beyond], -1) if beyond - i <= self.longest else -1
-                if now >= 0:
-                    push(now, i)
-            else:
-                of[i] = -1
-            left = before[i]
-            if left >= 0:
-                of[left] = now = find(piece[left:end], -1) if end - left <= self.longest else -1
-                if now >= 0:
-                    push(now, left)
+            if i:
+                changed.append((before[i], find(piece[before[i]:end], -1)))
+            for at, new in changed:
+                of[at] = new
+                if new in buckets:
+                    heappush(buckets[new], at)
+                elif new >= 0:
+                    buckets[new] = [at]
+                    words[new >> WORD] |= 1 << (new & mask)
+                    top |= 1 << (new >> WORD)
         ids, i = array("I"), 0
         while i < n:
             ids.append(ranks[piece[i:after[i]]])
             i = after[i]
         return ids
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of ``pieces``, from the cache or merged anew."""
-        if self.held > CACHE_CHARS:
-            self.cache, self.held = {p: self.cache[p] for p in set(pieces) if p in self.cache}, 0
-            self.held = sum(map(len, self.cache))
-        found = {}
-        for piece in set(pieces):
-            ids = self.cache.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode()).tobytes()
-                if len(piece) <= CACHED:
-                    self.cache[piece] = ids
-                    self.held += len(piece)
-            found[piece] = ids
-        return found
+    def _ids(self, piece: str) -> bytes:
+        """Ids of a pre-token that the younger generation does not hold."""
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.merge(piece.encode()).tobytes()
+        if len(piece) <= CACHED:
+            if len(self.young) >= CACHE:
+                self.young, self.old = {}, self.young
+            self.young[piece] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit numbers."""
         out, matches = [], self.pattern.finditer(text or "")
         while pieces := [m[0] for m in islice(matches, SLICE)]:
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, pieces)))
-            except KeyError:
-                out.append(b"".join(map(self._learn(pieces).__getitem__, pieces)))
+            # A generation may end on the way, hence by lookup in whichever is the younger then.
+            found = list(map(self.young.get, pieces))
+            out += [self.young.get(p) or self._ids(p) for p in pieces] if None in found else found
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> bytes:
