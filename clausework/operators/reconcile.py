@@ -29,6 +29,12 @@ def reconcile(
     firsts = usable.groupBy(*group, "_len").agg(
         F.min(order).alias("_no"), F.min_by(F.length(value), order).alias("_raw")
     )
+    winners = _winners(firsts, group).withColumnRenamed("_winner", order)
+    return items.join(winners, [*group, order])
+
+
+def _winners(firsts: DataFrame, group: list[str]) -> DataFrame:
+    """``group``, number of the winning item and ``first_no``, from the first item (_no, _len, _raw) of each length."""
     candidates = F.array_sort(F.collect_list(F.struct("_no", "_len", "_raw")))
     winner = F.aggregate(
         F.col("_items"),
@@ -38,12 +44,39 @@ def reconcile(
         ).otherwise(kept),
         lambda kept: kept["no"],
     )
-    winners = (
+    return (
         firsts.groupBy(*group)
         .agg(candidates.alias("_items"), F.min("_no").alias("first_no"))
-        .select(*group, winner.alias(order), "first_no")
+        .select(*group, winner.alias("_winner"), "first_no")
     )
-    return items.join(winners, [*group, order])
+
+
+def candidates(items: DataFrame, group: list[str], value: str = "value", order: str = "item_no") -> DataFrame:
+    """What must be kept of items to reconcile them with later ones: per group the first of each trimmed length.
+
+    All but the ``group`` columns and ``order`` come as columns of the first item, next to its ``_len``.
+    """
+    usable = items.withColumn("_len", F.length(trimmed(F.col(value)))).filter(F.col("_len") > 0)
+    return _firsts(usable, group, order).select(*group, "_len", *[c for c in items.columns if c not in group])
+
+
+def merge_candidates(stored: DataFrame, arrived: DataFrame, group: list[str], order: str = "item_no") -> DataFrame:
+    """Candidates of all items, from those of two parts; a part that arrives twice changes nothing."""
+    return _firsts(stored.unionByName(arrived.select(*stored.columns)), group, order).select(*stored.columns)
+
+
+def _firsts(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    others = [c for c in rows.columns if c not in (*group, "_len", order)]
+    return rows.groupBy(*group, "_len").agg(
+        F.min(order).alias(order), F.min_by(F.struct(*others), order).alias("_first")
+    ).select(*group, "_len", order, "_first.*")
+
+
+def reconciled(kept: DataFrame, group: list[str], value: str = "value", order: str = "item_no") -> DataFrame:
+    """The winning item of each group and ``first_no``, from candidates; as ``reconcile`` of all items."""
+    firsts = kept.select(*group, "_len", F.col(order).alias("_no"), F.length(value).alias("_raw"))
+    winners = _winners(firsts, group).withColumnRenamed("_winner", order)
+    return kept.drop("_len").join(winners, [*group, order])
 
 
 def key_coverage(

@@ -11,14 +11,14 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausework.functions import scores, text, vectors
 from clausework.functions.replies import reply_items, spatial_struct
 from clausework.operators import audit, chunking, feed, layout, ledger, reconcile, review, search, workflow
-from clausework.operators.scan import lookup
-from clausework.plans import enrich, extract
+from clausework.operators.scan import lookup, number_rows
+from clausework.plans import enrich, extract, upsert
 from clausework.schemas import DEFAULT_KEYS
 from clausework.session import scratch_path, tune
 from clausework.sources import tables
@@ -340,12 +340,17 @@ def file_stream(t, name: str) -> DataFrame:
 
 @query(replay_sql("NULL::VARCHAR", REPLAY_COLUMNS, "CASE WHEN seq % 3 = 0 THEN 'PENDING_APPROVAL' ELSE 'STAGED_DRAFT' END"))
 def stream_workflow(t):
-    """Every third create asks for an initial state of its own."""
-    log = command_log(file_stream(t, "events")).withColumn("opened", F.when(F.col("seq") % 3 == 0, F.lit("PENDING_APPROVAL")))
-    outcome = jobs.workflow_stream(log, if_match=None, initial_state="opened")
-    out = scratch_path(t.spark, "stream-workflow")
-    jobs.write_stream(outcome, out, scratch_path(t.spark, "stream-checkpoint")).awaitTermination()
-    return t.spark.read.parquet(out).select(
+    """Commands arriving in three parts, by time; every third create asks for an initial state of its own."""
+    log = command_log(t.events).withColumn("opened", F.when(F.col("seq") % 3 == 0, F.lit("PENDING_APPROVAL")))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = log.select(at.alias("at")).approxQuantile("at", [1 / 3, 2 / 3], 0.01) or (0, 0)
+    feed_, out, checkpoint = (scratch_path(t.spark, f"stream-{n}") for n in ("commands", "workflow", "checkpoint"))
+    # A part is carried out before the next arrives.
+    for part in (at < low, (at >= low) & (at < high), at >= high):
+        log.filter(part).write.mode("append").parquet(feed_)
+        arriving = t.spark.readStream.schema(log.schema).parquet(feed_)
+        jobs.workflow_into(arriving, out, checkpoint, if_match=None, initial_state="opened", buckets=16).awaitTermination()
+    return t.spark.read.parquet(f"{out}/outcomes").select(
         "contract_id", "seq", "version_number", "workflow_state", big("status"), "etag"
     )
 
@@ -444,6 +449,45 @@ def batch_accept_count(t):
     )
 
 
+UPSERT_SQL = """
+WITH p AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, l_returnflag, l_discount) AS parameter_id,
+    l_orderkey::VARCHAR AS contract_id, l_linenumber::BIGINT AS version_number, l_linestatus AS original_extract,
+    CASE l_returnflag WHEN 'A' THEN '' WHEN 'R' THEN 'R' END AS user_override, 1 - l_discount AS combined_score FROM lineitem),
+o AS (SELECT * REPLACE (CASE WHEN parameter_id % 997 = 0 THEN 'v' || parameter_id ELSE user_override END AS user_override,
+    CASE WHEN parameter_id % 997 = 0 THEN 0.25 ELSE combined_score END AS combined_score) FROM p),
+a AS (SELECT *, user_override IS NULL AND combined_score >= 0.99 AND contract_id::BIGINT % 101 = 0 AND version_number = 2 AS hit FROM o)
+SELECT parameter_id, contract_id, version_number, original_extract,
+  CASE WHEN hit THEN original_extract ELSE user_override END AS user_override,
+  round(CASE WHEN hit THEN 1.0 ELSE combined_score END, 6) AS combined_score FROM a
+"""
+
+
+@query(UPSERT_SQL)
+def parameters_upsert(t):
+    """A stored parameter table after overrides and an accept, each of which rewrites the buckets it touches."""
+    lines = t.lineitem.select(
+        *LINE, "l_returnflag", "l_discount", F.col("l_linestatus").alias("original_extract"),
+        F.when(F.col("l_returnflag") == "A", F.lit("")).when(F.col("l_returnflag") == "R", F.lit("R")).alias("user_override"),
+        (1 - F.col("l_discount")).alias("combined_score"),
+    )
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "original_extract", "l_returnflag", "l_discount"]
+    stored = number_rows(lines, order, "parameter_id").select(
+        "parameter_id", F.col("l_orderkey").cast("string").alias("contract_id"), F.col("l_linenumber").cast("int").alias("version_number"),
+        "original_extract", "user_override", "combined_score",
+    )
+    schema = ", ".join(f"{name} {kind}" for name, kind in stored.dtypes)
+    table = upsert.parameter_table(t.spark, scratch_path(t.spark, "parameters"), schema, 32)
+    table.write(stored)
+    overridden = table.read().filter("parameter_id % 997 = 0").select(
+        "parameter_id", F.concat(F.lit("v"), F.col("parameter_id").cast("string")).alias("user_override"),
+        F.lit(0.25).alias("combined_score"), F.lit(200).alias("status"),
+    )
+    upsert.override_parameters(table, overridden)
+    granted = t.orders.filter("o_orderkey % 101 = 0").select(F.col("o_orderkey").cast("string").alias("contract_id"), F.lit(2).alias("version_number"))
+    upsert.accept_versions(table, granted)
+    return table.read().withColumns({"version_number": big("version_number"), "combined_score": F.round("combined_score", 6)})
+
+
 @query(f"""
 WITH p AS ({LINES_SQL}),
 r AS (SELECT o_orderkey, 1 + o_custkey % 9 AS version, CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN
@@ -653,6 +697,45 @@ def reconciled_items(t):
     )
 
 
+STREAMED_REPLIES_SQL = """
+WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_returnflag AS k, l_linestatus AS s, l_partkey % 5 AS shape,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+      CASE l_partkey % 5 WHEN 1 THEN l_linestatus || l_returnflag ELSE l_returnflag || l_linestatus END) AS chunk FROM lineitem),
+items AS (
+  SELECT o, chunk, 0 AS pos, k AS key, n::VARCHAR AS value FROM l WHERE shape = 0
+  UNION ALL SELECT o, chunk, 2, s, n::VARCHAR FROM l WHERE shape = 0
+  UNION ALL SELECT o, chunk, 0, 'param_1', s FROM l WHERE shape = 1
+  UNION ALL SELECT o, chunk, 2, 'param_3', '[1,"' || k || '"]' FROM l WHERE shape = 1
+  UNION ALL SELECT o, chunk, 1, 't', 'True' FROM l WHERE shape = 4
+  UNION ALL SELECT o, chunk, i, 'param_' || (i + 1), number
+    FROM l, (VALUES (2, '1e-07'), (3, '1e+20'), (4, '1e-05'), (5, '150.0'), (6, '12345678.25'), (7, '0.0001'), (8, '-2.5')) v(i, number)
+    WHERE shape = 4)
+SELECT o::VARCHAR AS contract_id, 1::BIGINT AS version_number, key AS parameter_key, value AS original_extract,
+  first_no AS item_no, 1.0::DOUBLE AS combined_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY o, key ORDER BY length(value) DESC, chunk, pos) AS rn,
+    min(chunk * 4294967296 + pos) OVER (PARTITION BY o, key) AS first_no FROM items)
+WHERE rn = 1
+"""
+
+
+@query(STREAMED_REPLIES_SQL)
+def stream_replies(t):
+    """Replies to the chunks of one version per order, arriving in three parts that each hold some of its chunks."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "response")
+    replies = line_replies(t).select(
+        F.col("l_orderkey").cast("string").alias("contract_id"), F.lit(1).alias("version_number"),
+        F.row_number().over(place).alias("chunk_no"), "response",
+    )
+    feed_, out, checkpoint = (scratch_path(t.spark, f"replies-{n}") for n in ("feed", "rows", "checkpoint"))
+    for part in (2, 0, 1):
+        replies.filter(F.col("chunk_no") % 3 == part).write.mode("append").parquet(feed_)
+        arriving = t.spark.readStream.schema(replies.schema).parquet(feed_)
+        stream = jobs.replies_into(arriving, out, checkpoint, buckets=16)
+        stream.awaitTermination()
+    _, rows = jobs.reply_tables(t.spark, out, stream.id, 16)
+    return rows.read().select("contract_id", big("version_number"), "parameter_key", "original_extract", "item_no", "combined_score")
+
+
 @query("""
 SELECT c.conv_id, k.role, NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = k.role) AS missing
 FROM (SELECT DISTINCT conv_id FROM conversations) c, (VALUES ('system'), ('user'), ('assistant')) k(role)

@@ -50,21 +50,33 @@ def parameters_from_replies(
 
     ``item_no`` orders a version's rows by the first appearance of their key.
     """
-    items = reply_items(replies).withColumn(
+    kept = reconcile(numbered_items(replies), OWNER)
+    return embedded(parameter_rows(kept.withColumn("spatial_json", F.to_json("spatial"))), embedder)
+
+
+def numbered_items(replies: DataFrame) -> DataFrame:
+    """Items of replies, with their place in the version as ``item_no``."""
+    return reply_items(replies).withColumn(
         "item_no", F.shiftleft(F.col("chunk_no").cast("long"), 32) + F.col("pos")
     )
-    kept = reconcile(items, OWNER)
-    rows = kept.select(
+
+
+def parameter_rows(kept: DataFrame) -> DataFrame:
+    """Reconciled items as new parameter rows, without id and vector."""
+    return kept.select(
         *OWNER,
         "parameter_key",
         F.lit(None).cast("string").alias("param_group_id"),
         F.lit("SCALAR").alias("param_structure_type"),
         F.col("value").alias("original_extract"),
         F.lit(None).cast("string").alias("user_override"),
-        F.to_json("spatial").alias("spatial_json"),
+        "spatial_json",
         F.lit(1.0).alias("combined_score"),
         F.col("first_no").alias("item_no"),
     )
+
+
+def embedded(rows: DataFrame, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     embed = embedder or (lambda df: embed_hashing(df, "original_extract", "vector_embed"))
     return embed(rows)
 

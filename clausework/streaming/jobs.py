@@ -2,18 +2,144 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from clausework.functions.text import chunk_documents
-from clausework.operators.workflow import OUTCOME, command_step
+from clausework.operators.reconcile import candidates, merge_candidates, reconciled
+from clausework.operators.scan import ROWS_PER_TASK
+from clausework.operators.workflow import OUTCOME, STATE, command_step, end_states, replay, replay_with_etags
 from clausework.plans.enrich import replies_from_rules
-from clausework.plans.extract import parameters_from_replies, stored
+from clausework.plans.extract import OWNER, embedded, numbered_items, parameter_rows, parameters_from_replies, stored
 from clausework.schemas import CHUNK_CHARS
+from clausework.session import checkpointed
+from clausework.sources.buckets import BUCKETS, BucketedTable
+
+CANDIDATES = (
+    "contract_id STRING, version_number INT, parameter_key STRING, _len INT, item_no LONG, value STRING, spatial_json STRING"
+)
+ROWS = (
+    "contract_id STRING, version_number INT, parameter_key STRING, param_group_id STRING, param_structure_type STRING, "
+    "original_extract STRING, user_override STRING, spatial_json STRING, combined_score DOUBLE, item_no LONG, "
+    "vector_embed ARRAY<FLOAT>, winner LONG"
+)
+GROUP = [*OWNER, "parameter_key"]
+
+
+def run_of(batch: DataFrame) -> str:
+    """The id of the stream that a micro-batch is of: kept over restarts, new with a new checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def _start(stream: DataFrame, land: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def workflow_states(spark: SparkSession, path: str, run: str, key: str = "contract_id", kind: str = "string", buckets: int = BUCKETS) -> BucketedTable:
+    """End states of a workflow stream, one version of the table per micro-batch."""
+    schema = f"`{key}` {kind}, version_number LONG, workflow_state STRING, revision LONG"
+    return BucketedTable(spark, f"{path}/states/run={run}", schema, [key], buckets=buckets)
+
+
+def workflow_into(
+    commands: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: str = "contract_id",
+    order: tuple[str, ...] = ("ts", "seq"),
+    command: str = "command",
+    if_match: str | None = "if_match",
+    initial_state: str | None = None,
+    buckets: int = BUCKETS,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> StreamingQuery:
+    """Carry out a stream of commands; outcomes land in ``path/outcomes``, end states in a bucketed table.
+
+    Each micro-batch is a replay that goes on from the stored states of its contracts, so a contract
+    with more commands than a task should sort is split just as in a replay of a whole log. Commands
+    of a micro-batch are applied in ``order``; one that arrives later is applied then, as a service
+    would on arrival. Only buckets of contracts in the batch are read and rewritten, and a repeated
+    batch starts from the states before it and overwrites its own outcomes.
+    """
+    order = list(order)
+    kind = dict(commands.dtypes)[key]
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        run = run_of(batch)
+        log = checkpointed(batch)
+        table = workflow_states(batch.sparkSession, path, run, key, kind, buckets)
+        touched = table.touched(log)
+        before = table.version(batch_id)
+        states = None
+        if before is not None:
+            states = checkpointed(table.read(before, touched).join(log.select(key).distinct(), key, "left_semi"))
+        if if_match:
+            outcome = replay_with_etags(log, key, order, command, if_match, initial_state, rows_per_task, states)
+        else:
+            outcome = replay(log, key, order, command, initial_state, True, rows_per_task, states)
+        out = f"{path}/outcomes/run={run}/batch={batch_id}"
+        outcome.write.mode("overwrite").parquet(out)
+        # An outcome keeps the key's type, but not always in its spelling by schema inference.
+        done = batch.sparkSession.read.schema(outcome.schema).parquet(out).filter("version_number > 0")
+        table.upsert(end_states(done, key, order, tuple(STATE)), batch_id)
+
+    return _start(commands, land, checkpoint)
+
+
+def reply_tables(spark: SparkSession, path: str, run: str, buckets: int = BUCKETS) -> tuple[BucketedTable, BucketedTable]:
+    """Candidates and parameter rows of a stream of replies; one version of each per micro-batch."""
+    return tuple(
+        BucketedTable(spark, f"{path}/{name}/run={run}", schema, ["contract_id"], order, buckets)
+        for name, schema, order in (("candidates", CANDIDATES, [*GROUP, "_len"]), ("rows", ROWS, [*OWNER, "item_no"]))
+    )
+
+
+def replies_into(
+    replies: DataFrame,
+    path: str,
+    checkpoint: str,
+    embedder: Callable[[DataFrame], DataFrame] | None = None,
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """Reconcile model replies (contract_id, version_number, chunk_no, response) as they arrive.
+
+    A version's chunks may come in any order, in any number of micro-batches, and more than once.
+    What later items can be measured against is kept: per key the first item of each length. These
+    candidates merge, so after every batch the parameter rows are those of all replies so far. Only
+    buckets of contracts in the batch are rewritten; rows whose winner stays keep their vectors.
+    """
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kept, rows = reply_tables(spark, path, run_of(batch), buckets)
+        items = numbered_items(batch.select(*OWNER, "chunk_no", "response"))
+        items = items.select(*GROUP, "item_no", "value", F.to_json("spatial").alias("spatial_json"))
+        arrived = checkpointed(candidates(items, GROUP))
+        if arrived.isEmpty():
+            return
+        kept.update(lambda old: merge_candidates(old, arrived, GROUP), arrived, batch_id)
+        known = kept.read(batch_id, kept.touched(arrived))
+
+        def renewed(old: DataFrame) -> DataFrame:
+            won = reconciled(known, GROUP)
+            now = parameter_rows(won.withColumn("first_no", F.struct("first_no", F.col("item_no").alias("winner"))))
+            now = now.withColumns({"winner": F.col("item_no.winner"), "item_no": F.col("item_no.first_no")})
+            had = old.select(*GROUP, "winner", F.col("vector_embed").alias("_had"), F.lit(True).alias("_known"))
+            both = checkpointed(now.join(had, [*GROUP, "winner"], "left"))
+            same = both.filter("_known").withColumn("vector_embed", F.col("_had")).select(*old.columns)
+            new = embedded(both.filter("_known IS NULL").drop("_had", "_known"), embedder)
+            return same.unionByName(new.select(*old.columns))
+
+        rows.update(renewed, arrived, batch_id)
+
+    return _start(replies, land, checkpoint)
 
 
 def workflow_stream(
@@ -83,17 +209,13 @@ def extraction_stream(
     """Extract arriving documents (contract_id, version_number, text) into parameter rows.
 
     Chunking and the model are stateless per row. Each micro-batch reconciles its own documents
-    and lands in a folder named by the checkpoint and its number, so a repeated batch overwrites
+    and lands in a folder named by the stream and its number, so a repeated batch overwrites
     itself, and a stream with a new checkpoint leaves the rows of an earlier one alone.
     """
-    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     chunked = chunk_documents(documents, "text", max_chars)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         replies = stored((ask or replies_from_rules)(batch), "stream-replies")
-        parameters_from_replies(replies, embedder).write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
+        parameters_from_replies(replies, embedder).write.mode("overwrite").parquet(f"{path}/run={run_of(batch)}/batch={batch_id}")
 
-    return (
-        chunked.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return _start(chunked, land, checkpoint)
