@@ -42,14 +42,14 @@ from pyspark.sql import functions as F
 from clausework.llm.util import small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-# Pre-tokens in each of a worker's two cache generations; some 60 MB with their ids.
-CACHE = 300_000
+# Pre-tokens in each of a worker's two cache generations; some 100 MB with their ids.
+CACHE = 600_000
 # Characters of a pre-token that is kept, at most.
 CACHED = 64
 # Bits of a bitmap word.
 WORD = 8
-# Pre-tokens of one text worked on at a time.
-SLICE = 1 << 16
+# Pre-tokens of one text worked on at a time, and characters up to which it is cut up at once.
+SLICE, AT_ONCE = 1 << 16, 1 << 18
 
 
 def public_ranks(name: str = RANKS) -> tuple[str, str]:
@@ -82,18 +82,19 @@ class Bpe:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.known = np.zeros(len(self.token), bool)
         self.known[list(self.ranks.values())] = True
+        self.pairs = [[self.ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> array:
         """The ids of one pre-token; queue operations are written out, as most pre-tokens are short."""
-        ranks, find = self.ranks, self.ranks.get
+        ranks, pairs, find = self.ranks, self.pairs, self.ranks.get
         whole = find(piece)
         if whole is not None:
             return array("I", [whole])
         # Part i starts at byte i and goes on to ``after[i]``; its pair's rank is ``of[i]``, -1 if it has none.
         n, mask = len(piece), (1 << WORD) - 1
-        of = [find(piece[i:i + 2], -1) for i in range(n - 1)] + [-1]
+        of = [pairs[a][b] for a, b in zip(piece, piece[1:])] + [-1]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         buckets, words, top = self.buckets, self.words, 0
         for i, rank in enumerate(of):
@@ -155,13 +156,22 @@ class Bpe:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit numbers."""
-        out, matches = [], self.pattern.finditer(text or "")
+        text = text or ""
+        if len(text) <= AT_ONCE:
+            return self._joined(self.pattern.findall(text))
+        matches = self.pattern.finditer(text)
+        out = []
         while pieces := [m[0] for m in islice(matches, SLICE)]:
-            # A generation may end on the way, hence by lookup in whichever is the younger then.
-            found = list(map(self.young.get, pieces))
-            out += [self.young.get(p) or self._ids(p) for p in pieces] if None in found else found
+            out.append(self._joined(pieces))
         return b"".join(out)
 
+    def _joined(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.young.__getitem__, pieces))
+        except KeyError:
+            # A generation may end on the way, hence by lookup in whichever is the younger then.
+            return b"".join([self.young.get(p) or self._ids(p) for p in pieces])
+
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes that ids stand for."""
         codes = np.frombuffer(ids or b"", "<u4")

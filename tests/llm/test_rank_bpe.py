@@ -76,6 +76,7 @@ def test_long_pre_tokens_take_no_square_of_time(own):
 def test_cache_is_bounded(monkeypatch, library):
     monkeypatch.setattr(rank_bpe, "CACHE", 50)
     monkeypatch.setattr(rank_bpe, "SLICE", 16)
+    monkeypatch.setattr(rank_bpe, "AT_ONCE", 100)
     own = rank_bpe.Bpe(*rank_bpe.public_ranks())
     rng = random.Random(4)
     for _ in range(200):
