@@ -108,12 +108,13 @@ _SECRETS_SQL = rf"""
         OR kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
     c AS (SELECT * FROM f WHERE kind < 3 OR NOT EXISTS (
         SELECT 1 FROM f b WHERE b.r = f.r AND b.kind < 3 AND b.a < f.z AND f.a < b.z)),
-    w AS (SELECT value, count(DISTINCT source) + max(CAST(source IS NULL AS INT)) AS owners FROM c GROUP BY 1),
-    j AS (SELECT c.*, owners, name || ':' || a || ':' || z AS span FROM c JOIN w USING (value)),
+    w AS (SELECT value, count(DISTINCT source) + max(CAST(source IS NULL AS INT)) AS owners,
+        count(DISTINCT (source, doc_id)) AS repositories FROM c GROUP BY 1),
+    j AS (SELECT c.*, owners = 1 AND repositories < 10 AS live, owners >= 3 OR repositories >= 10 AS example, name || ':' || a || ':' || z AS span FROM c JOIN w USING (value)),
     g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
         string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
-        string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR owners = 1) AS spans,
-        count(DISTINCT value) FILTER (owners = 1) AS n_live, count(DISTINCT value) FILTER (owners >= 3) AS n_examples FROM j GROUP BY 1)
+        string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans,
+        count(DISTINCT value) FILTER (live) AS n_live, count(DISTINCT value) FILTER (example) AS n_examples FROM j GROUP BY 1)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
         sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
         coalesce(n_examples, 0) AS n_examples

@@ -2,10 +2,13 @@
 
 Three base patterns give spans per document, and a fourth, wider one gives candidates: long runs of
 key-like characters with letters and digits. Every candidate value is hashed and counted over the
-whole corpus by distinct repositories and owners. A value seen at one owner only is taken as live,
-one seen at many as a copied example. Live values of the wide pattern that overlap no base span are
-added as spans of kind ``owned``; base spans always stay.
+whole corpus by distinct repositories and owners. A value of one owner in few repositories is taken as
+live; one of several owners, or in many repositories whoever owns them, as a copied example. Live
+values of the wide pattern that overlap no base span are added as spans of kind ``owned``; base spans
+always stay.
 
+Hits are rows: offsets are running sums over a text's gaps and hits, overlaps are found by what runs
+up to a span and what follows it, so a text costs time in proportion to its hits (and their sorting).
 Counting is map-side combined in three steps, (value, owner, repository), (value, owner), (value),
 so a key pasted into a third of all documents costs one row per map task.
 
@@ -20,7 +23,9 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.llm.util import checkpointed
@@ -37,38 +42,8 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LENGTH = 12
 # The wide pattern.
 OWNED = r"[A-Za-z0-9+/_-]{20,}"
-EXAMPLE_OWNERS = 3
-# Hits folded at a time; keeps the fold linear on texts with very many hits.
-STRIDE = 256
-
-_SPAN = "array<struct<start:long,end:long,kind:int,value:string>>"
-
-
-def spans(text: Column, pattern: str, kind: int, value=lambda hit: hit) -> Column:
-    """All leftmost non-overlapping hits with code-point offsets, from the gaps between them."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.lit(None).cast(_SPAN)
-
-    def one(state, pair):
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"),
-                        F.lit(kind).alias("kind"), value(pair["hit"]).alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    def stride(state, first):
-        pairs = F.arrays_zip(
-            F.slice(gaps, first, STRIDE).alias("gap"), F.slice(hits, first, STRIDE).alias("hit")
-        )
-        # The gap behind the last hit has none and adds nothing.
-        pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-        done = F.aggregate(pairs, F.struct(state["at"].alias("at"), F.array().cast(_SPAN).alias("out")), one)
-        return F.struct(done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out"))
-
-    starts = F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), F.lit(STRIDE))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    found = F.flatten(F.aggregate(starts, first, stride)["out"])
-    return F.coalesce(F.when(text.rlike(pattern), found), F.coalesce(empty, F.array().cast(_SPAN)))
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
+PATTERNS = (ASSIGN, ACCESS, HEX, OWNED)  # by kind
 
 
 def _digest(spans_: Column) -> Column:
@@ -78,34 +53,44 @@ def _digest(spans_: Column) -> Column:
     return F.array_join(named, ",")
 
 
-def _sorted(spans_: Column) -> Column:
-    """By start, then kind as listed."""
-    return F.array_sort(F.transform(spans_, lambda s: F.struct(
-        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")
-    )))
-
-
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
-    """Narrow rows without texts: doc_id, owner, row, base and wide spans."""
+    """Rows without texts: row, doc_id, owner and, by kind, the hits and the lengths of the gaps before them (null: none)."""
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[owner_col].alias("owner"), text.alias("text"))
-    t = F.col("text")
-    rows = rows.select(
-        "doc_id", "owner",
-        F.filter(spans(t, ASSIGN, 0, lambda hit: F.regexp_extract(hit, ASSIGN, 2)),
-                 lambda s: F.length(s["value"]) >= ASSIGN_LENGTH).alias("assign"),
-        spans(t, ACCESS, 1).alias("access"),
-        spans(t, HEX, 2).alias("hex"),
-        F.filter(spans(t, OWNED, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")).alias("wide"),
-    )
-    base = F.concat("assign", "access", "hex")
-    rows = rows.select("doc_id", "owner", _sorted(base).alias("base"), "wide")
-    return rows.select(
-        "doc_id", "owner", "base",
-        _sorted(F.filter("wide", lambda w: ~F.exists(
-            "base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))).alias("wide"),
-        F.monotonically_increasing_id().alias("row"),
+
+    def found(pattern: str) -> Column:
+        gaps = F.transform(F.split("text", pattern, -1), lambda gap: F.length(gap))
+        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        return F.when(F.col("text").rlike(pattern), F.arrays_zip(gaps.alias("gap"), hits.alias("hit")))
+
+    every = [found(pattern).alias(kind) for kind, pattern in zip(KINDS, PATTERNS, strict=True)]
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", *every)
+
+
+def spans(scanned: DataFrame) -> DataFrame:
+    """One row per span (row, doc_id, owner, kind, start, end, value): base ones, and wide ones that overlap none."""
+    # By kind, so that no exploded row carries an array along.
+    hits = reduce(DataFrame.unionByName, [
+        scanned.select("row", "doc_id", "owner", F.lit(kind).alias("kind"), F.posexplode(name).alias("pos", "pair"))
+        for kind, name in enumerate(KINDS)
+    ])
+    length = F.length("pair.hit").cast("long")
+    upto = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # Behind the last hit is a gap without one.
+    placed = hits.filter("pair.hit IS NOT NULL").withColumn("end", F.sum(F.col("pair.gap") + length).over(upto)).select(
+        "row", "doc_id", "owner", "kind", (F.col("end") - length).alias("start"), "end",
+        F.when(F.col("kind") == 0, F.regexp_extract("pair.hit", ASSIGN, 2)).otherwise(F.col("pair.hit")).alias("value"),
     )
+    wide = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    kept = placed.filter(F.when(F.col("kind") == 0, F.length("value") >= ASSIGN_LENGTH).when(F.col("kind") == 3, wide).otherwise(True))
+    # Of spans that start at one place, the wide one is last.
+    so_far, base = (Window.unboundedPreceding, 0), F.col("kind") < 3
+    reached = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy("start", "kind").rowsBetween(*so_far))
+    # Backwards, as a frame up to the end would be gone through anew for every row.
+    backwards = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
+    after = F.min(F.when(base, F.col("start"))).over(backwards.rowsBetween(*so_far))
+    free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    return kept.withColumns({"reached": reached, "after": after}).filter(base | free).drop("reached", "after")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -118,22 +103,24 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+                 example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """Per document: doc_id, all spans with values in order, base ones alone, live and example values."""
-    rows = checkpointed(scan(docs, id_col, text_col, owner_col))
-    values = F.array_distinct(F.transform(F.concat("base", "wide"), lambda s: F.md5(s["value"])))
-    candidates = rows.select("row", "doc_id", "owner", F.explode(values).alias("hash"))
-    judged = candidates.select("row", "hash").join(ownership(candidates), "hash")
-    per_row = judged.groupBy("row").agg(
-        F.collect_list(F.when(F.col("n_owners") == 1, F.col("hash"))).alias("live"),
-        F.collect_list(F.when(F.col("n_owners") >= example_owners, F.col("hash"))).alias("examples"),
+    scanned = checkpointed(scan(docs, id_col, text_col, owner_col))
+    found = checkpointed(spans(scanned).withColumn("hash", F.md5("value")))
+    counted = ownership(found.select("hash", "owner", "doc_id"))
+    many = F.col("n_repositories") >= example_repositories
+    judged = counted.select(
+        "hash", ((F.col("n_owners") == 1) & ~many).alias("live"), ((F.col("n_owners") >= example_owners) | many).alias("example")
     )
-    found = rows.join(per_row, "row", "left")
-    none = F.array().cast("array<string>")
-    found = found.withColumns({"live": F.coalesce("live", none), "examples": F.coalesce("examples", none)})
-    owned = F.filter("wide", lambda w: F.array_contains("live", F.md5(w["value"])))
-    return found.select(
-        "doc_id", "owner", "base", F.array_sort(F.concat("base", owned)).alias("spans"), "live", "examples"
+    span = F.struct("start", "kind", "end", "value")
+    per_row = found.join(judged, "hash").groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") < 3, span))).alias("base"),
+        F.array_sort(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), span))).alias("spans"),
+        F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("live"), F.collect_set(F.when(F.col("example"), F.col("hash"))).alias("examples"),
+    )
+    none = F.array()
+    return scanned.select("row", "doc_id", "owner").join(per_row, "row", "left").select(
+        "doc_id", "owner", *[F.coalesce(c, none.cast(per_row.schema[c].dataType)).alias(c) for c in ("base", "spans", "live", "examples")]
     )
 
 

@@ -25,7 +25,7 @@ SCHEMA = "doc_id long, text string, source string, hash string, row int, owner s
 
 
 def brute(rows):
-    scanned, owners = [], defaultdict(set)
+    scanned, owners, places = [], defaultdict(set), defaultdict(set)
     for doc_id, text, source in rows:
         text = text or ""
         base = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -37,14 +37,17 @@ def brute(rows):
         scanned.append((doc_id, base, wide))
         for s in base + wide:
             owners[s[3]].add(source)
+            places[s[3]].add((source, doc_id))
+    live = lambda v: len(owners[v]) == 1 and len(places[v]) < 10
+    example = lambda v: len(owners[v]) >= 3 or len(places[v]) >= 10
     kinds = ("assign", "access", "hex", "owned")
     text_of = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b, _ in spans)
     out = []
     for doc_id, base, wide in scanned:
-        spans = sorted(base + [w for w in wide if len(owners[w[3]]) == 1])
+        spans = sorted(base + [w for w in wide if live(w[3])])
         values = {s[3] for s in base + wide}
         out.append((doc_id, *[sum(s[1] == k for s in base) for k in range(3)], hashlib.sha256(text_of(base).encode()).hexdigest(),
-                    text_of(spans), sum(len(owners[v]) == 1 for v in values), sum(len(owners[v]) >= 3 for v in values)))
+                    text_of(spans), sum(map(live, values)), sum(map(example, values))))
     return sorted(out, key=str)
 
 
@@ -57,6 +60,31 @@ def test_secrets(spark):
     assert found[11][1] == 0 and found[None][1] == 0
 
 
+def test_a_value_in_thousands_of_documents_of_one_owner_is_an_example(spark):
+    rows = [(i, f"see {OWN}", "hot") for i in range(3000)] + [(i, "few " + "Kq7" * 9, "hot") for i in range(3000, 3009)]
+    rows += [(4000, "one " + "Xw3" * 8, "hot")] * 12  # one repository, however many rows
+    docs = spark.createDataFrame([(*r, "h", 1, "o") for r in rows], SCHEMA)
+    got = secrets.secret_digest(secrets.find_secrets(docs)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert {(r.doc_id, r.spans != "", r.n_live, r.n_examples) for r in got if r.doc_id in (5, 3005, 4000)} == {
+        (5, False, 0, 1), (3005, True, 1, 0), (4000, True, 1, 0)}
+
+
+def test_time_grows_with_the_hits_of_a_text(spark):
+    import time
+
+    def seconds(n):
+        hits = " ".join(f"token=abcdefghijkl{i:07d} {i:020x} Aa{i:020d}" for i in range(n))
+        docs = spark.createDataFrame([(1, hits, "s")], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        row = secrets.secret_digest(secrets.find_secrets(docs)).first()
+        assert row.n_assign == n and row.n_hex >= n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(48_000) < 8 * max(seconds(12_000), 1.0)  # 3.4 and 0.85 MB of hits
+
+
 def test_no_secrets(spark):
     assert secrets.secret_digest(secrets.find_secrets(spark.createDataFrame([], SCHEMA))).count() == 0
 
