@@ -87,15 +87,18 @@ class OpenWindows:
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
-           window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids, if kept)."""
+           window: int = WINDOW, keep_ids: bool = False, cache: int | None = None) -> DataFrame:
+    """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids, if kept).
+
+    ``cache`` is the number of words a worker remembers the ids of, if not the default.
+    """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long"
     end = array("I", [end_id]).tobytes()
     step = 4 * window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path)
+        encoder = tokens.encoder(path, cache)
         for batch in batches:
             at, starts, lengths, sums, totals, ids = [], [], [], [], [], []
             for i, data in enumerate(encoder.encode_all(batch.column("text"))):
@@ -123,9 +126,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
          end_id: int = END_ID, window: int = WINDOW, keep_ids: bool = False,
-         docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
+         docs_per_task: int = DOCS_PER_TASK, cache: int | None = None) -> DataFrame:
     """Pieces with their place: the columns of ``pieces``, sequence_id and offset."""
-    cut = pieces(docs, path or tokens.public_path(tokens.WORD_BPE), id_col, text_col, end_id, window, keep_ids)
+    cut = pieces(docs, path or tokens.public_path(tokens.WORD_BPE), id_col, text_col, end_id, window, keep_ids, cache)
     tasks = max(1, -(-docs.count() // docs_per_task))
     # Round robin: Spark sorts the rows before dealing them, so a lost task is dealt the same again.
     dealt = cut.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32")

@@ -2,8 +2,9 @@
 
 Neither tokenizer looks across certain places in a text: the word tokenizer drops blanks and line
 feeds, the byte tokenizer starts a new pre-token at a blank or line feed that follows a character
-other than white space. Texts are cut there, equal pieces are encoded once per task, and the joined
-result equals encoding the whole text.
+other than white space. Texts are cut there, pieces that a worker has met lately are not encoded
+again, and the joined result equals encoding the whole text: names of special tokens give their ids, as
+they do in a plain call of the library.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
-# Characters of cached pieces per worker process; some 130 MB.
-CACHE_CHARS = 6_000_000
+# Pieces in each of a worker's two cache generations, some 100 MB each; a slice of texts may add its own.
+CACHE = 600_000
 # Texts cut up at a time.
-TEXTS = 2000
+TEXTS = 500
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-_PILED_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]|^[ \n]"
-_PILED = re.compile(r"\s[ \n]|^[ \n]")
+_PILED_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]|^[ \n]|\x00"
+_PILED = re.compile(r"\s[ \n]|^[ \n]|\0")
 
 
 def public_path(name: str) -> str:
@@ -42,7 +43,7 @@ def word_pieces(text: str) -> list[str]:
 def byte_pieces(text: str) -> list[str]:
     """Pieces that join to ``text``; a blank in front of a piece other than the first is left out, a line feed stays."""
     if _PILED.search(text):
-        # White space in a run: cut exactly, and mark pieces that keep their blanks.
+        # White space in a run, or the mark itself in the text: cut exactly, and mark all pieces, which keep their blanks.
         return ["\0" + piece for piece in _CUT.split(text)]
     parts = text.replace("\n", " \n").split(" ")
     if not parts[0].startswith("\n"):
@@ -61,22 +62,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # names of special tokens are ordinary text
         self.pieces, self.text_of = pieces, text_of
         self.folds = folds  # upper and lower case get the same ids
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.limit = CACHE
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.marks = {m: self._ids([m])[0] for m in ".,"}
 
     def encode(self, text: str | None) -> bytes:
-        pieces = self.pieces(text or "")
-        if self.held > CACHE_CHARS:
-            self.cache, self.held = {}, 0
-        try:
-            return b"".join(map(self.cache.__getitem__, pieces))
-        except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self.cache.__getitem__, pieces))
+        return b"".join(self._look(self.pieces(text or "")))
+
+    def _look(self, pieces: list[str]) -> list[bytes]:
+        """The ids of every piece."""
+        found = list(map(self.young.get, pieces))
+        if None not in found:
+            return found
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        young, old, new = self.young, self.old, {}
+        for i in missing:
+            piece = pieces[i]
+            ids = old.get(piece)
+            if ids is None:
+                new[piece] = None
+            else:
+                young[piece] = ids
+        if new:
+            self._learn(new)
+        for i in missing:
+            found[i] = young[pieces[i]]
+        return found
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """As ``encode`` of every text in turn, with each distinct piece looked up once per slice."""
@@ -96,14 +112,7 @@ class Encoder:
         cut = pc.split_pattern(plain, " ")
         coded = cut.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if self.held > CACHE_CHARS:
-            # The pieces of this slice stay, and with them the common ones.
-            self.cache = {p: self.cache[p] for p in pieces if p in self.cache}
-            self.held = sum(map(len, self.cache))
-        new = [p for p in pieces if p not in self.cache]
-        if new:
-            self._learn(new)
-        found = [self.cache[p] for p in pieces]
+        found = self._look(pieces)
         pool = np.frombuffer(b"".join(found), np.uint32)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         codes = coded.indices.to_numpy()
@@ -120,32 +129,34 @@ class Encoder:
         return [array("I", f.ids).tobytes() for f in found]
 
     def _learn(self, pieces: Iterable[str]) -> None:
-        cache = self.cache
+        """Encode pieces that neither generation has."""
+        young, old = self.young, self.old
         whole, derived = {}, []
         for piece in pieces:
-            if piece in cache:
-                continue
             # Letters and one mark behind them are separate pre-tokens.
             stem = piece[:-1] if piece[-1:] in self.marks and piece[:-1].isalpha() else piece
-            base = stem.lower() if self.folds and stem.isascii() else stem
-            if base not in cache:
-                whole[base] = None
+            # In lower case, other text could become the name of a special token.
+            base = stem.lower() if self.folds and stem.isascii() and "<|" not in stem else stem
+            if base not in young:
+                if base in old:
+                    young[base] = old[base]
+                else:
+                    whole[base] = None
             if base is not piece:
                 derived.append((piece, base, piece[-1] if stem is not piece else ""))
-            self.held += len(piece)
         if whole:
-            cache.update(zip(whole, self._ids([self.text_of(p) for p in whole]), strict=True))
+            young.update(zip(whole, self._ids([self.text_of(p) for p in whole]), strict=True))
         for piece, base, mark in derived:
-            cache[piece] = cache[base] + self.marks.get(mark, b"")
+            young[piece] = young[base] + self.marks.get(mark, b"")
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int | None = None) -> Encoder:
     """The encoder of a tokenizer file; the kind is read from its pre-tokenizer.
 
-    A worker process keeps it, with its cache, for the tasks it runs later.
+    A worker process keeps it, with generations of ``cache`` pieces, for the tasks it runs later.
     """
     if path not in _ENCODERS:
         # Spark runs one task per core already.
@@ -154,4 +165,6 @@ def encoder(path: str) -> Encoder:
             kind = json.load(file)["pre_tokenizer"]["type"]
         byte_level = kind == "ByteLevel"
         _ENCODERS[path] = Encoder(path, byte_pieces, _byte_text) if byte_level else Encoder(path, word_pieces, folds=True)
-    return _ENCODERS[path]
+    own = _ENCODERS[path]
+    own.limit = CACHE if cache is None else cache
+    return own

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from clausework.llm import exact_dedup, mixing, packing, quality, simhash
 from clausework.llm.util import scratch_path
 
+# Words a worker remembers the ids of: few, as its memory also holds what the other stages need.
+CACHE = 100_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -34,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the token windows."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=CACHE)
 
 
 STAGES = [

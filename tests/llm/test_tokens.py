@@ -17,12 +17,12 @@ ODD = [
     None, "", " ", "\n", "a", "Hello, World.\nIt's 3 o'clock...", "x" * 30_000, "tab\t and  two   blanks\n\n\nend ", " lead",
     "İstanbul ΣΑΣ éé ﬁ", "<|endoftext|> <|startoftext|>", "a\x1cb \x85 c　d  e", "日本語 テキスト 한국어", "emoji \U0001f600\U0001f600 !",
     "! \x1c! .\n ,\n\t\n x", "don't DON'T we'll 'tis. can't.", "word " * 9000, "A.b,c. D, E. ÉA, ß.",
+    "a <|endoftext|> b", "a  <|endoftext|>\n\n<|ENDOFTEXT|>.x<|startoftext|>, <|Endoftext|>", "a \0b", "\0", "\0\0 \0a\n\0 b", "a\0 b", " <|endoftext|>",
 ]
 
 
 def plain(name):
     tokenizer = Tokenizer.from_file(tokens.public_path(name))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -40,6 +40,19 @@ def test_encoding_by_pieces_equals_encoding_whole(name):
     assert list(tokens.encoder(tokens.public_path(name)).encode_all(some)) == [encode(t) for t in texts[3:53]]
 
 
+@pytest.mark.parametrize("name", [tokens.WORD_BPE, tokens.BYTE_BPE])
+def test_cache_generations_change_nothing(monkeypatch, name):
+    monkeypatch.setattr(tokens, "TEXTS", 7)
+    path = tokens.public_path(name)
+    own = tokens.Encoder(path, tokens.word_pieces, folds=True) if name == tokens.WORD_BPE else tokens.Encoder(path, tokens.byte_pieces, tokens._byte_text)
+    own.limit = 40
+    rng, want = random.Random(6), plain(name)
+    texts = [" ".join("".join(rng.choices("aBc.,", k=rng.randrange(1, 4))) for _ in range(20)) for _ in range(300)]
+    for text, ids in zip(texts, own.encode_all(pa.array(texts)), strict=True):
+        assert list(array("I", ids)) == want(text)
+    assert max(len(own.young), len(own.old)) <= 40 + 7 * 20 * 2
+
+
 def frame(spark, texts):
     rows = [(i if i % 7 else None, t, "clash", "clash", "s") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
