@@ -1,18 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two letter models, one of toxic and one of ordinary labelled text, give every word a log-likelihood
-ratio per class. Both interpolate orders 7, 5 and 3 with absolute discounting, and both fall back on
-one shared distribution of continuation counts: of every three-letter gram, the number of different
-letters seen before it anywhere in the corpus. An expression that is rare in either class is thus
-judged by the shared counts and says little. A document is described by its length-normalised
-log-likelihood ratio (all ratios of its words, for either class, by its letters) and by the evidence
-its words give beyond two levels of the ratio, in total and per word; a logistic curve, fitted on
-labelled rows that the counts have not seen, maps that to a probability.
-
-The class counts come from at most ``FIT_ROWS`` labelled rows, taken by hash of the id, so the model
-has a size that does not depend on the corpus and is broadcast. The shared counts cover all
-documents: tasks emit their distinct four-letter grams, and Spark counts them. Scoring is one pass
-over the texts, with no shuffle.
+Two models, one of toxic and one of ordinary labelled text, give every word a log-likelihood per class,
+given the word before it, across blanks and line ends. Both interpolate with absolute discounting: word
+pairs fall back on the word as a row of letters, letters on shorter contexts (orders 7, 5 and 3), and both
+classes on one shared distribution of continuation counts: of every three-letter gram, the number of
+different letters seen before it anywhere in the corpus. An expression that is rare in either class is
+thus judged by the shared counts and says little. Pairs seen once are left to the letters, with their mass.
+
+A document is compared by the difference of the two length-normalised log-likelihoods: of the whole text,
+and of its most toxic passage of 1, 4 and 16 words. A logistic curve, fitted on labelled rows that the
+counts have not seen, maps these differences to a probability; nothing else enters.
+
+The class counts come from at most ``FIT_ROWS`` labelled rows of ``FIT_CHARS`` characters in all, taken by
+hash of the id, so the model has a size that does not depend on the corpus and is broadcast. The shared
+counts cover all documents: tasks emit their distinct four-letter grams, and Spark counts them. Scoring is
+one pass over the texts, with no shuffle, a slice of texts at a time as one row of word codes.
 
 Defined results
   null or empty text    scored as a text without words
@@ -26,14 +28,15 @@ Defined results
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausework.llm.util import checkpointed, fold_of, small_batches, text_key
@@ -41,31 +44,46 @@ from clausework.llm.util import checkpointed, fold_of, small_batches, text_key
 FOLDS, HELD_OUT = 5, 0
 # Of the other folds, this one fits the logistic curve; the rest give the counts.
 CURVE_FOLD = 4
-# Labelled rows that the class counts and the curve are fitted on, at most.
-FIT_ROWS = 20_000
+# Labelled rows that the class counts and the curve are fitted on, at most, and their characters.
+FIT_ROWS, FIT_CHARS = 20_000, 100_000_000
 ORDERS = (7, 5, 3)
 DISCOUNT = 0.75
-# (ratio from which a word counts as evidence, most evidence of one word), in nats.
-LEVELS = ((2.0, 4.0), (8.0, 32.0))
-# Numbers that describe a text: its plain ratio, and two for each level.
-FEATURES = 1 + 2 * len(LEVELS)
+# Words of passages, and occurrences from which a pair of words counts as one.
+PASSAGES, PAIRS = (4,), 2
+FEATURES = 1 + len(PASSAGES)
 THRESHOLD = 0.5
-# Distinct words whose ratio a task keeps, words judged at a time, texts split at a time.
-CACHE_WORDS, WORDS, TEXTS = 400_000, 20_000, 200
+# Distinct words a task keeps in each of two generations, words judged at a time, texts split at a time.
+CACHE_WORDS, WORDS, TEXTS = 250_000, 20_000, 500
 _M = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS = np.array([pow(_M, j, 1 << 64) for j in range(max(ORDERS))], np.uint64)
 _EDGES = ".,;:!?\"'()[]|*%$#&"
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words in lower case, without marks at their edges; the codes of all words; where each text starts."""
+    cut = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
+    flat = cut.flatten()
+    # A text without words is cut into one empty piece.
+    some = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    starts = np.r_[0, np.cumsum(some)][np.asarray(cut.offsets) - cut.offsets[0].as_py()]
+    coded_ = flat.filter(pa.array(some)).dictionary_encode()
+    return [w.strip(_EDGES) for w in coded_.dictionary.to_pylist()], coded_.indices.to_numpy().astype(np.int64), starts
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    h = (first ^ (first >> np.uint64(31))) * np.uint64(_M) + second
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the words, each led by six marks and closed by one, and the places of its letters and end."""
     pad = max(ORDERS) - 1
-    joined = "".join("\x00" * pad + w.strip(_EDGES) + "\x01" for w in words)
+    joined = "".join("\x00" * pad + w + "\x01" for w in words)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     return codes, np.flatnonzero(codes != 1)
 
@@ -116,6 +134,11 @@ class Model:
     end_kinds: np.ndarray  # different letters seen before
     middles: np.ndarray
     middle_kinds: np.ndarray
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # pairs of words
+    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
+    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # first words of such pairs
+    # Rows of (toxic, ordinary) occurrences, then of the part of them that its pairs keep after discounting.
+    head_counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.float64))
     curve: tuple[float, ...] = (0.0,) * (1 + FEATURES)
 
     @staticmethod
@@ -127,12 +150,12 @@ class Model:
         found[keys[i] != wanted] = 0
         return found
 
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood ratio, toxic to ordinary, of every word."""
-        parts = [self._ratios(words[at:at + WORDS]) for at in range(0, len(words), WORDS)]
-        return np.concatenate(parts) if parts else np.zeros(0)
+    def letters(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods (toxic, ordinary) of every word as a row of letters and an end."""
+        parts = [self._letters(words[at:at + WORDS]) for at in range(0, len(words), WORDS)]
+        return np.concatenate([*parts, np.zeros((0, 2))])
 
-    def _ratios(self, words: list[str]) -> np.ndarray:
+    def _letters(self, words: list[str]) -> np.ndarray:
         codes, at = _letters(words)
         kinds = self._at(self.ends, self.end_kinds, _gram(codes, at, 3))
         total = self._at(self.middles, self.middle_kinds, _gram(codes, at, 3, 1))
@@ -147,40 +170,81 @@ class Model:
             with np.errstate(divide="ignore", invalid="ignore"):
                 mixed = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * different * p) / seen
             p = np.where(seen > 0, mixed, p)
-        ratio = np.log(p[:, 0]) - np.log(p[:, 1])
         lengths = _word_lengths(codes, at)
-        return np.add.reduceat(ratio, np.cumsum(lengths) - lengths)
+        return np.add.reduceat(np.log(p), np.cumsum(lengths) - lengths, axis=0)
+
+    def differences(self, letters: np.ndarray, hashes: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each word of a row, given the one before unless it is the ``first`` of a text."""
+        word = letters[codes]
+        if not len(self.heads) or not len(codes):
+            return word[:, 0] - word[:, 1]
+        # Per distinct word: whether pairs start with it, occurrences and what is left for other words than theirs.
+        at = np.minimum(np.searchsorted(self.heads, hashes), len(self.heads) - 1)
+        known = self.heads[at] == hashes
+        seen, kept = self.head_counts[at, :2], self.head_counts[at, 2:]
+        left = np.where(known[:, None] & (seen > 0), 1 - kept / np.maximum(seen, 1), 1.0)
+        before = np.r_[codes[:1], codes[:-1]]
+        paired = known[before] & ~first
+        out = word + np.where(paired[:, None], np.log(left)[before], 0.0)
+        # Word pairs that the classes hold.
+        some = np.flatnonzero(paired)
+        pair = pair_hashes(hashes[before[some]], hashes[codes[some]])
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        hit = self.pairs[at] == pair
+        some, counts = some[hit], self.pair_counts[at[hit]]
+        with np.errstate(under="ignore"):
+            own = np.maximum(counts - DISCOUNT, 0) / np.maximum(seen[before[some]], 1)
+            out[some] = np.logaddexp(out[some], np.log(np.maximum(own, 1e-300)))
+        return out[:, 0] - out[:, 1]
 
 
 class Scorer:
-    """Features of texts; every distinct word is judged once per task."""
+    """Features of texts; distinct words are judged once while they are in a task's two cache generations."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: log-likelihood ratio per letter; per level, log of the total evidence and of the evidence per word."""
-        parts = [self._block(texts[at:at + TEXTS]) for at in range(0, len(texts), TEXTS)]
+        self.model, self.young, self.old = model, {}, {}
+
+    def _judged(self, words: list[str]) -> np.ndarray:
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        for w in words:
+            if w not in young and w in old:
+                young[w] = old[w]
+        new = list({w for w in words if w not in young})
+        young.update(zip(new, map(tuple, self.model.letters(new).tolist()), strict=True))
+        return np.array([young[w] for w in words]).reshape(-1, 2)
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """Per text: difference of the log-likelihoods per letter, of all of it and of its most toxic passages."""
+        parts = [self._slice(texts.slice(at, TEXTS)) for at in range(0, len(texts), TEXTS)]
         return np.concatenate([*parts, np.zeros((0, FEATURES))])
 
-    def _block(self, texts: list[str | None]) -> np.ndarray:
-        split = [words_of(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list({w for words in split for w in words if w not in self.known})
-        self.known.update(zip(new, self.model.ratios(new).tolist(), strict=True))
-        return np.array([self._one(words) for words in split], np.float64)
-
-    def _one(self, words: list[str]) -> list[float]:
-        ratios = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+    def _slice(self, texts: pa.Array) -> np.ndarray:
+        words, codes, starts = coded(texts)
+        out = np.zeros((len(texts), FEATURES))
+        if not len(codes):
+            return out
         # A word's end is drawn by the models too and counts as a letter.
-        out = [float(ratios.sum()) / max(1, sum(map(len, words)) + len(words))]
-        for least, most in LEVELS:
-            evidence = float(np.clip(ratios - least, 0, most).sum())
-            out += [math.log1p(evidence), math.log(1e-3 + evidence / max(1, len(words)))]
+        length = (np.fromiter(map(len, words), np.int64, len(words)) + 1)[codes]
+        sizes = np.diff(starts)
+        first = np.zeros(len(codes), bool)
+        first[starts[:-1][sizes > 0]] = True
+        difference = self.model.differences(self._judged(words), word_hashes(words), codes, first)
+        sums, letters = np.r_[0, np.cumsum(difference)], np.r_[0, np.cumsum(length)]
+        some = sizes > 0
+        out[some, 0] = (sums[starts[1:]] - sums[starts[:-1]])[some] / (letters[starts[1:]] - letters[starts[:-1]])[some]
+        # Passages end at each word and start so many words before, or where the text starts.
+        end, least = np.arange(1, len(codes) + 1), np.repeat(starts[:-1], sizes)
+        for i, size in enumerate(PASSAGES, 1):
+            begin = np.maximum(end - size, least)
+            # In a text of that many words or more, only whole passages count.
+            whole = end - begin >= np.minimum(np.repeat(sizes, sizes), size)
+            passage = np.where(whole, (sums[end] - sums[begin]) / (letters[end] - letters[begin]), -np.inf)
+            out[some, i] = np.maximum.reduceat(passage, starts[:-1][some])
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
         weights = np.array(self.model.curve)
         return 1 / (1 + np.exp(-np.clip(weights[0] + self.features(texts) @ weights[1:], -30, 30)))
 
@@ -209,10 +273,11 @@ def _table(rows: pa.Table, key: str, *values: str) -> tuple[np.ndarray, np.ndarr
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, allowed: Column,
-             limit: int) -> DataFrame:
+             limit: int, chars: int | None = None) -> DataFrame:
     """(doc_id, label, text) of at most ``limit`` labelled ids that ``allowed`` (of ``doc_id``) lets through, by hash.
 
-    One row per id: of several texts the one with the smallest hash, found map-side first.
+    One row per id: of several texts the one with the smallest hash, found map-side first. With ``chars``, as
+    many of them, in the order of the hash, as have no more characters in all.
     """
     known = (
         labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label"))
@@ -223,23 +288,35 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     known = checkpointed(known)
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     found = texts.join(F.broadcast(known), "doc_id")
-    return found.groupBy("doc_id", "label").agg(F.min(F.struct(text_key(F.col("text")), "text")).alias("least")).select(
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(text_key(F.col("text")), "text")).alias("least")).select(
         "doc_id", "label", "least.text"
     )
+    if chars is None:
+        return found
+    found = checkpointed(found)
+    # A few numbers for each of at most ``limit`` rows.
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order)
+    fits = found.select("doc_id", so_far.alias("so_far")).filter(F.col("so_far") <= chars).select("doc_id")
+    return found.join(F.broadcast(fits), "doc_id", "left_semi")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        fit_rows: int = FIT_ROWS) -> Model:
+        fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
     """The model of a corpus; labels of the held-out fold are not looked at."""
     fold = fold_of(F.col("doc_id"), FOLDS)
-    sample = labelled(docs, labels, id_col, text_col, label_col, fold != HELD_OUT, fit_rows)
+    sample = checkpointed(labelled(docs, labels, id_col, text_col, label_col, fold != HELD_OUT, fit_rows, fit_chars))
     counted = sample.filter(fold != CURVE_FOLD)
 
     def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Counter(), Counter()
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                both[0 if label else 1].update(words_of(text))
+            words, codes, starts = coded(batch.column("text"))
+            toxic = np.repeat(batch.column("label").to_numpy() > 0, np.diff(starts))
+            for which, some in enumerate((toxic, ~toxic)):
+                counts = np.bincount(codes[some], minlength=len(words))
+                for i in np.flatnonzero(counts):  # words that differ in marks at their edges are one
+                    both[which][words[i]] += int(counts[i])
         for which, words in enumerate(both):
             for gram, context, count in count_grams(words):
                 none = np.zeros(len(count), np.int64)
@@ -248,26 +325,51 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     "toxic": none if which else count, "ordinary": count if which else none,
                 })
 
+    def word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                words, codes, starts = coded(some.column("text"))
+                hashes, sizes = word_hashes(words), np.diff(starts)
+                inner = np.ones(len(codes), bool)
+                inner[starts[:-1][sizes > 0]] = False
+                second = np.flatnonzero(inner)
+                head = hashes[codes[second - 1]]
+                pair = pair_hashes(head, hashes[codes[second]])
+                toxic = np.repeat(some.column("label").to_numpy() > 0, sizes)[second]
+                unique, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
+                counts = [np.bincount(inverse, x, len(unique)).astype(np.int64) for x in (toxic, ~toxic)]
+                yield pa.RecordBatch.from_pydict({
+                    "pair": unique.view(np.int64), "head": head[first].view(np.int64), "toxic": counts[0], "ordinary": counts[1],
+                })
+
     sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
     grams = checkpointed(
         counted.select("label", "text").mapInArrow(class_counts, "gram long, context long, toxic long, ordinary long")
         .groupBy("gram", "context").agg(*sums)
     )
+    pairs = checkpointed(
+        counted.select("label", "text").mapInArrow(word_pairs, "pair long, head long, toxic long, ordinary long")
+        .groupBy("pair", "head").agg(*sums)
+    )
+    common = F.col("toxic") + F.col("ordinary") >= PAIRS
+    parts = [F.sum(F.when(common, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"{c}_kept") for c in ("toxic", "ordinary")]
+    heads = pairs.groupBy("head").agg(*sums, *parts).filter("toxic_kept + ordinary_kept > 0")
     contexts = grams.groupBy("context").agg(
         *sums, F.count_if(F.col("toxic") > 0).alias("toxic_kinds"), F.count_if(F.col("ordinary") > 0).alias("ordinary_kinds")
     )
 
     def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        young: set[str] = set()
+        old: set[str] = set()
         for batch in batches:
             column = batch.column("text")
             for at in range(0, len(column), TEXTS):
-                words = set()
-                for text in column.slice(at, TEXTS).to_pylist():
-                    words.update(words_of(text))
-                words = list(words - seen)
-                if len(seen) < CACHE_WORDS:
-                    seen.update(words)
+                words = set(coded(column.slice(at, TEXTS))[0]) - young
+                if len(young) > CACHE_WORDS:
+                    young, old = set(), young
+                young |= words
+                words = list(words - old)
                 for first in range(0, len(words), WORDS):
                     gram, end, middle = shared_grams(words[first:first + WORDS])
                     yield pa.RecordBatch.from_pydict({
@@ -290,13 +392,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     context_keys, context_counts = _table(context_rows, "context", "toxic", "ordinary")
     _, kinds = _table(context_rows, "context", "toxic_kinds", "ordinary_kinds")
     model = Model(gram_keys, gram_counts, context_keys, context_counts, kinds,
-                  *_table(ends.toArrow(), "ending", "kinds"), *_table(middles.toArrow(), "middle", "kinds"))
+                  *_table(ends.toArrow(), "ending", "kinds"), *_table(middles.toArrow(), "middle", "kinds"),
+                  *_table(pairs.filter(common).drop("head").toArrow(), "pair", "toxic", "ordinary"),
+                  *_table(heads.toArrow(), "head", "toxic", "ordinary", "toxic_kept", "ordinary_kept"))
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def curve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared_model.value)
         for batch in batches:
-            x = scorer.features(batch.column("text").to_pylist())
+            x = scorer.features(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     rest = sample.filter(fold == CURVE_FOLD).select("label", "text").mapInArrow(curve_rows, "label int, x array<double>").toArrow()
@@ -314,7 +418,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "score": scorer.scores(batch.column("text").to_pylist()),
+                "doc_id": batch.column("doc_id"), "score": scorer.scores(batch.column("text")),
             })
 
     found = small_batches(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")

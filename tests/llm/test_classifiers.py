@@ -91,40 +91,91 @@ def test_many_mild_words_are_evidence(spark):
         rows.append((i, " ".join(words), toxic))
     docs = spark.createDataFrame([(i, t, "c", "c", 1) for i, t, _ in rows], SCHEMA)
     model = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
-    assert np.abs(model.ratios([*pools[0], *pools[1]])).max() < toxicity.LEVELS[0][0]
+    assert np.abs(np.subtract(*model.letters([*pools[0], *pools[1]]).T)).max() < 2
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     held = [(got[i], x) for i, _, x in rows if got[i].held_out]
     assert np.mean([r.predicted for r, x in held if x]) > 0.9 > 0.1 > np.mean([r.predicted for r, x in held if not x])
 
 
-def test_ratio_of_a_text_is_normalised_by_length():
-    words = ["abra", "abba", "arab", "bar", "bab"]
-    model = _model(words, ["bra", "bra", "ab"], *toxicity.shared_grams(words))
-    scorer = toxicity.Scorer(model)
-    once, often, empty = scorer.features(["bra arab", "bra arab " * 50, ""])[:, 0]
-    assert once == pytest.approx(model.ratios(["bra", "arab"]).sum() / 9) == pytest.approx(often) and empty == 0
-    assert scorer.features(["abba"])[0, 0] < 0
-
+def test_phrases_of_ordinary_words_are_evidence(spark):
+    """Both classes have the same words; only which of them follow one another differs, across line ends too."""
+    rng = np.random.default_rng(6)
+    words = "tarem sovel kimon dupal besur galit".split()
+    rows = []
+    for i in range(1200):
+        toxic = int(rng.random() < 0.3)
+        pairs = [(words[j], words[(j + (1 if toxic else 2)) % 6]) for j in rng.integers(6, size=40)]
+        rows.append((i, "".join(f"{a}{rng.choice([' ', chr(10), '  '])}{b} x{rng.integers(9)} " for a, b in pairs), toxic))
+    docs = spark.createDataFrame([(i, t, "c", "c", 1) for i, t, _ in rows], SCHEMA)
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))).collect()}
+    held = [(got[i], x) for i, _, x in rows if got[i].held_out]
+    assert np.mean([r.predicted for r, x in held if x]) > 0.95 and np.mean([r.predicted for r, x in held if not x]) < 0.05
+
+
+TOXIC, ORDINARY = ["bad egg bad", "Egg! bad egg"], ["abra arab egg", "bar abra\nabra bar", "arab egg bad", ""]
+
+
+def by_hand(word, before, kind):
+    """Probability of a word after another by the definition, from counts of plain strings."""
+    texts = {"toxic": TOXIC, "ordinary": ORDINARY}
+    clean = {k: [[w.strip("!").lower() for w in t.split()] for t in ts] for k, ts in texts.items()}
+    every = [w for ts in clean.values() for t in ts for w in t]
+    mine = [w for t in clean[kind] for w in t]
+    lead = "_" * 6
+    shared = {(lead + w + "$")[i - 3:i + 1] for w in every for i in range(6, 7 + len(w))}
+
+    def letter(row, i):
+        kinds = len({g for g in shared if g[1:] == row[i - 2:i + 1]})
+        total = len({g for g in shared if g[1:3] == row[i - 2:i]})
+        p = (kinds + 1 / 64) / (total + 1)
+        for order in (3, 5, 7):
+            grams = [(lead + w + "$")[j - order + 1:j + 1] for w in mine for j in range(6, 7 + len(w))]
+            context, gram = row[i - order + 1:i], row[i - order + 1:i + 1]
+            seen = sum(g[:-1] == context for g in grams)
+            if seen:
+                p = (max(grams.count(gram) - 0.75, 0) + 0.75 * len({g for g in grams if g[:-1] == context}) * p) / seen
+        return p
+
+    p = np.prod([letter(lead + word + "$", i) for i in range(6, 7 + len(word))])
+    pairs = {k: [pair for t in ts for pair in zip(t, t[1:])] for k, ts in clean.items()}
+    kept = {pair for pair in pairs["toxic"] + pairs["ordinary"] if pairs["toxic"].count(pair) + pairs["ordinary"].count(pair) >= 2}
+    seen = sum(a == before for a, _ in pairs[kind])
+    if before is None or not seen:
+        return p
+    own = {b: max(pairs[kind].count((a, b)) - 0.75, 0) / seen for a, b in kept if a == before}
+    return own.get(word, 0) + (1 - sum(own.values())) * p
+
+
+def test_features_equal_a_hand_made_model(spark):
+    rows = [(i, t, int(t in TOXIC)) for i, t in zip([1, 2, 3, 4, 5, 7], [*TOXIC, *ORDINARY])]
+    assert all(zlib.crc32(str(i).encode()) % 5 not in (toxicity.HELD_OUT, toxicity.CURVE_FOLD) for i, _, _ in rows)
+    docs = spark.createDataFrame([(i, t, "c", "c", 1) for i, t, _ in rows], SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    texts = ["bad egg", "egg bad egg abra zebra. bad", "abra", "", None, "  Egg! ", "arab egg bad egg arab egg egg bra"]
+    import pyarrow as pa
+
+    got = toxicity.Scorer(model).features(pa.array(texts))
+    for text, found in zip(texts, got, strict=True):
+        words = [w.strip("!.").lower() for w in (text or "").split()]
+        difference = [np.log(by_hand(w, v, "toxic") / by_hand(w, v, "ordinary")) for v, w in zip([None, *words], words)]
+        size = [len(w) + 1 for w in words]
+        ends = range(min(4, len(words)), len(words) + 1)
+        passages = [sum(difference[max(0, e - 4):e]) / sum(size[max(0, e - 4):e]) for e in ends if words]
+        want = [sum(difference) / sum(size), max(passages)] if words else [0, 0]
+        assert found == pytest.approx(want, abs=1e-9), text
+
+
+def test_letters_of_a_class_sum_to_one():
+    """Over all letters that may follow a context, with the rest of the 64 as unseen ones."""
+    from collections import Counter
 
-def test_kneser_ney_probabilities_sum_to_one():
-    """Over all continuations of a context, each class distributes at most one."""
     words = ["abra", "abba", "arab", "bar", "bab"]
     gram, end, middle = toxicity.shared_grams(words)
-    model = _model(words, ["bra", "bra", "ab"], gram, end, middle)
-    codes, at = toxicity._letters(["ab" + c for c in "abcdr"] + ["ab"])
-    assert np.isfinite(model.ratios(["abra", "zzz", "", "é"])).all()
-    assert len(codes) and len(at)
-
-
-def _model(ordinary, toxic, gram, end, middle):
-    from collections import Counter
-
     table, contexts = {}, {}
-    for which, words in enumerate((toxic, ordinary)):
-        for grams, context, count in toxicity.count_grams(Counter(words)):
+    for which, some in enumerate((["bra", "bra", "ab"], words)):
+        for grams, context, count in toxicity.count_grams(Counter(some)):
             for g, c, n in zip(grams.tolist(), context.tolist(), count.tolist(), strict=True):
-                entry = table.setdefault(g, [c, 0, 0])
-                entry[1 + which] += n
+                table.setdefault(g, [c, 0, 0])[1 + which] += n
     for c, a, b in table.values():
         entry = contexts.setdefault(c, [0, 0, 0, 0])
         for k, v in enumerate((a, b, a > 0, b > 0)):
@@ -134,10 +185,32 @@ def _model(ordinary, toxic, gram, end, middle):
         keys = np.array(sorted(pairs), np.uint64)
         return keys, np.array([pairs[k] for k in sorted(pairs)])
 
-    grams, counts = arrays({g: v[1:] for g, v in table.items()})
     keys, numbers = arrays(contexts)
-    return toxicity.Model(grams, counts, keys, numbers[:, :2], numbers[:, 2:], *arrays(dict(Counter(end.tolist()))),
-                          *arrays(dict(Counter(middle.tolist()))))
+    model = toxicity.Model(*arrays({g: v[1:] for g, v in table.items()}), keys, numbers[:, :2], numbers[:, 2:],
+                           *arrays(dict(Counter(end.tolist()))), *arrays(dict(Counter(middle.tolist()))))
+    assert np.isfinite(model.letters(["abra", "zzz", "", "é"])).all()
+    # The end, 26 letters and 37 signs that nothing was seen of: 64 that may follow.
+    signs = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0x100, 0x125)))
+    for prefix in ("", "a", "ab", "zz"):
+        ends = np.exp(model.letters([prefix]))[0]
+        # The probability of a prefix is that of all words that start with it.
+        total = sum(np.exp(_start(model, prefix + c)) for c in signs) + ends
+        assert total == pytest.approx(np.exp(_start(model, prefix)), rel=1e-9)
+
+
+def _start(model, prefix):
+    """Log-probabilities that a word starts with ``prefix``: all of its letters, without an end."""
+    if not prefix:
+        return np.zeros(2)
+    codes, at = toxicity._letters([prefix])
+    held = toxicity._letters
+    toxicity._letters = lambda words: (codes, at[:-1]) if words == [prefix] else held(words)
+    lengths = toxicity._word_lengths
+    toxicity._word_lengths = lambda c, a: np.array([len(a)])
+    try:
+        return model.letters([prefix])[0]
+    finally:
+        toxicity._letters, toxicity._word_lengths = held, lengths
 
 
 ODD = [(None, "no id at all", "c", "c", 1), (1, None, "c", "c", 1), (2, "", "c", "c", 1), (3, " \n ", "c", "c", 1), (4, "word " * 60_000, "c", "c", 1),
