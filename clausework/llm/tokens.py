@@ -24,6 +24,8 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 CACHE = 600_000
 # Texts cut up at a time.
 TEXTS = 500
+# Texts handed to the library as one, set apart by a special token, unless they could hold part of one.
+JOINED, _END, _APART = 1000, "<|endoftext|>", frozenset("<|>")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _PILED_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]|^[ \n]|\x00"
 _PILED = re.compile(r"\s[ \n]|^[ \n]|\0")
@@ -64,6 +66,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces, self.text_of = pieces, text_of
         self.folds = folds  # upper and lower case get the same ids
+        self.end = self.tokenizer.token_to_id(_END)
         self.limit = CACHE
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -125,25 +128,42 @@ class Encoder:
             yield self.encode(texts[i].as_py()) if alone else ids[places[i]:places[i + 1]].tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", f.ids).tobytes() for f in found]
+        """Ids of each text. Texts between two special tokens are encoded apart, so many of them are handed over as one."""
+        odd = [i for i, t in enumerate(texts) if not _APART.isdisjoint(t)]
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)
+        apart = {i: array("I", f.ids).tobytes() for i, f in zip(odd, found, strict=True)}
+        out: list[bytes] = []
+        for at in range(0, len(texts), JOINED):
+            some = [t if i not in apart else "" for i, t in enumerate(texts[at:at + JOINED], at)]
+            data = array("I", self.tokenizer.encode_batch_fast([_END.join(some)], add_special_tokens=False)[0].ids)
+            ends = (np.flatnonzero(np.frombuffer(data, np.uint32) == self.end) * 4).tolist()
+            raw = data.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
+        for i, ids in apart.items():
+            out[i] = ids
+        return out
 
     def _learn(self, pieces: Iterable[str]) -> None:
         """Encode pieces that neither generation has."""
         young, old = self.young, self.old
         whole, derived = {}, []
+        marks, folds = tuple(self.marks), self.folds
         for piece in pieces:
             # Letters and one mark behind them are separate pre-tokens.
-            stem = piece[:-1] if piece[-1:] in self.marks and piece[:-1].isalpha() else piece
+            marked = piece.endswith(marks) and piece[:-1].isalpha()
+            base = piece[:-1] if marked else piece
             # In lower case, other text could become the name of a special token.
-            base = stem.lower() if self.folds and stem.isascii() and "<|" not in stem else stem
+            if folds and base.isascii() and "<|" not in base:
+                base = base.lower()
+            if base is piece:
+                whole[piece] = None
+                continue
+            derived.append((piece, base, piece[-1] if marked else ""))
             if base not in young:
                 if base in old:
                     young[base] = old[base]
                 else:
                     whole[base] = None
-            if base is not piece:
-                derived.append((piece, base, piece[-1] if stem is not piece else ""))
         if whole:
             young.update(zip(whole, self._ids([self.text_of(p) for p in whole]), strict=True))
         for piece, base, mark in derived:
