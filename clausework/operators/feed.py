@@ -16,17 +16,26 @@ PAYLOAD = (
 
 
 def parsed(feed: DataFrame, payload: str = "payload") -> DataFrame:
-    """The feed with a struct ``_p`` of payload fields; bad JSON and missing fields give nulls."""
-    return feed.withColumn("_p", F.from_json(F.col(payload), PAYLOAD)).drop(payload)
+    """The feed with a struct ``_p`` of payload fields; missing fields are null, and all are where the JSON is bad.
 
+    A payload that breaks off gives nothing, also of the fields before the break.
+    """
+    whole = F.try_parse_json(F.col(payload)).isNotNull()
+    return feed.withColumn("_p", F.when(whole, F.from_json(F.col(payload), PAYLOAD))).drop(payload)
 
-def creates(commands: DataFrame) -> DataFrame:
-    """Create requests: seq, ts, contract_id (made up if missing), contract_type, metadata, workflow_state."""
+
+def creates(commands: DataFrame, feed: str = "") -> DataFrame:
+    """Create requests: seq, ts, contract_id (made up from ``feed`` and seq if missing), contract_type, metadata, workflow_state."""
     named = commands.filter("command = 'create'").select(
         "seq", "ts", F.coalesce(F.nullif("contract_id", F.lit("")), "_p.contract_id").alias("contract_id"),
         "_p.contract_type", "_p.metadata", F.coalesce("_p.workflow_state", F.lit(DRAFT)).alias("workflow_state"),
     )
-    return name_contracts(named, "seq")
+    return name_contracts(named, "seq", feed=feed)
+
+
+def moves(commands: DataFrame) -> DataFrame:
+    """Submits and approves: seq, contract_id, command, if_match."""
+    return commands.filter("command IN ('submit', 'approve')").select("seq", "contract_id", "command", "if_match")
 
 
 def extractions(commands: DataFrame) -> DataFrame:
@@ -45,11 +54,11 @@ def accepts(commands: DataFrame) -> DataFrame:
     return commands.filter("command = 'accept'").select("seq", "contract_id", "_p.version_number", "if_match")
 
 
-def workflow_log(commands: DataFrame) -> DataFrame:
+def workflow_log(commands: DataFrame, feed: str = "") -> DataFrame:
     """What a replay reads: seq, ts, contract_id, command, if_match and the initial state of creates."""
     named = name_contracts(
         commands.withColumn("contract_id", F.when(
             F.col("command") == "create", F.coalesce(F.nullif("contract_id", F.lit("")), "_p.contract_id")
-        ).otherwise(F.col("contract_id"))), "seq",
+        ).otherwise(F.col("contract_id"))), "seq", feed=feed,
     )
     return named.select("seq", "ts", "contract_id", "command", "if_match", F.col("_p.workflow_state").alias("initial_state"))

@@ -47,19 +47,25 @@ def first_arrivals(incoming: DataFrame, key: str, order: str) -> DataFrame:
     ).select(key, "_first.*")
 
 
-def name_contracts(incoming: DataFrame, order: str, key: str = "contract_id") -> DataFrame:
-    """Create requests without an id (null or '') get one of their own, reproducibly from the unique ``order``."""
-    own = F.substring(F.sha2(F.concat(F.lit("create-"), F.col(order).cast("string")), 256), 1, 32)
+def name_contracts(incoming: DataFrame, order: str, key: str = "contract_id", feed: str = "") -> DataFrame:
+    """Create requests without an id (null or '') get one of their own, reproducibly from ``feed`` and the unique ``order``.
+
+    Feeds that count from the same number need different names, or their requests would share ids.
+    """
+    lead = f"create-{feed}-" if feed else "create-"
+    own = F.substring(F.sha2(F.concat(F.lit(lead), F.col(order).cast("string")), 256), 1, 32)
     return incoming.withColumn(key, F.coalesce(F.nullif(F.col(key), F.lit("")), own))
 
 
-def insert_if_absent(contracts: DataFrame, incoming: DataFrame, order: str, key: str = "contract_id") -> DataFrame:
+def insert_if_absent(
+    contracts: DataFrame, incoming: DataFrame, order: str, key: str = "contract_id", feed: str = ""
+) -> DataFrame:
     """Contracts plus the first arrival of every unknown id; known rows stay as they are.
 
     Text ids may be missing: such a request always makes a contract (see ``name_contracts``).
     """
     if dict(incoming.dtypes)[key] == "string":
-        incoming = name_contracts(incoming, order, key)
+        incoming = name_contracts(incoming, order, key, feed)
     # Reduced map-side to one row per id first, so an id posted over and over cannot skew the join.
     arrivals = first_arrivals(incoming, key, order)
     fresh = arrivals.join(contracts.select(key), key, "left_anti").select(*contracts.columns)

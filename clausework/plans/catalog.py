@@ -90,6 +90,36 @@ def contract_insert_if_absent(t):
     return ledger.insert_if_absent(contracts, incoming, "seq")
 
 
+@query("""
+WITH sent AS (
+  SELECT 1 AS feed, o_orderkey AS seq, o_orderpriority AS contract_type,
+    CASE WHEN o_orderkey % 10 < 2 THEN substr(sha256('create-orders-' || o_orderkey), 1, 32) ELSE o_custkey::VARCHAR END AS id FROM orders
+  UNION ALL SELECT 2, c_custkey, c_mktsegment,
+    CASE WHEN c_custkey % 3 = 0 THEN substr(sha256('create-customers-' || c_custkey), 1, 32) ELSE c_custkey::VARCHAR END FROM customer)
+SELECT s_suppkey::VARCHAR AS contract_id, s_name AS contract_type FROM supplier
+UNION ALL
+SELECT id, contract_type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY feed, seq) AS rn FROM sent
+  WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey::VARCHAR = id))
+WHERE rn = 1
+""")
+def contract_insert_two_feeds(t):
+    """Orders, then customers as create requests of two feeds that count from the same number, some without ids."""
+    contracts = t.supplier.select(
+        F.col("s_suppkey").cast("string").alias("contract_id"), F.col("s_name").alias("contract_type")
+    )
+    last = F.col("o_orderkey") % 10
+    orders = t.orders.select(
+        F.when(last >= 2, F.col("o_custkey").cast("string")).alias("contract_id"),
+        F.col("o_orderpriority").alias("contract_type"), F.col("o_orderkey").alias("seq"),
+    )
+    customers = t.customer.select(
+        F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey").cast("string")).otherwise("").alias("contract_id"),
+        F.col("c_mktsegment").alias("contract_type"), F.col("c_custkey").alias("seq"),
+    )
+    both = ledger.insert_if_absent(contracts, orders, "seq", feed="orders")
+    return ledger.insert_if_absent(both, customers, "seq", feed="customers")
+
+
 @query("""
 SELECT o_orderkey AS contract_id, CAST(coalesce(max(l_linenumber), 0) + 1 AS BIGINT) AS next_version
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey
@@ -370,9 +400,10 @@ def payload_feed(events: DataFrame) -> DataFrame:
         .when(kind == "purchase", F.concat(F.lit('{"parameter_id": '), text, F.lit(', "user_override": '), override, F.lit("}")))
     )
     command = F.create_map(*[F.lit(x) for pair in PAYLOAD_COMMANDS.items() for x in pair])
+    named = F.when((kind == "error") & (seq % 2 == 0), F.lit("submit")).otherwise(command[kind])
     return events.select(
         seq.alias("seq"), "ts", F.when((kind != "signup") | (seq % 4 != 0), F.col("user_id").cast("string")).alias("contract_id"),
-        command[kind].alias("command"), F.when(seq % 5 == 0, F.lit("tag")).alias("if_match"), payload.alias("payload"),
+        named.alias("command"), F.when(seq % 5 == 0, F.lit("tag")).alias("if_match"), payload.alias("payload"),
     )
 
 
@@ -389,8 +420,9 @@ SELECT event_id AS seq, event_type AS kind,
     WHEN 'click' THEN CASE WHEN event_id % 11 = 0 THEN '|5' ELSE 'line ' || event_id || '|2' END
     WHEN 'view' THEN CASE WHEN event_id % 11 = 0 THEN '' ELSE event_id::VARCHAR END || CASE WHEN event_id % 5 = 0 THEN '|tag' ELSE '|' END
     WHEN 'purchase' THEN CASE WHEN event_id % 11 = 0 THEN '|' ELSE event_id || '|' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'v' || event_id END END
+    WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'submit' ELSE 'approve' END || CASE WHEN event_id % 5 = 0 THEN '|tag' ELSE '|' END
   END AS detail
-FROM events WHERE event_type <> 'error'
+FROM events
 """)
 def command_feed(t):
     """Every routed command with what its operator is given."""
@@ -402,12 +434,12 @@ def command_feed(t):
         return df.select("seq", F.lit(kind).alias("kind"), owner.alias("contract_id"), shown.alias("detail"))
 
     c = F.col
-    # A broken version number may or may not survive its broken object; it is not shown for those.
     return (
         rows(feed.creates(commands), "signup", c("contract_type"), c("metadata"), c("workflow_state"))
         .unionByName(rows(feed.extractions(commands), "click", c("text"), F.size("keys")))
-        .unionByName(rows(feed.accepts(commands), "view", F.when(c("seq") % 11 != 0, c("version_number")), c("if_match")))
+        .unionByName(rows(feed.accepts(commands), "view", c("version_number"), c("if_match")))
         .unionByName(rows(feed.overrides(commands), "purchase", c("parameter_id"), c("user_override")))
+        .unionByName(rows(feed.moves(commands), "error", c("command"), c("if_match")))
     )
 
 

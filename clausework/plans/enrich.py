@@ -111,7 +111,9 @@ def replies_from_rules(chunks: DataFrame, keys: list[str] | Column | None = None
         )
 
     if isinstance(keys, Column):
-        quoted = lambda k: F.concat(F.lit(before + "\\Q"), k, F.lit("\\E" + after))
+        # An end of quotation inside a key is quoted on its own.
+        inner = lambda k: F.replace(k, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        quoted = lambda k: F.concat(F.lit(before + "\\Q"), inner(k), F.lit("\\E" + after))
         found = F.flatten(F.transform(keys, lambda k: answers(k, quoted(k))))
     else:
         found = F.concat(*[answers(F.lit(k), F.lit(before + re.escape(k) + after)) for k in keys or DEFAULT_KEYS])

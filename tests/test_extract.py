@@ -207,3 +207,12 @@ def test_keys_of_each_document(spark):
     assert {(r.contract_id, r.parameter_key, r.missing) for r in covered} == {
         ("a", "x.y", False), ("b", "z", False), ("b", "x.y", True), ("b", "none", True),
     }
+
+
+def test_keys_are_taken_literally(spark):
+    keys = ["a.b", "end \\E mark", "\\Qq\\E\\E", "(x|y)"]
+    text = "\n".join(f"{k}: value of {i}" for i, k in enumerate(keys)) + "\naxb: no\nx: no"
+    df = spark.createDataFrame([(1, text, keys)], "id int, chunk string, keys array<string>")
+    for some in (F.col("keys"), keys):
+        row = enrich.replies_from_rules(df, some).first()
+        assert [(x["key"], x["value"]) for x in json.loads(row.response)["parameters"]] == [(k, f"value of {i}") for i, k in enumerate(keys)]

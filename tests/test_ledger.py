@@ -79,3 +79,13 @@ def test_two_rows_of_a_version_are_an_error(spark):
     got = {r.contract_id: (r.status, r.workflow_state) for r in ledger.lookup_versions(asked, versions).collect()}
     assert got == {"a": (200, "s"), "b": (500, None), "c": (404, None)}
     assert {(r.contract_id, r.status) for r in ledger.listing_status(asked, versions).collect()} == {("a", 200), ("b", 500), ("c", 404)}
+
+
+def test_two_feeds_that_count_alike_make_contracts_of_their_own(spark):
+    contracts = spark.createDataFrame([("a", "t")], "contract_id string, contract_type string")
+    incoming = spark.createDataFrame([(None, "x", 1), ("", "y", 2), ("a", "z", 3)], "contract_id string, contract_type string, seq long")
+    first = ledger.insert_if_absent(contracts, incoming, "seq", feed="one")
+    both = ledger.insert_if_absent(first, incoming, "seq", feed="two")
+    assert sorted(r.contract_type for r in both.collect()) == ["t", "x", "x", "y", "y"]
+    again = ledger.insert_if_absent(both, incoming, "seq", feed="two")
+    assert again.count() == both.count()
