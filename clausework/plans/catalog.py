@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clausework.functions import scores, text, vectors
 from clausework.functions.replies import reply_items, spatial_struct
-from clausework.operators import audit, chunking, feed, layout, ledger, reconcile, review, search, workflow
+from clausework.operators import audit, cells, chunking, feed, layout, ledger, reconcile, review, search, workflow
 from clausework.operators.scan import lookup, number_rows
 from clausework.plans import enrich, extract, upsert
 from clausework.schemas import DEFAULT_KEYS
@@ -889,6 +889,25 @@ def vector_topk_batch(t):
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+@query("""
+SELECT count(*) AS queries, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS vectors, count(*) * 5 AS neighbours, true AS reached
+FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL
+""")
+def vector_cells_recall(t):
+    """Approximate neighbours of every fiftieth vector among all, against the exact ones: whether nine in ten are found."""
+    stored = t.embeddings.select(F.col("vec_id").alias("parameter_id"), F.col("embedding").alias("vector_embed"))
+    queries = stored.filter("parameter_id % 50 = 0 AND vector_embed IS NOT NULL").select(
+        F.col("parameter_id").alias("query_id"), F.col("vector_embed").alias("query_vec")
+    )
+    index = cells.build_cells(stored, scratch_path(t.spark, "cells"))
+    found = cells.nearest_in_cells(index, queries, cells.probes_for(index, queries))
+    measured = cells.recall_of(found, search.nearest(stored, queries))
+    counts = queries.agg(F.count(F.lit(1)).alias("queries")), index.lists(t.spark).agg(F.count(F.lit(1)).alias("vectors"))
+    for one in counts:
+        measured = measured.unionByName(one, allowMissingColumns=True)
+    return measured.agg(*[F.max(c).alias(c) for c in ("queries", "vectors", "neighbours")], (F.max("recall") >= 0.9).alias("reached"))
+
+
 def letter_profile(df: DataFrame, source: str, target: str) -> DataFrame:
     """A small embedder that SQL can repeat: how often each letter occurs, relative to the length."""
     low = F.lower(F.col(source))
