@@ -45,7 +45,7 @@ FOLDS, HELD_OUT = 5, 0
 # Of the other folds, this one fits the logistic curve; the rest give the counts.
 CURVE_FOLD = 4
 # Labelled rows that the class counts and the curve are fitted on, at most, and their characters.
-FIT_ROWS, FIT_CHARS = 20_000, 100_000_000
+FIT_ROWS, FIT_CHARS = 20_000, 40_000_000
 ORDERS = (7, 5, 3)
 DISCOUNT = 0.75
 # Words of passages, and occurrences from which a pair of words counts as one.
@@ -305,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
     """The model of a corpus; labels of the held-out fold are not looked at."""
     fold = fold_of(F.col("doc_id"), FOLDS)
-    sample = checkpointed(labelled(docs, labels, id_col, text_col, label_col, fold != HELD_OUT, fit_rows, fit_chars))
+    sample = labelled(docs, labels, id_col, text_col, label_col, fold != HELD_OUT, fit_rows, fit_chars)
     counted = sample.filter(fold != CURVE_FOLD)
 
     def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,26 +335,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 inner[starts[:-1][sizes > 0]] = False
                 second = np.flatnonzero(inner)
                 head = hashes[codes[second - 1]]
-                pair = pair_hashes(head, hashes[codes[second]])
                 toxic = np.repeat(some.column("label").to_numpy() > 0, sizes)[second]
-                unique, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-                counts = [np.bincount(inverse, x, len(unique)).astype(np.int64) for x in (toxic, ~toxic)]
-                yield pa.RecordBatch.from_pydict({
-                    "pair": unique.view(np.int64), "head": head[first].view(np.int64), "toxic": counts[0], "ordinary": counts[1],
-                })
+                # Pairs, and under no pair their first words alone.
+                for pair in (pair_hashes(head, hashes[codes[second]]), None):
+                    unique, first, inverse = np.unique(head if pair is None else pair, return_index=True, return_inverse=True)
+                    counts = [np.bincount(inverse, x, len(unique)).astype(np.int64) for x in (toxic, ~toxic)]
+                    yield pa.RecordBatch.from_pydict({
+                        "pair": pa.nulls(len(unique), pa.int64()) if pair is None else pa.array(unique.view(np.int64)),
+                        "head": head[first].view(np.int64), "toxic": counts[0], "ordinary": counts[1],
+                    })
 
     sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
     grams = checkpointed(
         counted.select("label", "text").mapInArrow(class_counts, "gram long, context long, toxic long, ordinary long")
         .groupBy("gram", "context").agg(*sums)
     )
+    common = F.col("pair").isNull() | (F.col("toxic") + F.col("ordinary") >= PAIRS)
     pairs = checkpointed(
         counted.select("label", "text").mapInArrow(word_pairs, "pair long, head long, toxic long, ordinary long")
-        .groupBy("pair", "head").agg(*sums)
+        .groupBy("pair", "head").agg(*sums).filter(common)
     )
-    common = F.col("toxic") + F.col("ordinary") >= PAIRS
-    parts = [F.sum(F.when(common, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"{c}_kept") for c in ("toxic", "ordinary")]
-    heads = pairs.groupBy("head").agg(*sums, *parts).filter("toxic_kept + ordinary_kept > 0")
+    paired, classes = F.col("pair").isNotNull(), ("toxic", "ordinary")
+    heads = pairs.groupBy("head").agg(
+        *[F.sum(F.when(~paired, F.col(c)).otherwise(0)).alias(c) for c in classes],
+        *[F.sum(F.when(paired, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"{c}_kept") for c in classes],
+    ).filter("toxic_kept + ordinary_kept > 0")
     contexts = grams.groupBy("context").agg(
         *sums, F.count_if(F.col("toxic") > 0).alias("toxic_kinds"), F.count_if(F.col("ordinary") > 0).alias("ordinary_kinds")
     )
@@ -393,7 +398,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     _, kinds = _table(context_rows, "context", "toxic_kinds", "ordinary_kinds")
     model = Model(gram_keys, gram_counts, context_keys, context_counts, kinds,
                   *_table(ends.toArrow(), "ending", "kinds"), *_table(middles.toArrow(), "middle", "kinds"),
-                  *_table(pairs.filter(common).drop("head").toArrow(), "pair", "toxic", "ordinary"),
+                  *_table(pairs.filter(paired).drop("head").toArrow(), "pair", "toxic", "ordinary"),
                   *_table(heads.toArrow(), "head", "toxic", "ordinary", "toxic_kept", "ordinary_kept"))
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -6,13 +6,19 @@ also the labels from which templates of all other urls are judged.
 The tree is grown over distinct (host, shape) rows, not pages: a shape is the path with
 lexically variable segments (numbers, hexadecimal runs, very long slugs) already replaced by ``*``,
 so most hosts shrink to a few rows by a map-side combined count. Level by level, the children of a
-node are counted; where a node has many children, the rare ones become ``*``, and children whose
-share of blocked labels does not differ significantly from that of their siblings merge, likewise
-those without labels. A template is a path down the merged tree. Its purity is the blocked share of
-its labels, smoothed by ``PRIOR`` labels of its parent's purity; a host starts from one label of
-either kind, so nothing is rejected without evidence. Templates whose purity reaches ``REJECT`` are
-blocked. With ``own_labels``, as the query has it, a template without any label of its own is not
-judged by the labels of its siblings: its purity is ``NEUTRAL``, and it is kept. Segments beyond ``DEPTH`` levels are one ``**``; rules, host and path see the whole url.
+node are counted; where a node has many children, the rare ones become ``*``. Children whose pages
+mostly have the same remaining shape are compared: one merges with them if its pages are spread over
+remaining shapes as those of all of them are (a chi-square test, which branches without labels pass or
+fail like any other) and, where it has labels, if its share of blocked ones does not differ
+significantly either. A branch with fewer than
+``EVIDENCE`` pages and no labels has not been shown to be like any other and stays apart. A template
+is a path down the merged tree; it ends where one shape is left below a node.
+
+A template's purity is the blocked share of its pages, where a page without label counts half, smoothed
+by ``PRIOR`` pages of its parent's purity; a host starts from one page of either kind. So an unlabelled
+branch is rejected together with the labelled ones it was merged with, if those make up most of the
+template. A template without any label has purity ``NEUTRAL``. Templates whose purity reaches
+``REJECT`` are blocked.
 
 Hot hosts are harmless: counts are combined before the shuffle, and the joins back are plain
 equi-joins whose large partitions Spark splits.
@@ -29,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.util import bounded, checkpointed, match
+from clausework.llm.util import bounded, checkpointed
 
 # Verdict, host, path prefix.
 RULES = (
@@ -39,16 +45,16 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH = 6
+# Pages from which a branch without labels may merge.
+EVIDENCE = 5
 # A node with more children than this turns the rare ones into a wildcard.
 CHILDREN = 20
-# Two-sided 5 % point of the normal distribution.
-SIMILAR = 1.96
-# Labels that the parent's purity counts for.
+# Two-sided 5 % point of the normal distribution, and its one-sided 5 % point, for chi-square.
+SIMILAR, UPPER = 1.96, 1.645
+# Pages that the parent's purity counts for.
 PRIOR = 4.0
-# A host with three labels, all of them blocks, just reaches it.
 REJECT = 0.8
-# Purity of a template without labels, where those of its siblings do not count.
+# Purity of a template without labels, and share of a block that a page without label counts for.
 NEUTRAL = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,63 +78,93 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path with lexically variable ones as ``*``; levels beyond DEPTH as one ``**``."""
+    """Segments of a path with lexically variable ones as ``*``."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
     variable = r"^(?:.*[0-9].*|.{40,})$"
-    parts = F.transform(parts, lambda s: F.when(s.rlike("(?s)" + variable), F.lit("*")).otherwise(s))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda s: F.when(s.rlike("(?s)" + variable), F.lit("*")).otherwise(s))
+
+
+def _purity(parent: Column, prior: float) -> Column:
+    """Of summed n, labelled and blocked."""
+    n, labelled, blocked = F.sum("n"), F.sum("labelled"), F.sum("blocked")
+    return (blocked + NEUTRAL * (n - labelled) + prior * parent) / (n + prior)
+
+
+def _kinds(here: DataFrame) -> DataFrame:
+    """host, template, segment, the ``kind`` of each child, which is its commonest remaining shape, and whether it is ``unlike`` its kind."""
+    child, kin = ["host", "template", "segment"], ["host", "template", "kind"]
+    rest = here.groupBy(*child, "rest").agg(F.sum("n").alias("n"))
+    kinds = rest.groupBy(*child).agg(F.max_by("rest", F.struct("n", "rest")).alias("kind"), F.sum("n").alias("child_n"))
+    rest = checkpointed(rest.join(kinds, child))
+    pooled = rest.groupBy(*kin, "rest").agg(F.sum("n").alias("pool"))
+    whole = pooled.groupBy(*kin).agg(F.sum("pool").alias("all_n"), (F.count(F.lit(1)) - 1).cast("double").alias("free"))
+    # Of (seen - expected)^2 / expected, summed over all shapes, the unseen ones' part follows from the totals.
+    expected = F.col("child_n") * F.col("pool") / F.col("all_n")
+    parts = rest.join(pooled, [*kin, "rest"]).join(whole, kin)
+    chi = F.sum(F.col("n") * F.col("n") / expected) - F.max("child_n")
+    # The Wilson-Hilferty form of the chi-square point.
+    step = F.try_divide(F.lit(2.0), 9 * F.max("free"))
+    point = F.max("free") * F.pow(1 - step + UPPER * F.sqrt(step), F.lit(3))
+    unlike = F.coalesce((F.max("free") > 0) & (chi > point), F.lit(False))
+    return parts.groupBy(*child, "kind").agg(unlike.alias("unlike"))
 
 
 def templates(shapes: DataFrame, prior: float = PRIOR) -> DataFrame:
     """host, shape, template, purity, labels of the template of every shape, from (host, shape, n, labelled, blocked) rows."""
-    deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    hosts = shapes.groupBy("host").agg(*sums).select(
-        "host", F.lit("").alias("template"), ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("purity"),
-        F.col("labelled").alias("labels"),
-    )
-    now = checkpointed(shapes.join(hosts, "host"))
-    for level in range(deepest):
-        here = now.withColumn("segment", F.get("shape", F.lit(level)))
-        child = here.filter("segment is not null").groupBy("host", "template", "segment").agg(
-            *sums, F.max("purity").alias("parent")
+    hosts = shapes.groupBy("host").agg(_purity(F.lit(NEUTRAL), 2).alias("purity"), F.sum("labelled").alias("labels"))
+    now = checkpointed(shapes.join(hosts, "host").withColumn("template", F.lit("")))
+    done, level = None, 0
+    while True:
+        # A node with one shape below it, or a shape that ends here, splits no more.
+        shared = now.groupBy("host", "template").agg(F.count(F.lit(1)).alias("shapes"))
+        counted = now.join(shared, ["host", "template"])
+        ends = (F.size("shape") <= level) | (F.col("shapes") == 1)
+        left = F.slice("shape", level + 1, F.greatest(F.size("shape"), F.lit(1)))
+        ended = counted.filter(ends).select(
+            "host", "shape", F.concat("template", F.concat_ws("", F.transform(left, lambda s: F.concat(F.lit("/"), s)))).alias("template"),
+            "purity", "labels",
         )
-        node = child.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"),
-            F.sum("blocked").alias("all_blocked"),
+        done = ended if done is None else done.unionByName(ended)
+        here = checkpointed(counted.filter(~ends).drop("shapes").withColumns({
+            "segment": F.get("shape", F.lit(level)),
+            "rest": F.concat_ws("/", F.lit(""), F.slice("shape", level + 2, F.greatest(F.size("shape"), F.lit(1)))),
+        }))
+        if here.isEmpty():
+            return done
+        child = here.groupBy("host", "template", "segment").agg(*sums, F.max("purity").alias("parent"))
+        child = checkpointed(child.join(_kinds(here), ["host", "template", "segment"]))
+        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"))
+        kin = child.groupBy("host", "template", "kind").agg(
+            F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
         )
         rate = F.try_divide("all_blocked", "all_labelled")
         spread = F.sqrt(F.try_divide(rate * (1 - rate), F.col("labelled")))
-        near = F.abs(F.try_divide("blocked", "labelled") - rate) <= SIMILAR * spread
+        odd = F.coalesce(F.abs(F.try_divide("blocked", "labelled") - rate) > SIMILAR * spread, F.lit(False))
         rare = (F.col("children") > CHILDREN) & (F.col("n") * CHILDREN < F.col("all_n"))
+        unknown = (F.col("labelled") == 0) & (F.col("n") < EVIDENCE)
         symbol = (
             F.when(rare | (F.col("segment") == "*"), F.lit("*"))
-            .when(F.col("labelled") == 0, F.lit("~"))  # no labels: alike as far as is known
-            .when(near, F.lit("="))
-            .otherwise(F.col("segment"))
+            .when(odd | unknown | F.col("unlike"), F.col("segment"))
+            .otherwise(F.concat(F.lit("~"), F.translate("kind", "/", ":")))
         )
-        named = checkpointed(child.join(node, ["host", "template"]).select(
-            "host", "template", "segment", "labelled", "blocked", "parent",
+        named = checkpointed(child.join(node, ["host", "template"]).join(kin, ["host", "template", "kind"]).select(
+            "host", "template", "segment", "n", "labelled", "blocked", "parent",
             F.concat(F.col("template"), F.lit("/"), symbol).alias("next"),
         ))
         judged = named.groupBy("host", "next").agg(
-            ((F.sum("blocked") + prior * F.max("parent")) / (F.sum("labelled") + prior)).alias("next_purity"),
-            F.sum("labelled").alias("next_labels"),
+            _purity(F.max("parent"), prior).alias("purity"), F.sum("labelled").alias("labels")
         )
-        grown = match(here, named.select("host", "template", "segment", "next"), ["host", "template", "segment"], "left")
-        now = checkpointed(match(grown, judged, ["host", "next"], "left").select(
-            "host", "shape", "n", "labelled", "blocked", F.coalesce("next", "template").alias("template"),
-            F.coalesce("next_purity", "purity").alias("purity"), F.coalesce("next_labels", "labels").alias("labels"),
+        grown = here.drop("purity", "labels", "rest").join(named.select("host", "template", "segment", "next"), ["host", "template", "segment"])
+        now = checkpointed(grown.join(judged, ["host", "next"]).select(
+            "host", "shape", "n", "labelled", "blocked", F.col("next").alias("template"), "purity", "labels"
         ))
-    return now.select("host", "shape", "template", "purity", "labels")
+        level += 1
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
-                prior: float = PRIOR, reject: float = REJECT, own_labels: bool = False) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, template and purity of the method's verdicts.
-
-    With ``own_labels``, templates without labels have purity ``NEUTRAL``, else that of their parent.
-    """
+                prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, template and purity of the method's verdicts."""
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
     host, path = split_url(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
@@ -138,10 +174,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.count(F.lit(1)).alias("n"), F.count("verdict").alias("labelled"),
         F.sum((F.coalesce("verdict", F.lit("")) == "block").cast("long")).alias("blocked"),
     ))
-    named = templates(shapes, prior)
-    if own_labels:
-        named = named.withColumn("purity", F.when(F.col("labels") > 0, F.col("purity")).otherwise(NEUTRAL))
-    named = checkpointed(named.select("host", "shape", "template", "purity"))
+    purity = F.when(F.col("labels") > 0, F.col("purity")).otherwise(NEUTRAL)
+    named = checkpointed(templates(shapes, prior).select("host", "shape", "template", purity.alias("purity")))
     ruled = rows.filter("verdict is not null").select(
         "page_id", "host", "path", "rule", "verdict", F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("purity")
     )
