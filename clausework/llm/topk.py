@@ -3,9 +3,10 @@
 Vectors are sorted by length into buckets of neighbours. Queries, in blocks, first meet the bucket
 of the longest vectors, which gives each query a floor for its k-th score. Against every further
 bucket that floor becomes a local cosine threshold: floor / (query length * longest vector). Above
-one, the bucket is skipped for the query; otherwise vectors too short to reach the floor are, and
-where the threshold is high, vectors outside the feasible interval of the query's largest
-coordinate are too. What is left is verified by exact products.
+one, the pair of query and bucket is dropped before anything is shuffled. Otherwise each query chooses
+by its threshold: with a low one, vectors too short to reach the floor are skipped; with a high one,
+vectors outside the feasible interval of the query's largest coordinate too. Queries of like thresholds
+go through a bucket together, and what any of them still needs is verified by exact products.
 
 A pair of query block and bucket is one task group of bounded size. The scores that leave it are
 the k best per query, and only those that reach the floor.
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausework.llm.util import checkpointed
+from clausework.llm.util import bounded, checkpointed
 
 K, SCALE = 20, 64
-# Vectors per bucket and queries per block.
-BUCKET, BLOCK = 4096, 1024
+# Vectors per bucket, queries per block, and queries that go through a bucket together.
+BUCKET, BLOCK, TOGETHER = 4096, 1024, 128
+# Room for rounding in bounds that decide what is skipped.
+SLACK = 1e-9
 # From this cosine threshold on, coordinate pruning pays.
 STEEP = 0.5
 
@@ -70,36 +73,39 @@ def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return whole.astype(np.int64)
 
 
-def _survivors(q: np.ndarray, q_norm: np.ndarray, floor: np.ndarray, p: np.ndarray, p_norm: np.ndarray) -> np.ndarray | None:
-    """Which vectors some query of the block still needs, or None for all; p_norm descends."""
-    if not len(p_norm) or not np.isfinite(floor).all():
-        return None
-    slack = 1e-9
-    # Length: a product is at most the product of the lengths.
-    least = np.where(floor > 0, floor / np.maximum(q_norm, 1e-300), -np.inf)
-    keep = p_norm >= least.min() * (1 - slack)
-    local = np.where(floor > 0, least / max(p_norm[0], 1e-300), -1.0)
-    if not keep.any() or local.min() < STEEP:
+def _thresholds(q_norm: np.ndarray, floor: np.ndarray, longest: float) -> np.ndarray:
+    """Local cosine threshold of each query; -1 where any vector may do."""
+    bounded_ = np.isfinite(floor) & (floor > 0)
+    return np.where(bounded_, floor / np.maximum(q_norm * longest, 1e-300), -1.0)
+
+
+def _survivors(q: np.ndarray, t: np.ndarray, p: np.ndarray, p_norm: np.ndarray) -> np.ndarray:
+    """Which vectors some query still needs, by the thresholds ``t``; p_norm descends."""
+    longest = max(float(p_norm[0]), 1e-300)
+    keep = np.zeros(len(p), bool)
+    # Length: a product is at most the product of the lengths, so a query needs no shorter ones.
+    flat = t < STEEP
+    if flat.any():
+        keep = p_norm >= t[flat].min() * longest * (1 - SLACK)
+        if keep.all():
+            return keep
+    steep = ~flat & (t <= 1 + SLACK)
+    if not steep.any():
         return keep
     # Coordinates: with a cosine of at least t, component f of p/|p| stays within
     # q_f t -/+ sqrt((1 - t^2)(1 - q_f^2)), f being the query's largest component.
-    t = np.minimum(local, 1.0)
-    unit_q = q / np.maximum(q_norm, 1e-300)[:, None]
-    unit_p = p[keep] / np.maximum(p_norm[keep], 1e-300)[:, None]
-    wide = min(q.shape[1], p.shape[1])
-    f = np.abs(unit_q[:, :wide]).argmax(axis=1)
+    q, t = q[steep], np.minimum(t[steep], 1.0)
+    unit_q = q / np.maximum(np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)), 1e-300)[:, None]
+    unit_p = p / np.maximum(p_norm, 1e-300)[:, None]
+    f = np.abs(unit_q[:, :min(q.shape[1], p.shape[1])]).argmax(axis=1)
     peak = unit_q[np.arange(len(q)), f]
-    reach = np.sqrt(np.maximum(0.0, (1 - t * t) * (1 - peak * peak))) + slack
-    need = np.zeros(len(unit_p), bool)
-    for axis in np.unique(f):
-        rows = f == axis
-        # Over all cosines from t to 1; a peak of at least t is itself within reach of its sign's end.
-        a, c, r = peak[rows], t[rows], reach[rows]
-        low = np.where(-a >= c, -1 - slack, a * c - r)
-        high = np.where(a >= c, 1 + slack, a * c + r)
-        x = unit_p[:, axis]
-        need |= (x >= low.min()) & (x <= high.max())
-    keep[np.flatnonzero(keep)[~need]] = False
+    reach = np.sqrt(np.maximum(0.0, (1 - t * t) * (1 - peak * peak))) + SLACK
+    # Over all cosines from t to 1; a peak of at least t is itself within reach of its sign's end.
+    low = np.where(-peak >= t, -1 - SLACK, peak * t - reach)
+    high = np.where(peak >= t, 1 + SLACK, peak * t + reach)
+    for i in range(len(q)):
+        x = unit_p[:, f[i]]
+        keep |= (x >= low[i]) & (x <= high[i]) & (p_norm >= t[i] * longest * (1 - SLACK))
     return keep
 
 
@@ -111,34 +117,36 @@ def _best(queries: pa.Table, bucket: pa.Table, k: int) -> pa.Table:
             "vec_id": pa.array([], bucket.schema.field("vec_id").type), "row": pa.array([], pa.int64()),
             "score": pa.array([], pa.int64()),
         })
-    bucket = bucket.sort_by([("norm", "descending"), ("row", "ascending")])
     q, p = _matrix(queries.column("vector")), _matrix(bucket.column("vector"))
     q_row, p_row = queries.column("row").to_numpy(), bucket.column("row").to_numpy()
     floor = queries.column("floor").to_pandas().fillna(-np.inf).to_numpy(np.float64)
-    keep = _survivors(q, queries.column("norm").to_numpy(), floor, p, bucket.column("norm").to_numpy())
-    if keep is not None:
-        p, p_row = p[keep], p_row[keep]
-        bucket = bucket.filter(pa.array(keep))
+    p_norm = bucket.column("norm").to_numpy()
+    by_length = np.argsort(-p_norm, kind="stable")
+    thresholds = _thresholds(queries.column("norm").to_numpy(), floor, float(p_norm.max()))
     # By id, so that the first of equal scores is the one that wins.
     ids = bucket.column("vec_id").to_pandas()
     by_id = np.lexsort((p_row, ids.fillna(0).to_numpy(), ids.isna().to_numpy()))
-    p, p_row = p[by_id], p_row[by_id]
     out_q, out_p, out_score = [], [], []
-    for at in range(0, len(q), 128):
-        scores = _products(q[at:at + 128], p)
-        hit = (scores >= floor[at:at + 128, None]) & (q_row[at:at + 128, None] != p_row[None, :])
+    alike = np.argsort(thresholds, kind="stable")
+    for at in range(0, len(q), TOGETHER):
+        some = alike[at:at + TOGETHER]
+        needed = np.zeros(len(p), bool)
+        needed[by_length] = _survivors(q[some], thresholds[some], p[by_length], p_norm[by_length])
+        rows = by_id[needed[by_id]]
+        scores = _products(q[some], p[rows])
+        hit = (scores >= floor[some, None]) & (q_row[some, None] != p_row[None, rows])
         who, what = np.nonzero(hit)
         score = scores[who, what]
         order = np.lexsort((what, -score, who))
         who, what, score = who[order], what[order], score[order]
         first = np.searchsorted(who, who)
         top = np.arange(len(who)) - first < k
-        out_q.append(who[top] + at)
-        out_p.append(what[top])
+        out_q.append(some[who[top]])
+        out_p.append(rows[what[top]])
         out_score.append(score[top])
     out_q = np.concatenate(out_q) if out_q else np.zeros(0, np.int64)
     found = np.concatenate(out_p) if out_p else np.zeros(0, np.int64)
-    chosen = bucket.column("vec_id").take(pa.array(by_id[found]))
+    chosen = bucket.column("vec_id").take(pa.array(found))
     return pa.table({
         "query_row": pa.array(q_row[out_q]), "query_id": queries.column("vec_id").take(pa.array(out_q)),
         "vec_id": chosen, "row": pa.array(p_row[found]),
@@ -190,9 +198,16 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = K, id_col: str =
     floors = seed.groupBy(F.col("query_row").alias("row")).agg(
         F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("floor")
     ).filter(F.col("n") >= k).drop("n")
-    # A bucket number that no vector has costs an empty group; there are few, as parts are even.
+    # One number per bucket; a query meets those whose longest vector could still reach its floor.
+    longest_of = checkpointed(ordered.groupBy("bucket").agg(F.max("norm").alias("longest")))
     every_bucket = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts * per_part - 1).cast("long"))).alias("bucket")
-    pairs = queries.join(floors, "row", "left").select("*", every_bucket).filter(F.col("bucket") != longest)
-    rest = _meet(pairs, ordered.filter(F.col("bucket") != longest).select("*", each_block), k)
+    reaches = F.col("floor").isNull() | (F.col("floor") <= F.col("norm") * F.col("longest") * (1 + SLACK))
+    pairs = (
+        queries.join(floors, "row", "left").select("*", every_bucket).filter(F.col("bucket") != longest)
+        .join(bounded(longest_of), "bucket").filter(reaches).drop("longest")
+    )
+    # Vectors go to the blocks that still want their bucket.
+    wanted = pairs.select("bucket", "block").distinct()
+    rest = _meet(pairs, ordered.join(wanted, "bucket"), k)
     found = seed.unionByName(rest)
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -175,3 +175,32 @@ def test_no_documents(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.one_per_component(none).count() == 0
+
+
+def test_pruning_saves_products_and_no_pairs(spark, monkeypatch):
+    """Lengths fall off, and queries lie near axes: most buckets and most vectors are never multiplied."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    axes = np.eye(6)[rng.integers(6, size=1500)] * np.geomspace(4000, 400, 1500)[:, None] + rng.normal(size=(1500, 6)) * 5
+    vectors = axes.astype(np.int64)
+    norms = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
+    table = pa.table({
+        "row": np.arange(1500), "vec_id": np.arange(1500), "vector": pa.array(vectors.tolist(), pa.list_(pa.int64())), "norm": norms,
+    })
+    scores = vectors @ vectors.T
+    floor = np.sort(np.where(np.eye(1500, dtype=bool), -(1 << 60), scores), axis=1)[:, -5].astype(float)
+    queries = table.append_column("floor", pa.array(floor)).slice(0, 300)
+    done = []
+    inner = topk._products
+    monkeypatch.setattr(topk, "_products", lambda q, p: done.append(len(q) * len(p)) or inner(q, p))
+    found = topk._best(queries, table, 5)
+    assert sum(done) < 0.6 * 300 * 1500
+    got = {}
+    for q, v, x in zip(found["query_row"].to_pylist(), found["row"].to_pylist(), found["score"].to_pylist(), strict=True):
+        got.setdefault(q, []).append((-x, v))
+    for q in range(300):
+        want = sorted((-int(scores[q, v]), v) for v in range(1500) if v != q)[:5]
+        assert sorted(got[q]) == want, q
+    # A bucket none of whose vectors is long enough is not met at all.
+    assert (topk._thresholds(norms[:300], floor[:300], 10.0) > 1).all()
