@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.util import SPACE, bounded, checkpointed, drop_rows, scratch_path
+from clausework.llm.util import SPACE, bounded, checkpointed, drop_rows, plain_names, scratch_path
 
 # Leading hash bits a directory may use: 2^18 slots, 4 MB when broadcast.
 DIRECTORY_BITS = 18
@@ -110,9 +110,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
+    names = docs.columns
+    docs, (id_col, text_col) = plain_names(docs, id_col, text_col)
     found = checkpointed(exact_duplicates(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"))
     pairs = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
     marked = checkpointed(pairs.select(F.col("doc_id").alias("__doc"), F.col("text_sha256").alias("__sha"), "stays", "n"))
     gone, twice = marked.filter("not stays").select("__doc", "__sha"), marked.filter("stays and n > 1").select("__doc", "__sha")
     keyed = docs.withColumns({"__doc": F.col(id_col), "__sha": F.sha2(normalised(F.col(text_col)), 256)})
-    return drop_rows(keyed, gone, twice)
+    return drop_rows(keyed, gone, twice).toDF(*names)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausework.llm.util import WORD, bounded, checkpointed, match, uniform
+from clausework.llm.util import WORD, bounded, checkpointed, match, plain_names, uniform
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -223,6 +223,8 @@ def _copies_of(i: Column, copies: Column, n: Column) -> Column:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it, all columns kept."""
+    names = docs.columns
+    docs, (id_col, text_col, source_col) = plain_names(docs, id_col, text_col, source_col)
     made = checkpointed(decide(sizes(docs, id_col, text_col, source_col), weights, cap, seed))
     words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
     keyed = docs.withColumns({"__source": F.col(source_col), "__doc": F.col(id_col), "__size": words})
@@ -243,4 +245,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     # The largest number of copies of one row is the cap.
     return out.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop(
         *on, "__copies", "__again"
-    )
+    ).toDF(*names)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clausework.llm.toxicity import labelled
-from clausework.llm.util import fold_of, small_batches
+from clausework.llm.util import fold_of, plain_names, small_batches
 
 FOLDS, HELD_OUT = 4, 2
 # Labelled rows that vectors are made of, at most.
@@ -225,6 +225,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def good_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``; all columns kept."""
-    # The score rides along under a name of its own.
-    scored = _with_scores(docs, model, text_col, docs.columns, "__score")
-    return scored.filter(F.col("__score") >= threshold).drop("__score")
+    plain, (text,) = plain_names(docs, text_col)
+    scored = _with_scores(plain, model, text, plain.columns, "score")
+    return scored.filter(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausework.llm.util import bounded, checkpointed, drop_rows, small_batches, text_key
+from clausework.llm.util import bounded, checkpointed, drop_rows, plain_names, small_batches, text_key
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 # Members of a cell that one task compares; larger cells are split.
@@ -260,6 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, that with the smallest id; all columns kept."""
+    names = docs.columns
+    docs, (id_col, text_col) = plain_names(docs, id_col, text_col)
     found = checkpointed(grouped(docs, id_col, text_col).select("doc_id", "key", "root"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     heads = found.groupBy("root").agg(F.min(rank).alias("head"))
@@ -268,4 +270,5 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "n", (rank == F.col("head")).alias("stays")
     ))
     gone, twice = marked.filter("not stays").select("__doc", "__key"), marked.filter("stays and n > 1").select("__doc", "__key")
-    return drop_rows(docs.withColumns({"__doc": F.col(id_col), "__key": text_key(F.col(text_col))}), gone, twice)
+    keyed = docs.withColumns({"__doc": F.col(id_col), "__key": text_key(F.col(text_col))})
+    return drop_rows(keyed, gone, twice).toDF(*names)

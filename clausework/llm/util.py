@@ -22,6 +22,15 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def plain_names(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns named by place, so that no helper column can clash, and what ``names`` are called there.
+
+    ``toDF(*docs.columns)`` gives the names back.
+    """
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*plain), [plain[docs.columns.index(n)] for n in names]
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and all rows its predecessor kept. All but the last return
 the columns of ``docs``; a document that the mix takes several times is there several times.
+
+Defined results
+  null or empty text    scored like any other; equal to one another; size 0 in the mix; the end id alone when packed
+  null doc_id           never labelled, otherwise a document like any other
+  repeated rows, ties   the row with the smallest doc_id stays (null last), of equal rows one
+  very long texts       whole in every stage
+  empty table           no rows from any stage
+  other columns         kept under whatever name, up to the last stage
 """
 
 from __future__ import annotations

@@ -57,3 +57,27 @@ def test_run_is_all_stages(spark):
     done = corpus_pipeline.run(spark, FOLDER)
     assert done.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert done.count() > 0
+
+
+CLASHING = [f"__{n}" for n in "score source doc size copies again n i sha key".split()] + ["c0", "kept", "root"]
+ODD = [(None, "no id here", "a"), (1, None, None), (2, "", "a"), (3, "same words", "b"), (3, "same words", "b"), (4, "same  words", "b"),
+       (5, "long " * 30_000, None), (None, None, None)]
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark):
+    schema = ", ".join(["doc_id long", "text string", "source string", *[f"`{n}` string" for n in CLASHING]])
+    docs = spark.createDataFrame([(*r, *[f"{n}{i}" for n in CLASHING]) for i, r in enumerate(ODD)], schema)
+    every = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        # No document has a label, so every score is one half.
+        out = quality.good_documents(docs, quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int")), threshold=0.5) \
+            if name == "quality" else stage(spark, docs, FOLDER)
+        rows = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and rows and set(rows) <= every, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= len(ODD)
+
+
+def test_stages_of_no_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, FOLDER).count() == 0
