@@ -28,6 +28,7 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,8 +53,8 @@ DISCOUNT = 0.75
 PASSAGES, PAIRS = (4,), 2
 FEATURES = 1 + len(PASSAGES)
 THRESHOLD = 0.5
-# Distinct words a task keeps in each of two generations, words judged at a time, texts split at a time.
-CACHE_WORDS, WORDS, TEXTS = 250_000, 20_000, 500
+# Distinct words a worker keeps in each of two generations, some 100 MB each, words judged at a time, texts split at a time.
+CACHE_WORDS, WORDS, TEXTS = 500_000, 20_000, 500
 _M = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _POWERS = np.array([pow(_M, j, 1 << 64) for j in range(max(ORDERS))], np.uint64)
@@ -140,6 +141,7 @@ class Model:
     # Rows of (toxic, ordinary) occurrences, then of the part of them that its pairs keep after discounting.
     head_counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.float64))
     curve: tuple[float, ...] = (0.0,) * (1 + FEATURES)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @staticmethod
     def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -199,7 +201,7 @@ class Model:
 
 
 class Scorer:
-    """Features of texts; distinct words are judged once while they are in a task's two cache generations."""
+    """Features of texts; distinct words are judged once while they are in one of two cache generations."""
 
     def __init__(self, model: Model):
         self.model, self.young, self.old = model, {}, {}
@@ -245,10 +247,22 @@ class Scorer:
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        """Probability of each text."""
         weights = np.array(self.model.curve)
         return 1 / (1 + np.exp(-np.clip(weights[0] + self.features(texts) @ weights[1:], -30, 30)))
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """A worker process keeps the scorer of the model it used last, with its cache, for the tasks it runs later."""
+    if model.name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.name] = Scorer(model)
+    return _SCORERS[model.name]
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> tuple[float, ...]:
     """Logistic regression by Newton steps, on standardised features."""
     if not len(y) or y.min() == y.max():
@@ -403,9 +417,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def curve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared_model.value)
+        own = Scorer(shared_model.value)
         for batch in batches:
-            x = scorer.features(batch.column("text"))
+            x = own.features(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     rest = sample.filter(fold == CURVE_FOLD).select("label", "text").mapInArrow(curve_rows, "label int, x array<double>").toArrow()
@@ -420,10 +434,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        own = scorer(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "score": scorer.scores(batch.column("text")),
+                "doc_id": batch.column("doc_id"), "score": own.scores(batch.column("text")),
             })
 
     found = small_batches(rows).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
