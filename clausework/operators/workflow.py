@@ -188,17 +188,17 @@ def replay_with_etags(
     segment = [key, "version_number"]
     tagged = kind.isin(SUBMIT, APPROVE) & (F.coalesce(F.col(if_match), F.lit("")) != "")
     hot = None if hot_contracts is None else UNKNOWN
-    rows = checkpointed(running(
+    # Both branches below read the same exchange of the commands by contract.
+    rows = running(
         rows, segment, order, {"_tagged": Carry("total", F.when(tagged, 1).otherwise(0))}, rows_per_task, hot
-    ))
+    )
     # The versions that need their tags settled command by command, and all the rest.
     open_rows = rows.filter("_tagged > 0 AND version_number > 0")
     done = _closed_replay(rows.filter(before_any | (F.col("_tagged") == 0)), segment, order, command, if_match, rows_per_task, hot).select(*out, "_v0")
-    if open_rows.take(1):
-        cold, hot, _ = split_hot(open_rows, segment, rows_per_task, hot=hot)
-        done = done.unionByName(_sorted_replay(cold, segment, order, command, if_match).select(*out, "_v0"))
-        if hot is not None:
-            done = done.unionByName(_joined_replay(hot, segment, order, command, if_match, rows_per_task).select(*out, "_v0"))
+    cold, hot, _ = split_hot(open_rows, segment, rows_per_task, hot=hot)
+    done = done.unionByName(_sorted_replay(cold, segment, order, command, if_match).select(*out, "_v0"))
+    if hot is not None:
+        done = done.unionByName(_joined_replay(hot, segment, order, command, if_match, rows_per_task).select(*out, "_v0"))
     return done.filter("_v0 IS NULL").drop("_v0")
 
 
