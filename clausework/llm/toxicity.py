@@ -46,7 +46,7 @@ FOLDS, HELD_OUT = 5, 0
 # Of the other folds, this one fits the logistic curve; the rest give the counts.
 CURVE_FOLD = 4
 # Labelled rows that the class counts and the curve are fitted on, at most, and their characters.
-FIT_ROWS, FIT_CHARS = 20_000, 40_000_000
+FIT_ROWS, FIT_CHARS = 20_000, 20_000_000
 ORDERS = (7, 5, 3)
 DISCOUNT = 0.75
 # Words of passages, and occurrences from which a pair of words counts as one.
