@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from clausework.functions.text import chunk_documents
-from clausework.operators.reconcile import candidates, merge_candidates, reconciled
+from clausework.operators.reconcile import by_shuffle, candidates, merge_candidates, reconciled
 from clausework.operators.scan import ROWS_PER_TASK
 from clausework.operators.workflow import OUTCOME, STATE, command_step, end_states, replay, replay_with_etags
 from clausework.plans.enrich import replies_from_rules
@@ -132,7 +132,7 @@ def replies_into(
             now = parameter_rows(won.withColumn("first_no", F.struct("first_no", F.col("item_no").alias("winner"))))
             now = now.withColumns({"winner": F.col("item_no.winner"), "item_no": F.col("item_no.first_no")})
             had = old.select(*GROUP, "winner", F.col("vector_embed").alias("_had"), F.lit(True).alias("_known"))
-            both = checkpointed(now.join(had, [*GROUP, "winner"], "left"))
+            both = checkpointed(by_shuffle(now, had, [*GROUP, "winner"], "left"))
             same = both.filter("_known").withColumn("vector_embed", F.col("_had")).select(*old.columns)
             new = embedded(both.filter("_known IS NULL").drop("_had", "_known"), embedder)
             return same.unionByName(new.select(*old.columns))

@@ -151,3 +151,19 @@ def test_only_rows_with_a_new_winner_are_embedded(spark, tmp_path):
     _, table = jobs.reply_tables(spark, out, query.id, 2)
     assert {(r.parameter_key, r.original_extract, r.vector_embed[0]) for r in table.read().collect()} == {("a", "xx", 2.0), ("b", "longer", 6.0)}
     assert counts[1] - counts[0] == 1 and counts[0] == 2
+
+
+def test_stored_replies_are_joined_without_broadcast(spark, tmp_path, monkeypatch, plan):
+    """However small the files of candidates and vectors are: in memory they are far larger."""
+    plans, inner = [], jobs.checkpointed
+    monkeypatch.setattr(jobs, "checkpointed", lambda df: plans.append(plan(df)) or inner(df))
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = list(replies(random.Random(5)))
+    for part in (rows[::2], rows[1::2]):
+        query = jobs.replies_into(arrive(spark, source, part, REPLIES), out, state, buckets=2)
+        query.awaitTermination()
+    assert "SortMergeJoin" in plans[-1] and not any("Broadcast" in p for p in plans)
+    batch = parameters_from_replies(spark.read.schema(REPLIES).parquet(source))
+    assert "SortMergeJoin" in plan(batch) and "Broadcast" not in plan(batch)
+    _, table = jobs.reply_tables(spark, out, query.id, 2)
+    assert result(table.read()) == result(batch)
