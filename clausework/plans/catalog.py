@@ -361,11 +361,13 @@ def guessed_tags(log: DataFrame) -> DataFrame:
     ).drop("_n")
 
 
-def file_stream(t, name: str) -> DataFrame:
-    schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option(
-        "maxFilesPerTrigger", 1
-    ).parquet(t.folder)
+def file_stream(t, name: str, files_per_batch: int = 64) -> DataFrame:
+    """A table as a stream of its files: one file, or a folder of them.
+
+    The path is a pattern, as a streaming source takes a plain path for a folder.
+    """
+    reader = t.spark.readStream.schema(getattr(t, name).schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{t.folder}/{{{name}}}.parquet")
 
 
 @query(replay_sql("NULL::VARCHAR", REPLAY_COLUMNS, "CASE WHEN seq % 3 = 0 THEN 'PENDING_APPROVAL' ELSE 'STAGED_DRAFT' END"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clausework.operators import scan
 from clausework.operators.workflow import command_step, end_states, replay, replay_with_etags
+from clausework.plans.catalog import QUERIES
 from clausework.plans.extract import parameters_from_replies
 from clausework.streaming import jobs
 from test_workflow import LOG, outcome, random_log
@@ -167,3 +168,26 @@ def test_stored_replies_are_joined_without_broadcast(spark, tmp_path, monkeypatc
     assert "SortMergeJoin" in plan(batch) and "Broadcast" not in plan(batch)
     _, table = jobs.reply_tables(spark, out, query.id, 2)
     assert result(table.read()) == result(batch)
+
+
+def test_a_stream_of_a_table_takes_all_its_files(spark, tmp_path):
+    """Whether the table is one file or a folder of them."""
+    documents = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("body "), F.col("id").cast("string")).alias("text"),
+        F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.lit(7).alias("n_chars"),
+    )
+    got = []
+    for files in (5, 1):
+        folder = tmp_path / f"files{files}"
+        documents.repartition(files).write.parquet(str(folder / "documents.parquet"))
+        if files == 1:  # beside a table of another name
+            (part,) = (folder / "documents.parquet").glob("part-*")
+            folder = tmp_path / "plain"
+            folder.mkdir()
+            part.rename(folder / "documents.parquet")
+            documents.limit(3).write.parquet(str(folder / "documents_old.parquet"))
+        got.append(sorted(map(tuple, QUERIES["stream_extract"](spark, str(folder)).collect())))
+    assert got[0] == got[1] == sorted(
+        (str(i), 1, key, value) for i in range(40)
+        for key, value in (("Payment Terms", "net 7"), ("Governing Law", "state of en"), ("Effective Date", f"s{i}"))
+    )
