@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# Only texts of this form can stand for a falsy value or need Python's spelling.
-_MAYBE_NOT_TEXT = "^(-?[0-9][0-9.eE+-]*|true|false|\\[\\]|\\{\\})$"
+# With up to 15 digits and from 1e-4 up, Python spells a decimal without needless zeros just so.
+_PLAIN_FLOAT = "^-?(0[.](?!0000)|[1-9][0-9]*[.])([0-9]*[1-9]|0)$"
+# And these with an exponent, whose spelling alone differs.
+_EXPONENT_FLOAT = "^-?[0-9][.][0-9]{1,14}E(-[5-9]|-[1-9][0-9]|1[6-9]|[2-9][0-9]|[1-9][0-9][0-9])$"
+_SHORT_INTEGER = "^-?[0-9]{1,18}$"
 
 
 def _python_float_by_trial(x: Column) -> Column:
@@ -33,7 +36,7 @@ def python_float(x: Column) -> Column:
     just its exponent has to move; the rest is tried out. Spelled inside arrays, which keeps the long
     expression out of the generated code.
     """
-    def spelled(text: Column) -> Column:
+    def spelled(x: Column, text: Column) -> Column:
         size, digits = F.abs(x), F.substring_index(text, "E", 1)
         power = F.substring_index(text, "E", -1).try_cast("int")
         pair = F.abs(power).cast("string")
@@ -48,29 +51,51 @@ def python_float(x: Column) -> Column:
             .otherwise(exponent)
         )
 
-    return F.get(F.transform(F.array(x.cast("string")), spelled), F.lit(0))
+    # The number and its spelling are made once and then named, not once for each place they stand in.
+    pair = F.array(F.struct(x.alias("x"), x.cast("string").alias("text")))
+    return F.get(F.transform(pair, lambda v: spelled(v["x"], v["text"])), F.lit(0))
 
 
-def _text_or_null(field: Column, text: Column) -> Column:
-    """The field as text; null when missing or falsy (null, '', 0, false, [], {})."""
-    # Costly for nested values, so it runs only where the text leaves a doubt.
-    kind = F.schema_of_variant(field)
-    is_number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    falsy = (
-        (is_number & (text.try_cast("double") == 0))
-        | ((kind == "BOOLEAN") & (text == "false"))
-        | (kind.startswith("ARRAY") & (text == "[]"))
-        | (kind.startswith("OBJECT") & (text == "{}"))
+def _moved_exponent(text: Column) -> Column:
+    """Python's spelling of what ``_EXPONENT_FLOAT`` fits: 1.0E-7 is 1e-07, 2.5E20 is 2.5e+20."""
+    short, one_digit = F.replace(text, F.lit(".0E"), F.lit("E")), F.substring(text, -2, 1) == "-"
+    return (
+        F.when(one_digit, F.replace(short, F.lit("E-"), F.lit("e-0")))
+        .when(short.contains("E-"), F.replace(short, F.lit("E-"), F.lit("e-")))
+        .otherwise(F.replace(short, F.lit("E"), F.lit("e+")))
+    )
+
+
+def _float_text(json: Column) -> Column:
+    """A number with point or exponent as Python spells it. What is usual needs no more than a look at the text."""
+    x = json.try_cast("double")
+    java = x.cast("string")
+    return (
+        F.when((F.length(json) <= 16) & json.rlike(_PLAIN_FLOAT), json)
+        .when(json.rlike(_EXPONENT_FLOAT), _moved_exponent(json))
+        .when(json.contains("0.0000") & java.rlike(_EXPONENT_FLOAT), _moved_exponent(java))
+        .otherwise(python_float(x))
+    )
+
+
+def _text_or_null(field: Column, json: Column) -> Column:
+    """A field, of which ``json`` is the JSON, as text; null when missing or falsy (null, '', 0, false, [], {})."""
+    # Only a string can hold a backslash; any other is what stands between the quotes.
+    string = F.when(json.contains("\\"), F.try_variant_get(field, "$", "string")).otherwise(
+        F.substring(json, F.lit(2), F.length(json) - 2)
     )
-    # Integers stay as they are; those too long for a bigint come as decimals without a point.
-    is_float = kind.rlike("^(DOUBLE|FLOAT)") | (kind.startswith("DECIMAL") & (text.contains(".") | (F.length(text) < 19)))
+    zero = (json.startswith("0") | json.startswith("-0")) & (json.try_cast("double") == 0)
     return (
-        F.when(text.isNull() | (text == ""), F.lit(None))
-        .when(~text.rlike(_MAYBE_NOT_TEXT), text)
-        .when(falsy, F.lit(None))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(is_float, python_float(text.try_cast("double")))
-        .otherwise(text)
+        F.when(json.isNull() | json.isin("null", '""', "false", "[]", "{}"), F.lit(None))
+        .when(json.startswith('"'), string)
+        .when(json == "true", F.lit("True"))
+        .when(json.startswith("[") | json.startswith("{"), json)
+        .when(zero, F.lit(None))
+        .when(json.contains(".") | json.contains("E"), _float_text(json))
+        # Integers stay as they are; those too long for a bigint come as decimals without a point, as whole floats do.
+        # Their type is costly to ask for.
+        .when(json.rlike(_SHORT_INTEGER) & F.schema_of_variant(field).startswith("DECIMAL"), python_float(json.try_cast("double")))
+        .otherwise(json)
     )
 
 
@@ -100,9 +125,9 @@ def reply_items(replies: DataFrame, response: str = "response") -> DataFrame:
         replies.select(*others, parsed.alias("_reply"))
         .select(*others, F.inline(objects))
         .select(*others, "pos", *[F.col(f"_fields.{n}").alias(f"_{n}") for n in (*names, "spatial")])
-        .select("*", *[F.try_variant_get(F.col(f"_{n}"), "$", "string").alias(f"_{n}_text") for n in names])
+        .select("*", *[F.to_json(f"_{n}").alias(f"_{n}_json") for n in names])
     )
-    key, name, value = [_text_or_null(F.col(f"_{n}"), F.col(f"_{n}_text")) for n in names]
+    key, name, value = [_text_or_null(F.col(f"_{n}"), F.col(f"_{n}_json")) for n in names]
     return exploded.select(
         *others,
         "pos",

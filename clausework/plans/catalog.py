@@ -682,18 +682,17 @@ def long_paragraph_slices(t):
 def line_replies(t) -> DataFrame:
     """One stored reply per line item: well-formed in several shapes, or not."""
     key, name, number = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber").cast("string")
-    shape = F.get(
-        F.array(
-            F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": '), number,
-                     F.lit(', "spatial": {"page": '), number, F.lit(', "x_min": 1.5}}, 5, {"name": "'), name, F.lit('", "value": "'), number, F.lit('"}]}')),
-            F.concat(F.lit('[{"value": "'), name, F.lit('"}, null, {"key": 0, "name": "", "value": [1, "'), key, F.lit('"]}]')),
-            F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": 0}')),
-            F.concat(F.lit('{"parameters": {"'), key, F.lit('": {}}}')),
-            F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": false}, {"key": "t", "value": true}, '
-                     '{"value": 1e-7}, {"value": 1e20}, {"value": 0.00001}, {"value": 1.5e2}, {"value": 12345678.25}, {"value": 0.0001}, {"value": -2.50}]}')),
-        ),
-        (F.col("l_partkey") % 5).cast("int"),
+    forms = (
+        F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": '), number,
+                 F.lit(', "spatial": {"page": '), number, F.lit(', "x_min": 1.5}}, 5, {"name": "'), name, F.lit('", "value": "'), number, F.lit('"}]}')),
+        F.concat(F.lit('[{"value": "'), name, F.lit('"}, null, {"key": 0, "name": "", "value": [1, "'), key, F.lit('"]}]')),
+        F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": 0}')),
+        F.concat(F.lit('{"parameters": {"'), key, F.lit('": {}}}')),
+        F.concat(F.lit('{"parameters": [{"key": "'), key, F.lit('", "value": false}, {"key": "t", "value": true}, '
+                 '{"value": 1e-7}, {"value": 1e20}, {"value": 0.00001}, {"value": 1.5e2}, {"value": 12345678.25}, {"value": 0.0001}, {"value": -2.50}]}')),
     )
+    # Of the five forms only a line's own is put together.
+    shape = F.coalesce(*[F.when(F.col("l_partkey") % 5 == i, form) for i, form in enumerate(forms)])
     lines = t.spread("lineitem", *LINE, "l_returnflag", "l_linestatus")
     return lines.select("l_orderkey", big("l_linenumber"), "l_partkey", "l_suppkey", shape.alias("response"))
 

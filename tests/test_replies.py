@@ -113,6 +113,23 @@ def test_numbers_are_spelled_like_python(spark):
     assert not different
 
 
+def test_strings_and_whole_floats_keep_their_kind(spark):
+    import json
+
+    values = ['"0"', '"1.50"', '"1e5"', '"a\\"b"', '"\\\\"', '"\\u00e9\\n"', '"null"', '"[]"', "100.0", "100", "-754260373148249783.0", "754260373148249783.0",
+              "754260373148249783", "0.00001", "-0.00002", "1.25e-10", "1e100", "2.5E+20", "-0.0", "0e5", "[]", "{}", "[1]", "true", "false", "null"]
+    df = spark.createDataFrame([(i, f'[{{"value": {v}}}]') for i, v in enumerate(values)], "id int, response string")
+    got = {r.id: r.value for r in reply_items(df).collect()}
+    assert got == {i: str(json.loads(v)) if json.loads(v) else "" for i, v in enumerate(values)}
+
+
+def test_the_type_of_a_field_is_asked_once(spark, plan):
+    """Once for each of key, name and value, however often the plan looks at them."""
+    df = spark.createDataFrame([('[{"value": 1}]',)], "response string")
+    project = next(x for x in plan(reply_items(df)).split("\n\n") if "schemaOfVariant" in x)
+    assert project.count("schemaOfVariant(") == 3
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
 def test_parsing_stays_in_generated_code(spark):
     spark.conf.set("spark.sql.codegen.fallback", "false")  # code that cannot be compiled is an error
