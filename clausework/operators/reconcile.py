@@ -25,8 +25,7 @@ def reconcile(
     are read twice. ``first_no`` is where the key first appeared.
     """
     group = [*owner, key]
-    usable = items.withColumn("_len", F.length(trimmed(F.col(value)))).filter(F.col("_len") > 0)
-    firsts = usable.groupBy(*group, "_len").agg(
+    firsts = measured(items, value).groupBy(*group, "_len").agg(
         F.min(order).alias("_no"), F.min_by(F.length(value), order).alias("_raw")
     )
     return by_shuffle(items, _winners(firsts, group).withColumnRenamed("_winner", order), [*group, order])
@@ -64,12 +63,19 @@ def candidates(items: DataFrame, group: list[str], value: str = "value", order:
 
     All but the ``group`` columns and ``order`` come as columns of the first item, next to its ``_len``.
     """
-    usable = items.withColumn("_len", F.length(trimmed(F.col(value)))).filter(F.col("_len") > 0)
-    return _firsts(usable, group, order).select(*group, "_len", *[c for c in items.columns if c not in group])
+    return _firsts(measured(items, value), group, order).select(*group, "_len", *[c for c in items.columns if c not in group])
+
+
+def measured(items: DataFrame, value: str = "value") -> DataFrame:
+    """Items with text, and its trimmed length as ``_len``."""
+    return items.withColumn("_len", F.length(trimmed(F.col(value)))).filter(F.col("_len") > 0)
 
 
 def merge_candidates(stored: DataFrame, arrived: DataFrame, group: list[str], order: str = "item_no") -> DataFrame:
-    """Candidates of all items, from those of two parts; a part that arrives twice changes nothing."""
+    """Candidates of all items, from stored ones and those, or all measured items, of a new part.
+
+    Either way equal lengths are combined map-side; a part that arrives twice changes nothing.
+    """
     return _firsts(stored.unionByName(arrived.select(*stored.columns)), group, order).select(*stored.columns)
 
 

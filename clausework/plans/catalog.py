@@ -759,6 +759,7 @@ def stream_replies(t):
         F.col("l_orderkey").cast("string").alias("contract_id"), F.lit(1).alias("version_number"),
         F.row_number().over(place).alias("chunk_no"), "response",
     )
+    replies = extract.stored(replies, "replies")
     feed_, out, checkpoint = (scratch_path(t.spark, f"replies-{n}") for n in ("feed", "rows", "checkpoint"))
     for part in (2, 0, 1):
         replies.filter(F.col("chunk_no") % 3 == part).write.mode("append").parquet(feed_)

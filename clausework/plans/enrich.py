@@ -43,14 +43,22 @@ def embed_hashing(df: DataFrame, text: str, target: str, width: int = VECTOR_WID
 
     A text without words gets the zero vector, a missing text none.
     """
+    return hash_words(df, text, "_unit", width).withColumn(target, plain_vector(F.col("_unit"))).drop("_unit")
+
+
+def hash_words(df: DataFrame, text: str, target: str, width: int = VECTOR_WIDTH) -> DataFrame:
+    """The vectors of ``embed_hashing`` as sparse ones, which take the room of a text's words, not of ``width``."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     counted = HashingTF(numFeatures=width, inputCol="_words", outputCol="_counts").transform(
         df.withColumn("_words", words)
     )
-    unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
-    return unit.withColumn(
-        target, F.when(F.col(text).isNotNull(), vector_to_array("_unit", "float32"))
-    ).drop("_words", "_counts", "_unit")
+    unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_scaled").transform(counted)
+    return unit.withColumn(target, F.when(F.col(text).isNotNull(), F.col("_scaled"))).drop("_words", "_counts", "_scaled")
+
+
+def plain_vector(sparse: Column) -> Column:
+    """A sparse vector with all its places, as an array; null if there is none."""
+    return F.when(sparse.isNotNull(), vector_to_array(sparse, "float32"))
 
 
 def prompts(chunk: Column, keys: list[str] | Column | None = None) -> Column:

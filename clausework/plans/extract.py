@@ -61,8 +61,8 @@ def numbered_items(replies: DataFrame) -> DataFrame:
     )
 
 
-def parameter_rows(kept: DataFrame) -> DataFrame:
-    """Reconciled items as new parameter rows, without id and vector."""
+def parameter_rows(kept: DataFrame, *more: str) -> DataFrame:
+    """Reconciled items as new parameter rows, without id and vector; columns named in ``more`` stay."""
     return kept.select(
         *OWNER,
         "parameter_key",
@@ -73,6 +73,7 @@ def parameter_rows(kept: DataFrame) -> DataFrame:
         "spatial_json",
         F.lit(1.0).alias("combined_score"),
         F.col("first_no").alias("item_no"),
+        *more,
     )
 
 

@@ -21,12 +21,18 @@ _MANIFEST = "buckets int, bucket int, held_in long"
 
 
 class BucketedTable:
-    """A table at ``path`` with columns ``schema`` (DDL), bucketed by ``key`` and sorted by ``order`` within files."""
+    """A table at ``path`` with columns ``schema`` (DDL), bucketed by ``key`` and sorted by ``order`` within files.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], order: list[str] | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), list(key), buckets
+    ``shown`` makes what ``read`` gives of rows as they are stored; changes deal with them as stored.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, schema: str | T.StructType, key: list[str], order: list[str] | None = None,
+        buckets: int = BUCKETS, shown: Callable[[DataFrame], DataFrame] | None = None,
+    ):
+        self.spark, self.path, self.key, self.buckets, self.shown = spark, path.rstrip("/"), list(key), buckets, shown
         self.order = list(order or key)
-        self.schema = T.StructType.fromDDL(schema)
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
@@ -58,6 +64,10 @@ class BucketedTable:
 
     def read(self, version: int | None = None, only: set[int] | None = None) -> DataFrame:
         """The rows of a version (by default the last), of some buckets or of all; empty if there is no version."""
+        rows = self._stored(version, only)
+        return self.shown(rows) if self.shown else rows
+
+    def _stored(self, version: int | None = None, only: set[int] | None = None) -> DataFrame:
         held = {b: v for b, v in self.folders(version).items() if only is None or b in only}
         if not held:
             return self.spark.createDataFrame([], self.schema)
@@ -78,11 +88,11 @@ class BucketedTable:
 
         return self.update(replaced, changes, version)
 
-    def update(self, change: Callable[[DataFrame], DataFrame], keys: DataFrame, version: int | None = None) -> int:
-        """``change`` applied to the buckets that hold ``keys``; it must leave rows in their buckets."""
+    def update(self, change: Callable[[DataFrame], DataFrame], keys: DataFrame | set[int], version: int | None = None) -> int:
+        """``change`` applied to the buckets that hold ``keys``, or to these buckets; it must leave rows in their buckets."""
         last = self.version(version)
-        only = self.touched(keys)
-        stored = self.read(last, only) if last is not None else self.spark.createDataFrame([], self.schema)
+        only = keys if isinstance(keys, set) else self.touched(keys)
+        stored = self._stored(last, only) if last is not None else self.spark.createDataFrame([], self.schema)
         return self._commit(change(stored), only, version)
 
     def _commit(self, rows: DataFrame, only: set[int] | None, version: int | None) -> int:

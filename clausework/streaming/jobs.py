@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from clausework.functions.text import chunk_documents
-from clausework.operators.reconcile import by_shuffle, candidates, merge_candidates, reconciled
+from clausework.operators.reconcile import by_shuffle, measured, merge_candidates, reconciled
 from clausework.operators.scan import ROWS_PER_TASK
 from clausework.operators.workflow import OUTCOME, STATE, command_step, end_states, replay, replay_with_etags
-from clausework.plans.enrich import replies_from_rules
+from clausework.plans.enrich import hash_words, plain_vector, replies_from_rules
 from clausework.plans.extract import OWNER, embedded, numbered_items, parameter_rows, parameters_from_replies, stored
 from clausework.schemas import CHUNK_CHARS
 from clausework.session import checkpointed
@@ -27,6 +28,7 @@ ROWS = (
     "original_extract STRING, user_override STRING, spatial_json STRING, combined_score DOUBLE, item_no LONG, "
     "vector_embed ARRAY<FLOAT>, winner LONG"
 )
+SPARSE = "vector_sparse"
 GROUP = [*OWNER, "parameter_key"]
 
 
@@ -94,13 +96,29 @@ def workflow_into(
 
 
 def reply_tables(spark: SparkSession, path: str, run: str, buckets: int = BUCKETS) -> tuple[BucketedTable, BucketedTable]:
-    """Candidates and parameter rows of a stream of replies; one version of each per micro-batch."""
-    return tuple(
-        BucketedTable(spark, f"{path}/{name}/run={run}", schema, ["contract_id"], order, buckets)
-        for name, schema, order in (("candidates", CANDIDATES, [*GROUP, "_len"]), ("rows", ROWS, [*OWNER, "item_no"]))
+    """Candidates and parameter rows of a stream of replies; one version of each per micro-batch.
+
+    A stored row has its vector in one of two columns: sparse if it is the built-in embedder's, as an array if it is a
+    model's. Whoever reads the rows gets arrays.
+    """
+    def place(name):
+        return f"{path}/{name}/run={run}"
+
+    schema = T.StructType.fromDDL(ROWS).add(SPARSE, VectorUDT())
+    return (
+        BucketedTable(spark, place("candidates"), CANDIDATES, ["contract_id"], [*GROUP, "_len"], buckets),
+        BucketedTable(spark, place("rows"), schema, ["contract_id"], [*OWNER, "item_no"], buckets, with_plain_vectors),
     )
 
 
+def with_plain_vectors(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("vector_embed", F.coalesce("vector_embed", plain_vector(F.col(SPARSE)))).drop(SPARSE)
+
+
+def with_sparse_vectors(rows: DataFrame) -> DataFrame:
+    return hash_words(rows, "original_extract", SPARSE)
+
+
 def replies_into(
     replies: DataFrame,
     path: str,
@@ -120,24 +138,25 @@ def replies_into(
         spark = batch.sparkSession
         kept, rows = reply_tables(spark, path, run_of(batch), buckets)
         items = numbered_items(batch.select(*OWNER, "chunk_no", "response"))
-        items = items.select(*GROUP, "item_no", "value", F.to_json("spatial").alias("spatial_json"))
-        arrived = checkpointed(candidates(items, GROUP))
-        if arrived.isEmpty():
+        # Items are stored as they are parsed: a filter by their text would be pushed below, and parse it again for
+        # every place where it is named.
+        items = stored(items.select(*GROUP, "item_no", "value", F.to_json("spatial").alias("spatial_json")), "items")
+        arrived = measured(items)
+        touched = kept.touched(arrived)
+        if not touched:
             return
-        kept.update(lambda old: merge_candidates(old, arrived, GROUP), arrived, batch_id)
-        known = kept.read(batch_id, kept.touched(arrived))
+        kept.update(lambda old: merge_candidates(old, arrived, GROUP), touched, batch_id)
+        known = kept.read(batch_id, touched)
 
         def renewed(old: DataFrame) -> DataFrame:
-            won = reconciled(known, GROUP)
-            now = parameter_rows(won.withColumn("first_no", F.struct("first_no", F.col("item_no").alias("winner"))))
-            now = now.withColumns({"winner": F.col("item_no.winner"), "item_no": F.col("item_no.first_no")})
-            had = old.select(*GROUP, "winner", F.col("vector_embed").alias("_had"), F.lit(True).alias("_known"))
-            both = checkpointed(by_shuffle(now, had, [*GROUP, "winner"], "left"))
-            same = both.filter("_known").withColumn("vector_embed", F.col("_had")).select(*old.columns)
-            new = embedded(both.filter("_known IS NULL").drop("_had", "_known"), embedder)
-            return same.unionByName(new.select(*old.columns))
-
-        rows.update(renewed, arrived, batch_id)
+            won = reconciled(known, GROUP).withColumnRenamed("item_no", "winner")
+            had = old.select(*GROUP, "winner", "vector_embed", SPARSE, F.lit(True).alias("_known"))
+            both = checkpointed(by_shuffle(won, had, [*GROUP, "winner"], "left"))
+            same = parameter_rows(both.filter("_known"), "winner", "vector_embed", SPARSE)
+            new = parameter_rows(both.filter("_known IS NULL"), "winner")
+            return same.unionByName(embedded(new, embedder or with_sparse_vectors), allowMissingColumns=True)
+
+        rows.update(renewed, touched, batch_id)
 
     return _start(replies, land, checkpoint)
 

@@ -191,3 +191,38 @@ def test_a_stream_of_a_table_takes_all_its_files(spark, tmp_path):
         (str(i), 1, key, value) for i in range(40)
         for key, value in (("Payment Terms", "net 7"), ("Governing Law", "state of en"), ("Effective Date", f"s{i}"))
     )
+
+
+def test_replies_are_parsed_once_and_filtered_after(spark, tmp_path, monkeypatch, plan):
+    """A filter below the parsed columns would parse again for every place where it names them."""
+    plans, inner = [], jobs.stored
+    monkeypatch.setattr(jobs, "stored", lambda df, name: plans.append(plan(df)) or inner(df, name))
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [("c", 1, 0, '[{"key": "a", "value": " x "}, {"key": "b", "value": "  "}, {"key": "d", "value": ""}]')]
+    query = jobs.replies_into(arrive(spark, source, rows, REPLIES), out, state, buckets=2)
+    query.awaitTermination()
+    assert len(plans) == 1 and "Generate" in plans[0] and "Filter" not in plans[0]
+    _, table = jobs.reply_tables(spark, out, query.id, 2)
+    assert [(r.parameter_key, r.original_extract) for r in table.read().collect()] == [("a", " x ")]
+
+
+@pytest.mark.parametrize("model", [False, True])
+def test_vectors_are_stored_as_short_as_they_come_and_read_as_arrays(spark, tmp_path, model):
+    """Hashed counts are a few places of 384, and rows are rewritten with each batch of their bucket."""
+    def embedder(df):
+        return df.withColumn("vector_embed", F.when(F.length("original_extract") < 3, F.array(F.lit(-0.0).cast("float"), F.lit(None))))
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    parts = [[("c", 1, 1, '[{"key": "a", "value": "x y"}, {"key": "b", "value": "yy"}, {"key": "d", "value": "--"}]')],
+             [("c", 1, 0, '[{"key": "a", "value": "y"}, {"key": "e", "value": "x"}]')]]
+    for part in parts:  # the rows of a, b and d keep their vectors
+        query = jobs.replies_into(arrive(spark, source, part, REPLIES), out, state, embedder if model else None, buckets=2)
+        query.awaitTermination()
+    _, table = jobs.reply_tables(spark, out, query.id, 2)
+    assert table.read().columns == [f.split()[0] for f in jobs.ROWS.split(", ")]
+    assert result(table.read()) == result(parameters_from_replies(spark.read.schema(REPLIES).parquet(source), embedder if model else None))
+    held = {r.parameter_key: r for r in spark.read.schema(table.schema).parquet(*table.read().inputFiles()).collect()}
+    assert {k: r.vector_sparse and r.vector_sparse.numNonzeros() for k, r in held.items()} == (
+        dict.fromkeys("abde") if model else {"a": 2, "b": 1, "d": 0, "e": 1})
+    assert {k for k, r in held.items() if r.vector_embed is not None} == ({"b", "d", "e"} if model else set())
+    assert model or all(len(r.vector_embed) == 384 for r in table.read().collect())
